@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintide.llm import exact_dedup, jaccard, packing, substring_dedup, warc, wordbpe
+from graintide.llm import cap_filters, chat_format, exact_dedup, jaccard, language_id, packing, substring_dedup, token_counts, warc, wordbpe
 from graintide.session import table
 
 
@@ -34,6 +34,12 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocab_path("byte_bpe_50k.json"), keep_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -44,10 +50,22 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocab_path("piece_bpe_32k.model"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op9_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.warc_round_trip(table(spark, sf_dir, "pages"), with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -57,12 +75,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_language_id": op3_language_id,
         "op4_packing": op4_packing,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_token_counts": op6_token_counts,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_chat_format": op8_chat_format,
+        "op9_near_embeddings": op9_near_embeddings,
         "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op8_chat_format": chat_format.SQL}
