@@ -234,7 +234,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     described = staged(describe(rows, words, percent), "described")
     keyed = described.where("digest is not null and row_id is not null")
-    classes = keyed.groupBy("digest").agg(F.min("row_id").alias("rep"))
+    # written first, so that the join below has a shuffle on either side and a digest of very many rows is split
+    classes = staged(keyed.groupBy("digest").agg(F.min("row_id").alias("rep")), "sets")
     member = staged(keyed.select("row_id", "n", "digest").join(classes, "digest").select("row_id", "n", "rep"), "members")
     sent = keyed.select("row_id", F.explode("signatures").alias("signature"))
     shared = sent.groupBy("signature").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).where("first < last").select("signature", "first")
