@@ -5,11 +5,13 @@ smaller one's. The shingle space is cut into more classes than that, so that lin
 set sends a signature of each class, for the band of sizes that it is in and for the one below. A set can leave out
 its few smallest classes, since classes exceed the bound by that number. This loses no link.
 
+Of a signature that many sets of one batch share, only one travels, and the others are tied to its set on the spot.
 Sets that share a signature, directly or along others, form a block. In a block the shingles are inverted lists. A
 set needs T of its lists; the T - 1 longest are set aside, the others are merged, and what they hold is probed in the
 long ones by binary search. Pairs that are already in one group aren't tested again, and of the links a spanning
-forest is returned, so that a group of n near copies makes at most n rows. A large block is cut into parts, and each
-two parts meet in a task of their own.
+forest is returned, so that a group of n near copies makes at most n rows. A large block is cut by bands of sizes, in
+each of which its sets meet one another and those of the next band; where that is still large, it is cut into parts,
+and each two parts meet in a task of their own.
 
 Defined cases: null and empty texts have no set and link with nothing; texts with fewer words than a shingle have
 their whole word sequence as the one shingle; equal sets always link; rows with one id are one document with the
@@ -30,8 +32,8 @@ from graintide.llm.components import connected_components
 from graintide.llm.wordbytes import blobs, hashed_words, mix, window_hash
 from graintide.session import shuffle_partitions, small_batches, staged
 
-#: Sets of a block that one task takes from each of its two parts.
-PART = 64
+#: Shingles of a block that one task takes from each of its two parts.
+PART_SHINGLES = 2_000_000
 #: Members of blocks up to which they are broadcast to the second reading of the texts (40 bytes each).
 BROADCAST_ROWS = 500_000
 CHUNK_POSTINGS = 1_500_000
@@ -101,27 +103,100 @@ def signatures(s: np.ndarray, bands: list[tuple[int, int]], plans: list[tuple[in
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: row_id, n (set size), digest (128 bits of the set), signatures."""
+SETS, EDGES, SIGNS = 0, 1, 2
+#: Of a signature so many bytes travel, beside its bucket; equal ones of unequal classes only add candidates.
+SIGN_BYTES = 6
+
+
+def describe(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+    """Three kinds of rows, from one reading of the texts.
+
+    SETS: id a, set size b, digest (128 bits of the set). EDGES: two ids that share a signature within a batch.
+    SIGNS: bucket a and a payload of signatures of a batch, each with the smallest id that has it there."""
     small_batches(docs.sparkSession)
+    names = ["kind", "a", "b", "digest", "payload"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+    def rows(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1)
         bands = size_bands(percent, 1 << 40)
         plans = [class_plan(b, percent) for b in bands]
         lows = np.array([b[0] for b in bands])
         for batch in batches:
-            sizes, digests, signs, counts = [], [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), words):
-                sizes.append(len(s))
-                digests.append(np.array([mix(s, 21).sum(dtype=np.uint64), mix(s, 22).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else None)
-                sign = signatures(s, bands, plans, lows) if len(s) else s
-                signs.append(sign)
-                counts.append(len(sign))
-            flat = np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["row_id", "n", "digest", "signatures"])
+            made: list[tuple] = []
+            signs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for row_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
+                digest = np.array([mix(s, 21).sum(dtype=np.uint64), mix(s, 22).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else None
+                made.append((SETS, row_id, len(s), digest, None))
+                if len(s) and row_id is not None:
+                    signs.append(signatures(s, bands, plans, lows))
+                    owners.append(np.full(len(signs[-1]), row_id, np.int64))
+            sign, owner = np.concatenate(signs), np.concatenate(owners)
+            order = np.lexsort((owner, sign))
+            sign, owner = sign[order], owner[order]
+            new = np.concatenate(([True], sign[1:] != sign[:-1])) if len(sign) else np.zeros(0, bool)
+            leader = owner[new][np.cumsum(new) - 1] if len(sign) else owner
+            pairs = np.unique(np.stack([owner, leader], axis=1)[owner != leader], axis=0)
+            made += [(EDGES, u, v, None, None) for u, v in pairs.tolist()]
+            sign, owner = sign[new], owner[new]
+            bucket = (mix(sign, 51) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sign, owner, bucket = sign[order], owner[order], bucket[order]
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(sign) else []
+            for at, end in zip(cuts, [*cuts[1:], len(sign)], strict=True):
+                ids, local = np.unique(owner[at:end], return_inverse=True)
+                head = np.array([len(ids), end - at], np.int64).tobytes() + ids.tobytes() + local.astype(np.uint32).tobytes()
+                made.append((SIGNS, int(bucket[at]), None, None, squeeze.compress(head + sign[at:end].view(np.uint8).reshape(-1, 8)[:, :SIGN_BYTES].tobytes())))
+            yield rows(made)
+
+    return docs.mapInArrow(run, "kind int, a long, b long, digest binary, payload binary")
+
+
+def shared_signatures(described: DataFrame) -> DataFrame:
+    """(u, v): ids that share a signature, each sharer with the smallest one."""
+
+    def meet(payloads: list[bytes]) -> pa.RecordBatch:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor()
+        signs, owners = [], []
+        for p in payloads:
+            data = np.frombuffer(expand.decompress(p), np.uint8)
+            docs, n = data[:16].view(np.int64)
+            ids, local = data[16 : 16 + 8 * docs].view(np.int64), data[16 + 8 * docs : 16 + 8 * docs + 4 * n].view(np.uint32)
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :SIGN_BYTES] = data[16 + 8 * docs + 4 * n :].reshape(n, SIGN_BYTES)
+            signs.append(wide.reshape(-1).view(np.uint64))
+            owners.append(ids[local])
+        sign, owner = np.concatenate(signs), np.concatenate(owners)
+        order = np.argsort(sign, kind="stable")
+        sign, owner = sign[order], owner[order]
+        first = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
+        least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(sign))))
+        pairs = np.unique(np.stack([owner, least], axis=1)[owner != least], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != bucket and held:
+                    yield meet(held)
+                    held = []
+                bucket = b
+                held.append(p)
+        if held:
+            yield meet(held)
 
-    return docs.mapInArrow(run, "row_id long, n long, digest binary, signatures array<long>")
+    n = shuffle_partitions(described.sparkSession)
+    sent = described.where(F.col("kind") == SIGNS).select("a", "payload").repartition(n, "a").sortWithinPartitions("a")
+    here = described.where(F.col("kind") == EDGES).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return sent.mapInArrow(run, "u long, v long").union(here).distinct()
 
 
 class Forest:
@@ -143,7 +218,7 @@ class Forest:
 
 
 def t_occurrence(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within each group, as positions; sides 0 and 1 are searched against each other only, side 2 against its like."""
+    """A spanning forest of the links within each group, as positions. Sets of side 0 and 2 search those of side 1, those of side 2 each other too."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
@@ -173,7 +248,7 @@ def t_occurrence(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, pe
         short = short[lengths[short] > 1]
         merged = np.concatenate([posted[starts[k] : starts[k + 1]] for k in short])
         near, count = np.unique(merged, return_counts=True)
-        fits = (100 * sizes[near] >= percent * size) & (100 * size >= percent * sizes[near]) & (near > x if side[x] == 2 else side[near] == 1)
+        fits = (100 * sizes[near] >= percent * size) & (100 * size >= percent * sizes[near]) & ((side[near] == 1) | (side[x] == 2) & (side[near] == 2) & (near > x))
         near, count = near[fits], count[fits]
         rank = np.argsort(-count, kind="stable")
         near, count = near[rank], count[rank]
@@ -232,20 +307,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id, n_shingles, component_id (smallest id reachable along links of at least `percent`)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    described = staged(describe(rows, words, percent), "described")
+    found = staged(describe(rows, words, percent, 8 * shuffle_partitions(spark)), "described")
+    described = found.where(F.col("kind") == SETS).select(F.col("a").alias("row_id"), F.col("b").alias("n"), "digest")
     keyed = described.where("digest is not null and row_id is not null")
     # written first, so that the join below has a shuffle on either side and a digest of very many rows is split
     classes = staged(keyed.groupBy("digest").agg(F.min("row_id").alias("rep")), "sets")
-    member = staged(keyed.select("row_id", "n", "digest").join(classes, "digest").select("row_id", "n", "rep"), "members")
-    sent = keyed.select("row_id", F.explode("signatures").alias("signature"))
-    shared = sent.groupBy("signature").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).where("first < last").select("signature", "first")
-    touches = sent.join(shared.hint("merge"), "signature").where("row_id <> first").select(F.col("row_id").alias("u"), F.col("first").alias("v")).distinct()
+    member = staged(keyed.join(classes, "digest").select("row_id", "n", "rep"), "members")
+    touches = shared_signatures(found)
     # copies of one set are one node from here on
     to_rep = member.select(F.col("row_id"), "rep")
     touches = touches.join(to_rep.withColumnsRenamed({"row_id": "u", "rep": "ru"}), "u").join(to_rep.withColumnsRenamed({"row_id": "v", "rep": "rv"}), "v")
     blocks = connected_components(touches.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-    sizes = blocks.groupBy("component").agg(F.count("*").alias("n_sets"))
-    plan = staged(blocks.join(sizes, "component").select(F.col("id").alias("row_id"), F.col("component").alias("block"), F.ceil(F.col("n_sets") / PART).cast("long").alias("parts")), "blocks")
+    plan = staged(_block_plan(blocks, member, percent), "blocks")
     few = plan.count() <= BROADCAST_ROWS
     chosen = rows.join(F.broadcast(plan) if few else plan.hint("merge"), "row_id")
     edges = staged(_block_links(chosen, words, percent), "links")
@@ -258,22 +331,40 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "row_id").alias("component_id"))
 
 
+def _block_plan(blocks: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """row_id and its tasks: struct(block, side, parts), two at most."""
+    sized = blocks.join(member.where("row_id = rep").select("row_id", "n").distinct(), blocks["id"] == F.col("row_id")).select("row_id", "component", "n")
+    sized = staged(sized, "sized")
+    total = sized.groupBy("component").agg((F.sum("n") > PART_SHINGLES).alias("large"))
+    rows = sized.join(total, "component")
+    lows = F.array(*(F.lit(low).cast("long") for low, _ in size_bands(percent, 1 << 40)))
+    band = F.size(F.filter(lows, lambda low: low <= F.col("n")))
+    name = lambda b: F.concat_ws(":", F.col("component"), b)
+    task = lambda block, side: F.struct(block.alias("block"), F.lit(side).alias("side"))
+    whole, cut = F.array(task(name(F.lit(0)), 2)), F.array(task(name(band), 2), task(name(band - 1), 1))
+    sent = rows.select("row_id", "n", F.explode(F.when(F.col("large"), cut).otherwise(whole)).alias("t")).select("row_id", "n", "t.block", "t.side")
+    parts = sent.groupBy("block").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
+    return sent.join(parts, "block").groupBy("row_id").agg(F.collect_list(F.struct("block", "side", "parts")).alias("tasks"))
+
+
 def _block_links(chosen: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links of all sets that share a block: chosen has row_id, text, block, parts."""
+    """Links of all sets that share a block: chosen has row_id, text, tasks."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, block, parts = (c.to_pylist() for c in batch.columns)
-            part = (mix(np.array(ids, np.int64).view(np.uint64), 41) % np.array(parts, np.uint64)).astype(np.int64)
+            ids, texts, tasks = (c.to_pylist() for c in batch.columns)
+            place = mix(np.array(ids, np.int64).view(np.uint64), 41).tolist()
             made: list[tuple] = []
             for k, s in enumerate(shingle_sets(texts, words)):
                 raw = s.tobytes()
-                for other in range(parts[k]):
-                    a, b = sorted((int(part[k]), other))
-                    made.append((ids[k], f"{block[k]}.{a}.{b}", 2 if a == b else int(part[k] == b), raw))
-                    if len(made) >= 256:
-                        yield pack(made)
-                        made = []
+                for t in tasks[k]:
+                    part = place[k] % t["parts"]
+                    for other in range(t["parts"]):
+                        a, b = sorted((part, other))
+                        made.append((ids[k], f"{t['block']}.{a}.{b}", t["side"] if a == b else int(part == b), raw))
+                if len(made) >= 256:
+                    yield pack(made)
+                    made = []
             if made:
                 yield pack(made)
 
@@ -282,5 +373,5 @@ def _block_links(chosen: DataFrame, words: int, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=["row_id", "block", "side", "shingles"])
 
     n = shuffle_partitions(chosen.sparkSession)
-    dealt = chosen.select("row_id", "text", "block", "parts").mapInArrow(spread, "row_id long, block string, side int, shingles binary")
+    dealt = chosen.select("row_id", "text", "tasks").mapInArrow(spread, "row_id long, block string, side int, shingles binary")
     return dealt.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_search(percent), "u long, v long")
