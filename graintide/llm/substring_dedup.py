@@ -29,7 +29,7 @@ from graintide.session import shuffle_partitions, small_batches, staged
 WIDTH, SHORT = 13, 3
 #: Windows that a bucket has on average.
 BUCKET_WINDOWS = 1_000_000
-#: Documents with marks up to which these are broadcast (about 100 bytes each); beyond, the join shuffles.
+#: Documents with marks up to which these are broadcast (some 16 bytes and 8 for each span); beyond, the join shuffles.
 BROADCAST_ROWS = 250_000
 
 
@@ -224,11 +224,37 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return dealt.mapInArrow(compare, "doc_id long, row_key long, first long, end long")
 
 
+def merged_spans(marks: DataFrame) -> DataFrame:
+    """(_id, _key, _spans): the marked spans of each row, those that touch made one, as pairs of 32-bit numbers."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, spans = None, []
+        done: list[tuple] = []
+        for batch in batches:
+            for doc, key, first, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, key) != at:
+                    if at:
+                        done.append((*at, np.array(spans, "<i4").tobytes()))
+                    at, spans = (doc, key), [first, end]
+                elif first <= spans[-1]:
+                    spans[-1] = max(spans[-1], end)
+                else:
+                    spans += [first, end]
+            yield rows(done)
+            done = []
+        if at:
+            yield rows([(*at, np.array(spans, "<i4").tobytes())])
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["_id", "_key", "_spans"])
+
+    n = shuffle_partitions(marks.sparkSession)
+    return marks.repartition(n, "doc_id", "row_key").sortWithinPartitions("doc_id", "row_key", "first", "end").mapInArrow(merge, "_id long, _key long, _spans binary")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per row: all columns but text as they were (id first), n_words, n_removed and kept, the kept words joined by one space."""
-    spark = docs.sparkSession
-    marks = repeat_marks(docs, id_col, text_col, width).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    marks = staged(marks.withColumnsRenamed({"doc_id": "_id", "row_key": "_key", "spans": "_spans"}), "marks")
+    """Per row: its columns, n_words, n_removed and kept, the kept words joined by one space."""
+    marks = staged(merged_spans(repeat_marks(docs, id_col, text_col, width)), "marks")
     rows = docs.select("*", F.xxhash64(text_col).alias("_row_key"))
     side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks.hint("merge")
     joined = rows.join(side, (rows[id_col].cast("long") == F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left").drop("_id", "_key", "_row_key")
@@ -241,9 +267,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text, spans in zip(batch.column(names.index(text_col)).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split on the same white space
                 left, at = [], 0
-                for s in sorted(spans or (), key=lambda s: s["first"]):
-                    left += words[at : max(at, s["first"])]
-                    at = max(at, s["end"])
+                for first, end in np.frombuffer(spans or b"", "<i4").reshape(-1, 2).tolist():
+                    left += words[at:first]
+                    at = end
                 left += words[at:]
                 total.append(len(words))
                 gone.append(len(words) - len(left))
