@@ -1,4 +1,6 @@
-"""Every query of the reference's own operators with the SQL that checks it."""
+"""Every query of the engine's own operators with the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from graintide.plans import corpus
+
+QUERIES: dict = {**corpus.QUERIES}
+ORACLES: dict = {**corpus.ORACLES}
