@@ -73,11 +73,14 @@ def is_english(x: Column) -> Column:
 def is_repetitive(x: Column) -> Column:
     """Whether the ten commonest word 4-grams are more than half of all; native counting by sorting within the row."""
     tokens = F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
-    grams = F.array_sort(T.ngrams(tokens, GRAM))
-    ends = F.filter(F.transform(grams, lambda g, i: F.when((i == F.size(grams) - 1) | (F.get(grams, i + 1) != g), i + 1)), lambda e: e.isNotNull())
-    counts = F.transform(ends, lambda e, i: e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)))
-    top = F.aggregate(F.slice(F.sort_array(counts, asc=False), 1, TOP_GRAMS), F.lit(0), lambda a, c: a + c)
-    return (F.size(tokens) >= 8) & (top > MAX_REPEATED * F.size(grams))
+
+    def judge(grams: Column) -> Column:
+        ends = F.filter(F.transform(grams, lambda g, i: F.when((i == F.size(grams) - 1) | (F.get(grams, i + 1) != g), i + 1)), lambda e: e.isNotNull())
+        counts = T.let(ends, lambda e: F.transform(e, lambda v, i: v - F.when(i == 0, F.lit(0)).otherwise(F.get(e, i - 1))))
+        top = F.aggregate(F.slice(F.sort_array(counts, asc=False), 1, TOP_GRAMS), F.lit(0), lambda total, c: total + c)
+        return (F.size(grams) >= 8 - GRAM + 1) & (top > MAX_REPEATED * F.size(grams))
+
+    return T.let(F.array_sort(T.ngrams(tokens, GRAM)), judge)
 
 
 def has_secret(x: Column) -> Column:

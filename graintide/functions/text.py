@@ -19,16 +19,29 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\r\n?|[\u000B\u000C\u0085  ]", "\n"), "\n")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often a lambda inside body looks at it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Every n consecutive tokens joined by a space; none where there are fewer."""
-    spots = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(F.size(tokens) >= n, F.transform(spots, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(F.size(w) >= n, F.transform(spots, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, cut)
 
 
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Distinct k-grams; fewer tokens than k make one shingle, none make none."""
-    short = F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(tokens, " ")))
-    return F.when(F.size(tokens) < k, short).otherwise(F.array_distinct(ngrams(tokens, k)))
+
+    def cut(w: Column) -> Column:
+        short = F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(w, " ")))
+        return F.when(F.size(w) < k, short).otherwise(F.array_distinct(ngrams(w, k)))
+
+    return let(tokens, cut)
 
 
 def ratio(part: Column, whole: Column) -> Column:

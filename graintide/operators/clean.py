@@ -19,11 +19,11 @@ from graintide.functions import text as T
 
 def _finish(df: DataFrame, body: Column, reason: Column) -> DataFrame:
     """Dropped rows carry an empty text and their size where they failed."""
-    rows = df.withColumn("body", body).withColumn("reason", reason)
+    rows = df.withColumn("_final", body).withColumn("reason", reason)
     kept = F.col("reason") == ""
     return rows.select(
-        *[c for c in df.columns if c not in ("body", "reason", "clean_text")], kept.alias("kept"), "reason", F.when(kept, F.col("body")).otherwise("").alias("clean_text"),
-        F.length("text").cast("long").alias("raw_chars"), F.length("body").cast("long").alias("clean_chars"))
+        *[c for c in df.columns if c not in ("body", "reason", "clean_text")], kept.alias("kept"), "reason", F.when(kept, F.col("_final")).otherwise("").alias("clean_text"),
+        F.length("text").cast("long").alias("raw_chars"), F.length(F.when(kept, F.col("_final")).otherwise(F.col("body"))).cast("long").alias("clean_chars"))
 
 
 def first_reason(*rules: tuple[str, Column]) -> Column:

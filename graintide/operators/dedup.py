@@ -24,9 +24,11 @@ def first_of_each(df: DataFrame, key: Column, order: str = "doc_id") -> DataFram
 
 def minhash(shingles: Column, permutations: int, portable: bool = False) -> Column:
     """The smallest hash of a set under each permutation; portable ones are md5 texts that any SQL engine can give."""
-    if portable:
-        return F.array(*(F.array_min(F.transform(shingles, lambda s, p=p: F.md5(F.concat(F.lit(f"{p}:"), s)))) for p in range(permutations)))
-    return F.array(*(F.array_min(F.transform(shingles, lambda s, p=p: F.xxhash64(s, F.lit(p)))) for p in range(permutations)))
+    def one(p: int) -> Column:
+        hashed = (lambda s: F.md5(F.concat(F.lit(f"{p}:"), s))) if portable else (lambda s: F.xxhash64(s, F.lit(p)))
+        return F.array_min(F.transform(shingles, hashed))
+
+    return F.array(*(one(p) for p in range(permutations)))
 
 
 def lsh_edges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, portable: bool = False) -> DataFrame:

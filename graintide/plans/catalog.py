@@ -1,6 +1,6 @@
 """Every query of the engine's own operators with the SQL that checks it."""
 
-from graintide.plans import corpus
+from graintide.plans import chat, corpus, relational
 
-QUERIES: dict = {**corpus.QUERIES}
-ORACLES: dict = {**corpus.ORACLES}
+QUERIES: dict = {**corpus.QUERIES, **relational.QUERIES, **chat.QUERIES}
+ORACLES: dict = {**corpus.ORACLES, **relational.ORACLES, **chat.ORACLES}

@@ -82,9 +82,6 @@ def clean_light_reasons(spark, sf_dir):
     return clean.clean_documents(docs_of(spark, sf_dir), "light").groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
-PUBLIC = f"regexp_replace(regexp_replace(regexp_replace(text, '{Q.EMAIL}', 'user@example.com', 'g'), '\\b((?:{Q.NOT_PUBLIC.replace('2[45]', '2[45]')})(?:[0-9]+[.])*[0-9]+)\\b', '@@\\1', 'g'), '', '', 'g')"
-
-
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{Q.EMAIL}')) AS emails, len(regexp_extract_all(text, '\\b{Q.IPV4}\\b')) AS addresses FROM documents")
 def pii_counts(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(Q.EMAIL)).cast("long").alias("emails"), F.regexp_count("text", F.lit(rf"\b{Q.IPV4}\b")).cast("long").alias("addresses"))
@@ -314,8 +311,8 @@ def round_robin_partition(spark, sf_dir):
 
 
 PACKED = """WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
- o AS (SELECT *, coalesce(sum(len(w) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM w),
- t AS (SELECT source, at + unnest(generate_series(0, len(w))) AS pos, unnest(list_append(w, '</s>')) AS id FROM o),
+ o AS (SELECT *, coalesce(sum(len(w) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w),
+ t AS (SELECT source, start + unnest(generate_series(0, len(w))) AS pos, unnest(list_append(w, '</s>')) AS id FROM o),
  p AS (SELECT source, CAST(pos // 256 AS BIGINT) AS window_id, md5(string_agg(id, ' ' ORDER BY pos)) AS ids_md5 FROM t GROUP BY ALL HAVING count(*) = 256)"""
 
 
