@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOCUMENT = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
@@ -65,9 +66,12 @@ def decode_text(raw: bytes | None, encoding: str | None) -> str:
     return ""
 
 
-@F.pandas_udf("string")
-def decoded(raw: pd.Series, encoding: pd.Series) -> pd.Series:
-    return pd.Series([decode_text(r, e) for r, e in zip(raw, encoding, strict=True)])
+def decoded(raw: Column, encoding: Column) -> Column:
+    @F.pandas_udf(T.StringType())
+    def decode(raws: pd.Series, encodings: pd.Series) -> pd.Series:
+        return pd.Series([decode_text(r, e) for r, e in zip(raws, encodings, strict=True)])
+
+    return decode(raw, encoding)
 
 
 def fetch_blobs(rows: DataFrame, fetch: Callable[[str], bytes | None], threads: int = 64) -> DataFrame:
