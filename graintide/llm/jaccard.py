@@ -5,8 +5,10 @@ smaller one's. The shingle space is cut into more classes than that, so that lin
 set sends a signature of each class, for the band of sizes that it is in and for the one below. A set can leave out
 its few smallest classes, since classes exceed the bound by that number. This loses no link.
 
-Of a signature that many sets of one batch share, only one travels, and the others are tied to its set on the spot.
-Sets that share a signature, directly or along others, form a block. In a block the shingles are inverted lists. A
+A signature has a leader, the first set that is met with it, and each other set that has it is tied to the leader by
+so many signatures. Sets linked share more signatures than they may both set aside, so that each set can cut its
+weakest ties up to half of what it has to spare: texts that merely share a passage come apart here, and no link is
+lost. Sets tied by what is left, directly or along others, form a block. In a block the shingles are inverted lists. A
 set needs T of its lists; the T - 1 longest are set aside, the others are merged, and what they hold is probed in the
 long ones by binary search. Pairs that are already in one group aren't tested again, and of the links a spanning
 forest is returned, so that a group of n near copies makes at most n rows. A large block is cut by bands of sizes, in
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graintide.llm.components import connected_components
@@ -66,17 +68,20 @@ def size_bands(percent: int, upto: int) -> list[tuple[int, int]]:
 
 
 def class_plan(band: tuple[int, int], percent: int) -> tuple[int, int, int]:
-    """(classes, how many small ones may be left out, largest small size); no classes where only equal sets link."""
+    """(classes, how many of them can be missed, largest size of a small one); no classes where only equal sets link.
+
+    Sets of the band that link, and such with one of the next band, agree on all classes but (classes - 1 - spare)."""
     low, high = band
     most = high * (100 - percent) // percent
     if most == 0:
         return 0, 0, 0
     for small in (2, 1, 0):
         spare = 1
-        for _ in range(30):
-            mean = low / (most + 1 + spare)
+        for _ in range(40):
+            classes = most + 1 + spare
+            mean = low / classes
             share = math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(small + 1))
-            spare = math.ceil(1.5 * share * (most + 1 + spare)) + 1
+            spare = math.ceil((1.15 * share + (100 - percent) / 100) * classes) + 1
             if spare > most + 4:
                 break
         else:
@@ -84,35 +89,41 @@ def class_plan(band: tuple[int, int], percent: int) -> tuple[int, int, int]:
     return most + 2, 1, 0
 
 
-def signatures(s: np.ndarray, bands: list[tuple[int, int]], plans: list[tuple[int, int, int]], lows: np.ndarray) -> np.ndarray:
-    """The signatures of a set: its classes in its own band (as the smaller one) and in the band below (as the larger)."""
+def signatures(s: np.ndarray, bands: list[tuple[int, int]], plans: list[tuple[int, int, int]], lows: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """Signatures of a set for its own band (0, as the smaller one) and the band below (1, as the larger): (0 or 1, how many it may cut, signatures).
+
+    Small classes are left out where there are few enough; of what can then still be missed, each of two sets may cut half."""
     own = int(np.searchsorted(lows, len(s), side="right")) - 1
-    out, scrambled = [], mix(s, 5)
-    for band in (own, own - 1):
+    out, scrambled, spread = [], mix(s, 5), mix(s, 9)
+    for below in (0, 1):
+        band = own - below
         if band < 0 or not plans[band][0]:
             continue
         classes, spare, small = plans[band]
-        of = (mix(s, 9) % np.uint64(classes)).astype(np.int64)
+        of = (spread % np.uint64(classes)).astype(np.int64)
         order = np.argsort(of, kind="stable")
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scrambled[order], dtype=np.uint64)))
         sizes = np.bincount(of, minlength=classes)
         ends = np.cumsum(sizes)
         total = sums[ends] - sums[ends - sizes]
         sign = mix(mix(total, 13) + np.arange(classes, dtype=np.uint64), band + 1000)
-        out.append(sign[sizes > small] if (sizes <= small).sum() <= spare else sign)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        few = int((sizes <= small).sum())
+        out.append((below, (spare - few) // 2, sign[sizes > small]) if few <= spare else (below, 0, sign))
+    return out
 
 
-SETS, EDGES, SIGNS = 0, 1, 2
+SETS, SIGNS = 0, 1
 #: Of a signature so many bytes travel, beside its bucket; equal ones of unequal classes only add candidates.
 SIGN_BYTES = 6
+#: Signatures that are met at once, or as many as there are distinct ones so far.
+MEET_SIGNS = 1_000_000
 
 
 def describe(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
-    """Three kinds of rows, from one reading of the texts.
+    """Two kinds of rows, from one reading of the texts.
 
-    SETS: id a, set size b, digest (128 bits of the set). EDGES: two ids that share a signature within a batch.
-    SIGNS: bucket a and a payload of signatures of a batch, each with the smallest id that has it there."""
+    SETS: id a, set size b, digest (128 bits of the set). SIGNS: bucket a, smallest id b and a payload of signatures of a
+    batch with the sets that have them; of equal sets in a batch one sends them."""
     small_batches(docs.sparkSession)
     names = ["kind", "a", "b", "digest", "payload"]
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -129,74 +140,98 @@ def describe(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFra
         lows = np.array([b[0] for b in bands])
         for batch in batches:
             made: list[tuple] = []
-            signs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            signs, senders, seen = [np.zeros(0, np.uint64)], [], set()
             for row_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
                 digest = np.array([mix(s, 21).sum(dtype=np.uint64), mix(s, 22).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else None
                 made.append((SETS, row_id, len(s), digest, None))
-                if len(s) and row_id is not None:
-                    signs.append(signatures(s, bands, plans, lows))
-                    owners.append(np.full(len(signs[-1]), row_id, np.int64))
-            sign, owner = np.concatenate(signs), np.concatenate(owners)
-            order = np.lexsort((owner, sign))
-            sign, owner = sign[order], owner[order]
-            new = np.concatenate(([True], sign[1:] != sign[:-1])) if len(sign) else np.zeros(0, bool)
-            leader = owner[new][np.cumsum(new) - 1] if len(sign) else owner
-            pairs = np.unique(np.stack([owner, leader], axis=1)[owner != leader], axis=0)
-            made += [(EDGES, u, v, None, None) for u, v in pairs.tolist()]
-            sign, owner = sign[new], owner[new]
+                if len(s) and row_id is not None and digest not in seen:
+                    seen.add(digest)
+                    for below, cut, sign in signatures(s, bands, plans, lows):
+                        signs.append(sign)
+                        senders.append((row_id, cut, below))
+            sign = np.concatenate(signs)
+            sender = np.array(senders, np.int64).reshape(-1, 3)
+            owner = np.repeat(np.arange(len(sender)), [len(x) for x in signs[1:]])
             bucket = (mix(sign, 51) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((sender[owner, 0], sign, bucket))
             sign, owner, bucket = sign[order], owner[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(sign) else []
             for at, end in zip(cuts, [*cuts[1:], len(sign)], strict=True):
-                ids, local = np.unique(owner[at:end], return_inverse=True)
-                head = np.array([len(ids), end - at], np.int64).tobytes() + ids.tobytes() + local.astype(np.uint32).tobytes()
-                made.append((SIGNS, int(bucket[at]), None, None, squeeze.compress(head + sign[at:end].view(np.uint8).reshape(-1, 8)[:, :SIGN_BYTES].tobytes())))
+                here, local = np.unique(owner[at:end], return_inverse=True)
+                head = np.array([len(here), end - at], np.int64).tobytes() + sender[here].tobytes() + local.astype(np.uint32).tobytes()
+                packed = sign[at:end].view(np.uint8).reshape(-1, 8)[:, :SIGN_BYTES].tobytes()
+                made.append((SIGNS, int(bucket[at]), int(sender[here, 0].min()), None, squeeze.compress(head + packed)))
             yield rows(made)
 
     return docs.mapInArrow(run, "kind int, a long, b long, digest binary, payload binary")
 
 
-def shared_signatures(described: DataFrame) -> DataFrame:
-    """(u, v): ids that share a signature, each sharer with the smallest one."""
+class Meeting:
+    """Signatures of one bucket as they arrive, each with its leader; holds distinct signatures, not their sets."""
 
-    def meet(payloads: list[bytes]) -> pa.RecordBatch:
-        import zstandard
+    def __init__(self):
+        self.known, self.leader = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        expand = zstandard.ZstdDecompressor()
-        signs, owners = [], []
-        for p in payloads:
-            data = np.frombuffer(expand.decompress(p), np.uint8)
-            docs, n = data[:16].view(np.int64)
-            ids, local = data[16 : 16 + 8 * docs].view(np.int64), data[16 + 8 * docs : 16 + 8 * docs + 4 * n].view(np.uint32)
+    def ties(self, payloads: list[bytes]) -> pa.RecordBatch:
+        signs, senders, owners, count = [], [], [], 0
+        for data in (np.frombuffer(p, np.uint8) for p in payloads):
+            sets, n = (int(x) for x in data[:16].view(np.int64))
+            at, end = 16 + 24 * sets, 16 + 24 * sets + 4 * n
+            senders.append(data[16:at].view(np.int64).reshape(-1, 3))
+            owners.append(data[at:end].view(np.uint32).astype(np.int64) + count)
             wide = np.zeros((n, 8), np.uint8)
-            wide[:, :SIGN_BYTES] = data[16 + 8 * docs + 4 * n :].reshape(n, SIGN_BYTES)
+            wide[:, :SIGN_BYTES] = data[end:].reshape(n, SIGN_BYTES)
             signs.append(wide.reshape(-1).view(np.uint64))
-            owners.append(ids[local])
-        sign, owner = np.concatenate(signs), np.concatenate(owners)
+            count += sets
+        sign, owner, sender = np.concatenate(signs), np.concatenate(owners), np.concatenate(senders)
         order = np.argsort(sign, kind="stable")
         sign, owner = sign[order], owner[order]
-        first = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
-        least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(sign))))
-        pairs = np.unique(np.stack([owner, least], axis=1)[owner != least], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        new = np.concatenate(([True], sign[1:] != sign[:-1]))
+        heads, lead = sign[new], sender[owner[new], 0]
+        spot = np.searchsorted(self.known, heads)
+        old = np.zeros(len(heads), bool)
+        inside = spot < len(self.known)
+        old[inside] = self.known[spot[inside]] == heads[inside]
+        lead[old] = self.leader[spot[old]]
+        self.known, self.leader = np.insert(self.known, spot[~old], heads[~old]), np.insert(self.leader, spot[~old], lead[~old])
+        led = lead[np.cumsum(new) - 1]
+        tied = sender[owner, 0] != led
+        owner, led = owner[tied], led[tied]
+        order = np.lexsort((led, owner))
+        owner, led = owner[order], led[order]
+        first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (led[1:] != led[:-1])))) if len(owner) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(owner)))
+        u, cut, below = sender[owner[first]].T
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, below, cut, led[first], times)], names=["u", "below", "cut", "v", "times"])
+
+
+def shared_signatures(described: DataFrame) -> DataFrame:
+    """(u, v): sets tied to the leaders of their signatures, without the weakest ties that each may cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor()
+        bucket, held, size, meeting = None, [], 0, Meeting()
         for batch in batches:
-            for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b != bucket and held:
-                    yield meet(held)
-                    held = []
-                bucket = b
-                held.append(p)
+            for b, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if held and (b != bucket or size >= max(MEET_SIGNS, len(meeting.known))):
+                    yield meeting.ties(held)
+                    held, size = [], 0
+                if b != bucket:
+                    bucket, meeting = b, Meeting()
+                held.append(expand.decompress(p))
+                size += len(held[-1]) // (SIGN_BYTES + 4)
         if held:
-            yield meet(held)
+            yield meeting.ties(held)
 
     n = shuffle_partitions(described.sparkSession)
-    sent = described.where(F.col("kind") == SIGNS).select("a", "payload").repartition(n, "a").sortWithinPartitions("a")
-    here = described.where(F.col("kind") == EDGES).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return sent.mapInArrow(run, "u long, v long").union(here).distinct()
+    # payloads come in the order of their smallest ids, so that few sets lead
+    sent = described.where(F.col("kind") == SIGNS).select("a", "b", "payload").repartition(n, "a").sortWithinPartitions("a", "b")
+    ties = sent.mapInArrow(run, "u long, below long, cut long, v long, times long")
+    ties = ties.groupBy("u", "below", "cut", "v").agg(F.sum("times").alias("times"))
+    weakest = Window.partitionBy("u", "below").orderBy("times", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ties.withColumn("upto", F.sum("times").over(weakest)).where("upto > cut").select("u", "v").distinct()
 
 
 class Forest:
