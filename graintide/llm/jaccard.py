@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graintide.llm.components import connected_components
-from graintide.llm.wordbytes import blobs, hashed_words, mix, window_hash
+from graintide.llm.wordbytes import blobs, give_back, hashed_words, mix, window_hash
 from graintide.session import shuffle_partitions, small_batches, staged
 
 #: Shingles of a block that one task takes from each of its two parts.
@@ -162,6 +162,7 @@ def describe(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFra
                 packed = sign[at:end].view(np.uint8).reshape(-1, 8)[:, :SIGN_BYTES].tobytes()
                 made.append((SIGNS, int(bucket[at]), int(sender[here, 0].min()), None, squeeze.compress(head + packed)))
             yield rows(made)
+        give_back()
 
     return docs.mapInArrow(run, "kind int, a long, b long, digest binary, payload binary")
 
@@ -224,6 +225,7 @@ def shared_signatures(described: DataFrame) -> DataFrame:
                 size += len(held[-1]) // (SIGN_BYTES + 4)
         if held:
             yield meeting.ties(held)
+        give_back()
 
     n = shuffle_partitions(described.sparkSession)
     # payloads come in the order of their smallest ids, so that few sets lead
@@ -334,6 +336,7 @@ def _search(percent: int):
                 postings += len(row[3]) // 8
         if held:
             yield out(links(held))
+        give_back()
 
     return run
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graintide.llm.wordbytes import blobs, hashed_words, mix, powers, window_hash
+from graintide.llm.wordbytes import blobs, give_back, hashed_words, mix, powers, window_hash
 from graintide.session import shuffle_partitions, small_batches, staged
 
 WIDTH, SHORT = 13, 3
@@ -131,6 +131,7 @@ def hot_minimisers(rows: DataFrame, width: int, partitions: int) -> tuple[np.nda
                     pa.array(np.append(key, 0)), pa.array(np.append(n, 0)),
                     pa.array(np.append(np.zeros(len(key), np.int64), len(found.key))), pa.array(np.append(np.zeros(len(key), np.int64), found.windows.sum())),
                 ], names=["key", "n", "total", "windows"])
+        give_back()
 
     counted = rows.mapInArrow(count, "key long, n long, total long, windows long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "total", "windows")))
     counted = staged(counted, "minimisers")
@@ -172,6 +173,7 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     to.append(int(bucket[part[0]]))
                     payload.append(b"S" + squeeze.compress(head.tobytes() + text))
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(payload, pa.binary())], names=["bucket", "payload"])
+        give_back()
 
     def settle(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -219,6 +221,7 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 held.append(p)
         if held:
             yield from settle(held)
+        give_back()
 
     dealt = rows.mapInArrow(cut, "bucket long, payload binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(compare, "doc_id long, row_key long, first long, end long")
@@ -275,5 +278,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 gone.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
+        give_back()
 
     return joined.mapInArrow(remove, schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _P = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_P, -1, 1 << 64)
@@ -28,6 +30,10 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed at once; longer only where one word is.
+PIECE_BYTES = 1 << 18
+
+
 def hashed_words(raw: bytes | np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each word of the bytes."""
     b = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
@@ -40,14 +46,30 @@ def hashed_words(raw: bytes | np.ndarray, lower: bool = False) -> tuple[np.ndarr
     if not gap[-1]:
         turn = np.concatenate((turn, [len(b)]))
     starts, ends = turn[::2], turn[1::2]
-    value = b.astype(np.uint64)
-    if lower:
-        value += np.uint64(32) * ((b >= 65) & (b <= 90))
-    value += np.uint64(1)
-    up, down = powers(len(b) + 1)
-    value *= up[: len(b)]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
+    hashes, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        low = starts[k]
+        end = max(k + 1, int(np.searchsorted(ends, low + PIECE_BYTES, side="right")))
+        value = b[low : ends[end - 1]].astype(np.uint64)
+        if lower:
+            value += np.uint64(32) * ((value >= 65) & (value <= 90))
+        value += np.uint64(1)
+        up, down = powers(len(value) + 1)
+        value *= up[: len(value)]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+        at = starts[k:end] - low
+        hashes[k:end] = mix((sums[ends[k:end] - low] - sums[at]) * down[at])
+        k = end
+    return starts, ends, hashes
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, since a worker lives on while other tasks run beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not every C library has it
 
 
 def blobs(texts: list[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
