@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_SCRATCH: list[str] = []
+#: Paths staged for the result that is being made, if any.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -43,10 +47,28 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends in files that survive lost executors."""
     path = fresh_path(df.sparkSession, label)
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make() returns, staged; all that it staged on the way is deleted once the result is written."""
+    passing: list[str] = []
+    outer = _PASSING.set(passing)
+    try:
+        made = make()
+        _PASSING.reset(outer)
+        outer = None
+        return staged(made, label)
+    finally:
+        if outer is not None:
+            _PASSING.reset(outer)
+        for path in passing:
+            discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
