@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graintide.llm.components import connected_components
 from graintide.llm.wordbytes import blobs, give_back, hashed_words, mix, window_hash
-from graintide.session import shuffle_partitions, small_batches, staged
+from graintide.session import shuffle_partitions, small_batches, staged, staged_alone
 
 #: Shingles of a block that one task takes from each of its two parts.
 PART_SHINGLES = 2_000_000
@@ -343,6 +343,10 @@ def _search(percent: int):
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable along links of at least `percent`)."""
+    return staged_alone(docs.sparkSession, lambda: _groups(docs, id_col, text_col, words, percent), "groups")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     found = staged(describe(rows, words, percent, 8 * shuffle_partitions(spark)), "described")
