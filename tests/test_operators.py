@@ -34,6 +34,25 @@ def test_prose_reasons(spark):
     assert got == {1: "", 2: "too_short", 3: "repetitive", 4: "empty_or_unfetched"}
 
 
+def test_prose_report_counts_documents_with_addresses(spark, tmp_path):
+    import ipaddress
+    import re
+
+    from graintide.plans import corpus
+
+    good = "\n".join(LINE.format(f"{k} {chr(97 + k)}{k * 7} word{k * 13} and item{k * k}") for k in range(14))
+    tails = ["", " at 8.8.8.8", " at 10.0.0.1 or 172.16.0.9", " at 192.168.100.200 or 151.101.193.140", " in version 4.10.22.137", " from a.b@c.example.org by 93.184.216.34"]
+    rows = [(k, good + tail, "s") for k, tail in enumerate(tails)] + [(90, "at 8.8.8.8", "s"), (91, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def public(m):
+        return "192.0.2.1" if ipaddress.ip_address(m[0]).is_global else m[0]
+
+    sizes = [len(re.sub(r"\b\d+\.\d+\.\d+\.\d+\b", public, re.sub(r"\S+@\S+", "user@example.com", good + tail))) for tail in tails]
+    got = {r["reason"]: (r["n"], r["chars"]) for r in corpus.clean_prose_reasons(spark, str(tmp_path)).collect()}
+    assert got == {"": (len(tails), sum(sizes)), "too_short": (1, 0), "empty_or_unfetched": (1, 0)}
+
+
 def test_code_and_sql_chains(spark):
     code = "def f(a):\n    return a + 1\n\n\n" + "".join(f"value_{k} = f({k}) + {k * 3}\n" for k in range(30))
     rows = [(1, code), (2, code + "\ndef broken(:\n"), (3, "# auto-generated\n" + code), (4, "".join(f"# remark {k} on things\n" for k in range(60)) + "x = 1\n"), (5, "x = 1")]
