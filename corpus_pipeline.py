@@ -20,9 +20,9 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    found = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(found.hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    """Of equal texts the row with the largest doc_id, or all rows that share it; a text that has null ids only keeps them all."""
+    found = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("digest").alias("_digest"))
+    return docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")) & (exact_dedup.text_digest("text") == F.col("_digest")), "left_semi")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

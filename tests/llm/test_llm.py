@@ -214,3 +214,16 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == set(range(40)) - {3, 6}
+
+
+def test_pipeline_exact_dedup_keeps_null_ids_and_tells_repeated_ids_apart(spark):
+    import corpus_pipeline
+
+    rows = [
+        (None, "alone one"), (None, "alone two"), (None, "only null ids"), (None, "only null ids"), (None, "with an id too"), (4, "with an id too"),
+        (5, "copy"), (9, "copy"), (5, "other text of 5"), (7, None), (8, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, corpus_pipeline.without_copies(spark, docs, "").collect()))
+    kept = [(None, "alone one"), (None, "alone two"), (None, "only null ids"), (None, "only null ids"), (4, "with an id too"), (9, "copy"), (5, "other text of 5"), (8, "")]
+    assert got == sorted(str(r) for r in spark.createDataFrame(kept, docs.schema).collect())
