@@ -1,9 +1,9 @@
 """Chat formatting by quotation linking (DataFrame and SQL operations only).
 
 A line's quote level is the number of `>` that it begins with. Consecutive lines of one level form a passage. The
-normalised first-level passages of a message and their lines are hashed and joined to the hashed lines and whole own
-texts of earlier messages of the conversation; the latest message that was quoted is the parent. A message that quotes
-nothing known replies to the one before it. The result has each message without quotes and attribution lines, with
+normalised passages of a message and their lines are hashed, at every level, and joined to the hashed lines and whole own
+texts of earlier messages of the conversation; of the shallowest level that is known the latest message is the parent.
+A message that quotes nothing known replies to the one before it. The result has each message without quotes and attribution lines, with
 its parent and its place in the conversation, parents always coming before their replies.
 
 Defined cases: a null text is empty; a message of quotes alone has empty content; empty and repeated lines never
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graintide.functions.text import let
+
 #: Turns of a conversation that share a window partition, so that a very long one is dealt over tasks.
 BLOCK = 1024
 #: Patterns of quote marks, of white space and of lines that introduce a quote.
@@ -40,9 +42,21 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def passages(lines):
-    """First-level passages: bodies of consecutive lines of level 1, a line of another level being a break."""
-    marked = F.transform(lines, lambda x: F.when(x["level"] == 1, x["body"]).otherwise(F.lit("\u0000")))
-    return F.split(F.array_join(marked, "\n"), "\u0000")
+    """Passages with their level: bodies of consecutive lines of one level, a line of another level being a break."""
+    starts = F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | (F.get(lines, i - 1)["level"] != x["level"]), i)), lambda i: i.isNotNull())
+
+    def cut(s):
+        body = lambda at, k: F.transform(F.slice(lines, at + 1, F.coalesce(F.get(s, k + 1), F.size(lines)) - at), lambda x: x["body"])
+        return F.transform(s, lambda at, k: F.struct(F.get(lines, at)["level"].alias("level"), F.array_join(body(at, k), "\n").alias("body")))
+
+    return let(starts, cut)
+
+
+def quoted(lines):
+    """Distinct (level, hash) of the normalised passages and lines of every quote level that aren't empty."""
+    units = F.filter(F.concat(passages(lines), lines), lambda x: x["level"] > 0)
+    plain = F.filter(F.transform(units, lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("unit"))), lambda x: x["unit"] != "")
+    return F.array_distinct(F.transform(plain, lambda x: F.struct(x["level"].alias("level"), F.md5(x["unit"]).alias("passage"))))
 
 
 def hashes(units):
@@ -51,11 +65,11 @@ def hashes(units):
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, quoted_turn): the latest earlier message whose text or line the message quotes."""
-    quoting = messages.where("depth > 0").select("conv_id", "turn", F.explode(hashes(F.concat(passages(F.col("lines")), F.transform(F.filter("lines", lambda x: x["level"] == 1), lambda x: x["body"])))).alias("passage")).distinct()
+    """(conv_id, turn, quoted_turn): the latest earlier message whose text or line the message quotes at the shallowest level known."""
+    quoting = messages.where("depth > 0").select("conv_id", "turn", F.inline(quoted(F.col("lines")))).distinct()
     original = messages.select("conv_id", F.col("turn").alias("source"), F.explode(hashes(F.concat(F.split("content", "\n"), F.array("content")))).alias("passage"))
     met = quoting.join(original, ["conv_id", "passage"]).where("source < turn")
-    return met.groupBy("conv_id", "turn").agg(F.max("source").alias("quoted_turn"))
+    return met.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct(-F.col("level"), "source")).alias("quoted_turn"))
 
 
 def in_order(messages: DataFrame) -> DataFrame:
@@ -89,7 +103,7 @@ def rendered(linked: DataFrame) -> DataFrame:
     return linked.withColumn("chat", F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), content, F.lit("<|im_end|>\n")))
 
 
-#: The same in DuckDB, over a view named conversations.
+#: The same in DuckDB, over a view named conversations, but for nested quotations, of which it links none.
 SQL = r"""
 WITH l AS (
   SELECT row_number() OVER () AS rid, conv_id, turn, role,

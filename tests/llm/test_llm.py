@@ -227,3 +227,14 @@ def test_pipeline_exact_dedup_keeps_null_ids_and_tells_repeated_ids_apart(spark)
     got = sorted(map(str, corpus_pipeline.without_copies(spark, docs, "").collect()))
     kept = [(None, "alone one"), (None, "alone two"), (None, "only null ids"), (None, "only null ids"), (4, "with an id too"), (9, "copy"), (5, "other text of 5"), (8, "")]
     assert got == sorted(str(r) for r in spark.createDataFrame(kept, docs.schema).collect())
+
+
+
+def test_chat_links_nested_quotes(spark):
+    rows = [
+        (1, 0, "user", "First question?"), (1, 1, "assistant", "An answer\nin two lines"), (1, 2, "user", "Another thing"),
+        (1, 3, "user", "> edited text\n>> First question?\nHm."), (1, 4, "user", "> > An answer\n> > in two lines\n>>> First question?\nYes."),
+        (1, 5, "user", "> First question?\n>> Another thing\nBoth."), (1, 6, "user", ">> unknown\nNo."),
+    ]
+    got = {r["turn"]: (r["parent_turn"], r["by_quote"]) for r in chat_format.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, False), 1: (0, False), 2: (1, False), 3: (0, True), 4: (1, True), 5: (0, True), 6: (5, False)}
