@@ -6,8 +6,8 @@ shared folder under names no other attempt uses; only those that a successful ta
 executor leaves at most unread files.
 
 Defined cases: a null html is an empty payload; a null url becomes a URN of the page; a null page_id is carried
-through (a payload whose ids are all null is a response); no pages give no archives and no rows; columns beside
-page_id, url and html take no part.
+through (a payload whose ids are all null is a response); rows that repeat an id are records of their own, each
+judged by its own payload; no pages give no archives and no rows; columns beside page_id, url and html take no part.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from graintide.session import fresh_path, shuffle_partitions, small_batches, sta
 
 CHUNK = 1 << 16
 ROLL_BYTES = 64 << 20
-#: Revisit rows up to which they are broadcast (16 bytes each); beyond, the join shuffles.
+#: Revisit rows up to which they are broadcast (48 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -129,12 +129,20 @@ def read_record(raw: bytes) -> dict:
     }
 
 
+def payload():
+    return F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+
+
+def payload_digest():
+    """SHA-256 of the payload as 32 bytes."""
+    return F.unhex(F.sha2(payload(), 256))
+
+
 def find_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload of at least min_bytes a page with a smaller id has too."""
-    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= min_bytes)
+    """Distinct (page_id, digest, refers_to) of pages whose payload of at least min_bytes a page with a smaller id has too."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), payload_digest().alias("digest"), F.octet_length(payload()).alias("size")).where(F.col("size") >= min_bytes)
     groups = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return rows.select("page_id", "digest").join(groups, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
+    return rows.select("page_id", "digest").join(groups, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 3, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -142,9 +150,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     spark = pages.sparkSession
     small_batches(spark, 256)
     revisits = staged(find_revisits(pages, min_bytes), "revisits")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", payload_digest().alias("digest"))
     side = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits.hint("merge")
-    rows = rows.join(side, "page_id", "left").select("page_id", F.col("url").cast("string").alias("url"), "html", "refers_to")
+    rows = rows.join(side, ["page_id", "digest"], "left").select("page_id", F.col("url").cast("string").alias("url"), "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uri, size, n = None, "", 0, 0

@@ -238,3 +238,12 @@ def test_chat_links_nested_quotes(spark):
     ]
     got = {r["turn"]: (r["parent_turn"], r["by_quote"]) for r in chat_format.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {0: (None, False), 1: (0, False), 2: (1, False), 3: (0, True), 4: (1, True), 5: (0, True), 6: (5, False)}
+
+
+
+def test_warc_repeated_ids_are_records_of_their_own(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "a"), (4, "b"), (4, "b")]
+    got = warc.warc_round_trip(spark.createDataFrame([(k, "http://x", html) for k, html in rows], "page_id long, url string, html string")).collect()
+    digest = {base64.b32encode(hashlib.sha1(x.encode()).digest()).decode(): x for x in "ab"}
+    said = sorted((r["page_id"], digest[r["payload_digest"]], r["refers_to"] or 0) for r in got)
+    assert said == [(1, "a", 0), (2, "a", 1), (2, "b", 0), (3, "a", 1), (3, "a", 1), (4, "b", 2), (4, "b", 2)]
