@@ -7,7 +7,7 @@ double precision; a pair counts under the first filter that it shares, so that l
 filters follows the number of vectors. The score is set on seeded random pairs that lie exactly at the threshold, so
 that the wanted share of them meets in a filter; closer pairs meet more surely.
 
-Equal vectors are one node with a multiplicity. A filter that very many vectors exceed is cut into parts, and each two
+Equal vectors are one node with a number of its own and a multiplicity. A filter that very many vectors exceed is cut into parts, and each two
 parts meet in a task of their own, which returns counts and a spanning forest, never pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
@@ -113,18 +113,22 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.select("row_id", F.when(sound, F.transform("v", lambda x: x + F.lit(0.0))).alias("v"))
     keyed = rows.select("row_id", "v", F.sha2(F.to_json(F.struct("v")), 256).alias("digest"))
     classes = keyed.where("v is not null and row_id is not null").groupBy("digest").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
-    member = staged(keyed.select("row_id", "v", "digest").join(classes, "digest", "left").select("row_id", F.when(F.col("rep") == F.col("row_id"), F.col("v")).alias("v"), "rep", "copies"), "vectors")
-    nodes = member.where("v is not null").dropDuplicates(["row_id"]).select("row_id", "copies", "v")
+    # several vectors may have one id, so that nodes have numbers, which staging fixes
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    member = staged(keyed.select("row_id", "v", "digest").join(classes, "digest", "left").select("row_id", F.when(F.col("rep") == F.col("row_id"), F.col("v")).alias("v"), "node", "copies"), "vectors")
+    nodes = member.where("v is not null").dropDuplicates(["node"]).select(F.col("node").alias("row_id"), "copies", "v")
     coded = staged(_coded(nodes, code_words(member.count()), cosine), "filters")
     per = staged(coded.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("size")).where("size > 1").select("filter", F.ceil(F.col("size") / PART).cast("long").alias("parts")), "filter-sizes")
     small = per.count() <= BROADCAST_ROWS
     met = coded.select("row_id", "copies", "v", "listed", F.explode("filters").alias("filter")).join(F.broadcast(per) if small else per.hint("merge"), "filter")
     found = staged(_met(met, cosine), "found")
-    groups = connected_components(found.where("other is not null").select(F.col("row_id").alias("u"), F.col("other").alias("v"))).select(F.col("id").alias("rep"), "component")
-    links = found.groupBy(F.col("row_id").alias("rep")).agg(F.sum("links").alias("links"))
-    known = member.select("rep", "copies").where("rep is not null").distinct().join(links, "rep", "left").join(groups, "rep", "left")
-    known = staged(known.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
-    joined = member.select("row_id", "rep").join(known, "rep", "left")
+    groups = connected_components(found.where("other is not null").select(F.col("row_id").alias("u"), F.col("other").alias("v"))).select(F.col("id").alias("node"), "component")
+    links = found.groupBy(F.col("row_id").alias("node")).agg(F.sum("links").alias("links"))
+    known = staged(classes.select("node", "rep", "copies").join(links, "node", "left").join(groups, "node", "left"), "linked")
+    firsts = staged(known.where("component is not null").groupBy("component").agg(F.min("rep").alias("first")), "components")
+    known = known.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts.hint("merge"), "component", "left")
+    known = staged(known.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "rep").alias("component_id")), "known")
+    joined = member.select("row_id", "node").join(known, "node", "left")
     return joined.select(
         F.col("row_id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -247,3 +247,13 @@ def test_warc_repeated_ids_are_records_of_their_own(spark):
     digest = {base64.b32encode(hashlib.sha1(x.encode()).digest()).decode(): x for x in "ab"}
     said = sorted((r["page_id"], digest[r["payload_digest"]], r["refers_to"] or 0) for r in got)
     assert said == [(1, "a", 0), (2, "a", 1), (2, "b", 0), (3, "a", 1), (3, "a", 1), (4, "b", 2), (4, "b", 2)]
+
+
+
+def test_embeddings_of_one_id_stay_separate(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = rng.standard_normal((3, 24))
+    rows = [(1, a), (1, b), (2, a * 1.001 + 1e-3), (3, b + 1e-3), (3, a), (4, c), (4, c)]
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in cap_filters.near_vectors(docs).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (3, 2, 1), (4, 1, 4), (4, 1, 4)]
