@@ -31,10 +31,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_SCRATCH:
         _OWN_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="graintide-"))
     return _OWN_SCRATCH[0]
@@ -69,10 +71,20 @@ def staged_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str)
             discard(spark, path)
 
 
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    where, store = _store(spark, path)
+    store.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, store = _store(spark, path)
+    return store.exists(where)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
