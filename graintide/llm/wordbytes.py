@@ -11,6 +11,7 @@ import pyarrow as pa
 _P = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_P, -1, 1 << 64)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_factors = np.zeros(0, np.uint64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -22,6 +23,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def factors(n: int) -> np.ndarray:
+    """A scrambled odd factor for each place within a word, 0 to n at least.
+
+    Sums of bytes times such factors tell words apart with a chance near 2**-56; powers of one base, which have a
+    pattern modulo 2**64, would not."""
+    global _factors
+    if len(_factors) <= n:
+        _factors = mix(np.arange(max(n + 1, 2 * len(_factors)), dtype=np.uint64), 77) | np.uint64(1)
+    return _factors
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x + np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
@@ -54,11 +66,11 @@ def hashed_words(raw: bytes | np.ndarray, lower: bool = False) -> tuple[np.ndarr
         if lower:
             value += np.uint64(32) * ((value >= 65) & (value <= 90))
         value += np.uint64(1)
-        up, down = powers(len(value) + 1)
-        value *= up[: len(value)]
+        at, sizes = starts[k:end] - low, ends[k:end] - starts[k:end]
+        place = np.arange(len(value)) - np.repeat(at, np.diff(np.append(at, len(value))))
+        value *= factors(int(place[-1]) if end == k + 1 else int((np.append(at[1:], len(value)) - at).max()))[place]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-        at = starts[k:end] - low
-        hashes[k:end] = mix((sums[ends[k:end] - low] - sums[at]) * down[at])
+        hashes[k:end] = mix(sums[at + sizes] - sums[at])
         k = end
     return starts, ends, hashes
 
