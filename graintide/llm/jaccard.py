@@ -9,19 +9,23 @@ A signature has a leader, the first set that is met with it, and each other set
 so many signatures. Sets linked share more signatures than they may both set aside, so that each set can cut its
 weakest ties up to half of what it has to spare: texts that merely share a passage come apart here, and no link is
 lost. Sets tied by what is left, directly or along others, form a block. In a block the shingles are inverted lists. A
-set needs T of its lists; the T - 1 longest are set aside, the others are merged, and what they hold is probed in the
-long ones by binary search. Pairs that are already in one group aren't tested again, and of the links a spanning
-forest is returned, so that a group of n near copies makes at most n rows. A large block is cut by bands of sizes, in
+set needs T of its lists. DivideSkip sets L of the longest aside, L following from T and the longest; the others are
+merged by a heap, which skips what can't be in T - L of them, and what is left is probed in the long ones by binary
+search. Pairs that are already in one group aren't tested again, a block stops once it is one group, and of the links
+a spanning forest is returned, so that a group of n near copies makes at most n rows. A large block is cut by bands of sizes, in
 each of which its sets meet one another and those of the next band; where that is still large, it is cut into parts,
 and each two parts meet in a task of their own.
 
 Defined cases: null and empty texts have no set and link with nothing; texts with fewer words than a shingle have
 their whole word sequence as the one shingle; equal sets always link; rows with one id are one document with the
-union of links; a null id is kept as a row with a null component; columns beside id and text take no part.
+union of links; a null id is kept as a row with a null component; an empty table gives no rows; columns beside id and
+text take no part.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -39,6 +43,8 @@ PART_SHINGLES = 2_000_000
 #: Members of blocks up to which they are broadcast to the second reading of the texts (40 bytes each).
 BROADCAST_ROWS = 500_000
 CHUNK_POSTINGS = 1_500_000
+#: What a step of the heap costs against a binary probe, as DivideSkip weighs them.
+MU = 0.0085
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -155,8 +161,9 @@ def describe(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFra
             bucket = (mix(sign, 51) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((sender[owner, 0], sign, bucket))
             sign, owner, bucket = sign[order], owner[order], bucket[order]
+            # a batch of null, empty or short texts only has no signatures
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(sign) else []
-            for at, end in zip(cuts, [*cuts[1:], len(sign)], strict=True):
+            for at, end in zip(cuts, [*cuts[1:], len(sign)][: len(cuts)], strict=True):
                 here, local = np.unique(owner[at:end], return_inverse=True)
                 head = np.array([len(here), end - at], np.int64).tobytes() + sender[here].tobytes() + local.astype(np.uint32).tobytes()
                 packed = sign[at:end].view(np.uint8).reshape(-1, 8)[:, :SIGN_BYTES].tobytes()
@@ -254,6 +261,38 @@ class Forest:
         return a != b
 
 
+def long_lists(least: int, lengths: np.ndarray) -> int:
+    """How many of the longest lists to probe instead of merging: least / (MU * log2(longest) + 1), DivideSkip's balance of the two costs."""
+    return min(least - 1, int(least / (MU * math.log2(max(2, int(lengths.max()))) + 1)))
+
+
+def heap_merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
+    """(element, lists that hold it) of those in at least `need` of the ascending lists.
+
+    A heap holds the next element of each list; where its smallest can't reach `need`, lists skip to the element that still can."""
+    heap = [(one[0], k, 0) for k, one in enumerate(lists)]
+    heapq.heapify(heap)
+    found = []
+    while len(heap) >= need:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= need:
+            found.append((top, len(popped)))
+            target = top + 1
+        else:
+            while len(popped) < need - 1 and heap:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                break
+            target = heap[0][0]
+        for _, k, at in popped:
+            at = bisect.bisect_left(lists[k], target, at)
+            if at < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at], k, at))
+    return found
+
+
 def t_occurrence(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within each group, as positions. Sets of side 0 and 2 search those of side 1, those of side 2 each other too."""
     n = len(sets)
@@ -272,19 +311,23 @@ def t_occurrence(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, pe
     list_of[order] = list_of_sorted
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     forest, found = Forest(n), []
+    trees = np.bincount(group)  # of each group; where one is left, there is nothing more to link
     for x in range(n):
-        if side[x] == 1:
+        if side[x] == 1 or trees[group[x]] == 1:
             continue
         mine = list_of[offsets[x] : offsets[x + 1]]
         size = len(mine)
         least = -(-size * percent // 100)  # overlap with any set it can link to
         by_length = mine[np.argsort(lengths[mine], kind="stable")]
-        short, long = by_length[: size - least + 1], by_length[size - least + 1 :]
-        if lengths[short[-1]] == 1:
-            continue
+        if lengths[by_length[size - least]] == 1:
+            continue  # no other set is in as many lists as it takes
+        probed = long_lists(least, lengths[by_length])
+        short, long = by_length[: size - probed], by_length[size - probed :]
         short = short[lengths[short] > 1]
-        merged = np.concatenate([posted[starts[k] : starts[k + 1]] for k in short])
-        near, count = np.unique(merged, return_counts=True)
+        merged = heap_merge([posted[starts[k] : starts[k + 1]].tolist() for k in short.tolist()], least - probed)
+        if not merged:
+            continue
+        near, count = np.array(merged, np.int64).T
         fits = (100 * sizes[near] >= percent * size) & (100 * size >= percent * sizes[near]) & ((side[near] == 1) | (side[x] == 2) & (side[near] == 2) & (near > x))
         near, count = near[fits], count[fits]
         rank = np.argsort(-count, kind="stable")
@@ -310,6 +353,7 @@ def t_occurrence(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, pe
             for y in who[have >= want]:
                 if forest.join(x, int(y)):
                     found.append((x, int(y)))
+                    trees[group[x]] -= 1
     return found
 
 
