@@ -11,7 +11,7 @@ windows are dealt by the hash of the whole window instead, for all documents ali
 
 Defined cases: a null text has no words; texts of fewer words than a window lose none; rows with one id are one
 document, of which no row removes words from another; rows with a null id are kept whole and remove nothing; no
-documents give no rows; columns beside id and text take no part.
+documents give no rows; columns beside id and text take no part, and such as have the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graintide.llm.wordbytes import blobs, give_back, hashed_words, mix, powers, window_hash
 from graintide.session import shuffle_partitions, small_batches, staged
@@ -29,8 +30,8 @@ from graintide.session import shuffle_partitions, small_batches, staged
 WIDTH, SHORT = 13, 3
 #: Windows that a bucket has on average.
 BUCKET_WINDOWS = 1_000_000
-#: Documents with marks up to which these are broadcast (some 16 bytes and 8 for each span); beyond, the join shuffles.
-BROADCAST_ROWS = 250_000
+#: Documents with marks, and bytes of these, up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 64 << 20
 
 
 def rolling(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,17 +258,21 @@ def merged_spans(marks: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Per row: its columns, n_words, n_removed and kept, the kept words joined by one space."""
+    docs = docs.drop("n_words", "n_removed", "kept")
     marks = staged(merged_spans(repeat_marks(docs, id_col, text_col, width)), "marks")
-    rows = docs.select("*", F.xxhash64(text_col).alias("_row_key"))
-    side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks.hint("merge")
-    joined = rows.join(side, (rows[id_col].cast("long") == F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left").drop("_id", "_key", "_row_key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long, kept string"
     names = docs.columns
+    at, text_at = names.index(id_col), names.index(text_col)
+    # columns go by place, so that no name of theirs meets one of ours
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    count, size = marks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_spans") + 16), F.lit(0))).first()
+    side = F.broadcast(marks) if count <= BROADCAST_ROWS and size <= BROADCAST_BYTES else marks.hint("merge")
+    joined = rows.join(side, (F.col(f"c{at}").cast("long") == F.col("_id")) & (F.xxhash64(f"c{text_at}") == F.col("_key")), "left").drop("_id", "_key")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, spans in zip(batch.column(names.index(text_col)).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split on the same white space
                 left, at = [], 0
                 for first, end in np.frombuffer(spans or b"", "<i4").reshape(-1, 2).tolist():
