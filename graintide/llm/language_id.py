@@ -5,8 +5,8 @@ hash of their id; of the model only numbers for each hashed subword reach the wo
 a temperature on sampled rows that weren't trained on; rows below a quantile of it are rejected.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any labelled row every text is
-`und`; rows with a null id or null label are predicted, not learned from; copies are predicted alike; columns beside
-id, text and label take no part.
+`und`; rows with a null id or null label are predicted, not learned from; copies are predicted alike; an empty table
+gives no rows; columns beside id, text and label take no part, and such as have the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graintide.llm.wordbytes import mix
 from graintide.session import small_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+WORD, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
 #: Longest run of letters that is taken as one word; a longer one is read in pieces of this length.
 LONGEST = 64
@@ -32,7 +34,9 @@ UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    words = LETTERS.findall((text or "").lower())
+    words = WORD.findall((text or "").lower())
+    if words and not "".join(words).isalpha():  # signs of numbers such as one half are no letters
+        words = LETTERS.findall(" ".join(words))
     if any(len(w) > LONGEST for w in words):
         words = [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
     return words
@@ -175,17 +179,17 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 400) -> list[tuple[str, str]]:
-    """At most rows_per_language labelled rows of each language, whole texts, in the order of a hash of their id."""
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 400, most_languages: int = 1000) -> list[tuple[str, str]]:
+    """At most rows_per_language labelled rows of each of the commonest languages, whole texts, in the order of a hash of their id."""
     usable = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["label"]: r["n"] for r in usable.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 30))
-    limit = F.lit(0)
-    for label, n in sorted(counts.items()):
-        limit = F.when(F.col(label_col) == label, int(min(1.0, rows_per_language / n) * (1 << 30))).otherwise(limit)
-    chosen = usable.where(place < limit).select(place.alias("place"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).collect()
+    labelled = usable.select(place.alias("place"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_languages)
+    limits = {r["label"]: int(min(1.0, rows_per_language / r["n"]) * (1 << 30)) for r in counts.collect()}
+    if not limits:
+        return []
+    share = F.map_from_arrays(F.array(*map(F.lit, limits)), F.array(*map(F.lit, limits.values())))
+    chosen = labelled.where(F.col("place") < F.coalesce(F.try_element_at(share, F.col("label")), F.lit(0))).collect()
     taken: dict[str, int] = {}
     rows = []
     for r in sorted(chosen, key=lambda r: (r["place"], r["label"], r["text"])):
@@ -202,6 +206,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and rejected (no letters, or a score below the calibrated threshold)."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score", "rejected")
     names = docs.columns
     at = names.index(text_col)
 
@@ -211,5 +216,5 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             bad = [n == UNKNOWN or s < model.threshold for n, s in zip(pred, score, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bad, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + ", lang_pred string, score double, rejected boolean")
+    results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *results]))
