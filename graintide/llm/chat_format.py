@@ -3,12 +3,18 @@
 A line's quote level is the number of `>` that it begins with. Consecutive lines of one level form a passage. The
 normalised passages of a message and their lines are hashed, at every level, and joined to the hashed lines and whole own
 texts of earlier messages of the conversation; of the shallowest level that is known the latest message is the parent.
-A message that quotes nothing known replies to the one before it. The result has each message without quotes and attribution lines, with
-its parent and its place in the conversation, parents always coming before their replies.
+A message that quotes nothing known replies to the one before it. For each passage the latest earlier message is a
+running maximum over turns, so that a line that all messages have makes no pairs.
+
+The result has each message without quotes and attribution lines, with its parent and its place in the conversation as
+its replies order it: depth first, a message's replies following it by turn, each with all that replies to it. Messages
+that each reply to the one before form a run, so that only runs are ordered, by the path of turns at which one branches
+off another; paths grow by pointer doubling, and long conversations are dealt in blocks of turns and ranges of paths.
 
 Defined cases: a null text is empty; a message of quotes alone has empty content; empty and repeated lines never
 make a passage by themselves; of several rows with one turn each keeps its row, their places following role and
-content; rows with a null conversation or turn have no parent and no place; columns beside the four take no part.
+content; rows with a null conversation or turn have no parent and no place; an empty table gives no rows; columns beside
+the four take no part.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graintide.functions.text import let
+from graintide.session import staged
 
 #: Turns of a conversation that share a window partition, so that a very long one is dealt over tasks.
 BLOCK = 1024
@@ -64,49 +71,106 @@ def hashes(units):
     return F.array_distinct(F.transform(F.filter(F.transform(units, normalised), lambda x: x != ""), lambda x: F.md5(x)))
 
 
+def running_max(rows: DataFrame, keys: list[str], value, name: str, upto: int = 0) -> DataFrame:
+    """rows with the maximum of value over the rows of the same keys up to their own turn (upto 0) or before it (-1).
+
+    Taken within blocks of turns and then over blocks, so that keys with very many rows are dealt over tasks."""
+    blocked = rows.withColumn("_v", value).withColumn("_block", F.floor(F.col("turn") / BLOCK))
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocked.groupBy(*keys, "_block").agg(F.max("_v").alias("_last"))
+    blocks = blocks.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_block").alias("_b"), F.max("_last").over(earlier).alias("_carried"))
+    here = W.partitionBy(*keys, "_block").orderBy("turn").rangeBetween(W.unboundedPreceding, upto)
+    blocked = blocked.withColumn("_here", F.max("_v").over(here))
+    same = F.col("_block").eqNullSafe(F.col("_b"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = blocked.join(blocks, same)
+    return joined.withColumn(name, F.greatest("_here", "_carried")).drop("_v", "_block", "_b", "_here", "_carried", *(f"_{k}" for k in keys))
+
+
 def quote_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, quoted_turn): the latest earlier message whose text or line the message quotes at the shallowest level known."""
-    quoting = messages.where("depth > 0").select("conv_id", "turn", F.inline(quoted(F.col("lines")))).distinct()
-    original = messages.select("conv_id", F.col("turn").alias("source"), F.explode(hashes(F.concat(F.split("content", "\n"), F.array("content")))).alias("passage"))
-    met = quoting.join(original, ["conv_id", "passage"]).where("source < turn")
-    return met.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct(-F.col("level"), "source")).alias("quoted_turn"))
+    quoting = staged(messages.where("depth > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.inline(quoted(F.col("lines")))).distinct(), "quoting")
+    original = messages.select("conv_id", "turn", F.explode(hashes(F.concat(F.split("content", "\n"), F.array("content")))).alias("passage"))
+    original = original.join(quoting.select("conv_id", "passage").distinct().hint("merge"), ["conv_id", "passage"], "left_semi")
+    events = original.select("conv_id", "passage", "turn", F.col("turn").alias("source"), F.lit(None).cast("int").alias("level"))
+    events = events.union(quoting.select("conv_id", "passage", "turn", F.lit(None).cast("bigint"), "level"))
+    met = running_max(events, ["conv_id", "passage"], F.col("source"), "latest", -1).where("level is not null and latest is not null")
+    return met.groupBy("conv_id", "turn").agg(F.max_by("latest", F.struct(-F.col("level"), "latest")).alias("quoted_turn"))
 
 
 def in_order(messages: DataFrame) -> DataFrame:
-    """Messages with `before` (the previous turn) and `position` (from 1); long conversations are dealt in blocks."""
-    blocked = messages.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    blocks = blocked.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
+    """Messages with `before` (the previous turn) and `place` (from 1, by turn); long conversations are dealt in blocks."""
+    rows = messages.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.max("last").over(earlier).alias("carried"))
-    here = W.partitionBy("conv_id", "block").orderBy("turn")
-    rows = blocked.withColumn("before", F.max("turn").over(here.rangeBetween(W.unboundedPreceding, -1)))
-    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("conv_id", "block").orderBy("turn", "role", "content")))
+    blocks = blocks.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    rows = rows.withColumn("here", F.row_number().over(W.partitionBy("conv_id", "block").orderBy("turn", "role", "content")))
+    rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b"))).drop("_c", "_b")
+    rows = rows.withColumn("place", F.col("base") + F.col("here")).drop("base", "here")
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b")))
-    return rows.withColumn("before", F.when(known, F.coalesce("before", "carried"))).withColumn("position", F.when(known, F.col("base") + F.col("place"))).drop("_c", "_b", "base", "carried", "place", "block")
+    return running_max(rows, ["conv_id"], F.when(known, F.col("turn")), "before", -1).withColumn("before", F.when(known, F.col("before")))
+
+
+def branch_paths(heads: DataFrame, turns: DataFrame, rounds: int = 64) -> DataFrame:
+    """(conv_id, head, path): for each run that branches off, by its first turn, the branchings on the way to it.
+
+    A branching is (minus the turn it replies to, its first turn), so that paths order runs depth first. heads: conv_id,
+    head, attach; turns: conv_id, turn, head (of its run, null for the first run of a conversation)."""
+    owner = turns.select("conv_id", F.col("turn").alias("attach"), F.col("head").alias("up"))
+    state = staged(heads.join(owner, ["conv_id", "attach"]).select("conv_id", "head", "up", F.array(-F.col("attach"), F.col("head")).alias("path")), "branches")
+    for _ in range(rounds):
+        if state.where("up is not null").isEmpty():
+            return state.select("conv_id", "head", "path")
+        above = state.select("conv_id", F.col("head").alias("up"), F.col("up").alias("_next"), F.col("path").alias("_first"))
+        joined = state.join(above, ["conv_id", "up"], "left")
+        state = staged(joined.select("conv_id", "head", F.col("_next").alias("up"), F.concat(F.coalesce("_first", F.array().cast("array<bigint>")), "path").alias("path")), "branches")
+    raise RuntimeError(f"branches didn't settle within {rounds} rounds")
+
+
+def run_bases(runs: DataFrame) -> DataFrame:
+    """runs (conv_id, head, path, n, ...) with `base`, the messages of the conversation's runs before it in the order of paths."""
+    dealt = staged(runs.orderBy("conv_id", "path").withColumn("part", F.spark_partition_id()), "runs")
+    sums = dealt.groupBy("conv_id", "part").agg(F.sum("n").alias("sum"))
+    earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("conv_id", "part", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("carried"))
+    here = W.partitionBy("conv_id", "part").orderBy("path").rowsBetween(W.unboundedPreceding, -1)
+    return dealt.withColumn("here", F.coalesce(F.sum("n").over(here), F.lit(0))).join(sums, ["conv_id", "part"]).withColumn("base", F.col("carried") + F.col("here")).drop("part", "here", "carried")
 
 
 def linked_conversations(messages: DataFrame) -> DataFrame:
-    """Per message: conv_id, turn, role, parent_turn, by_quote, quote_depth, position, content."""
-    rows = parsed(messages)
-    links = quote_links(rows)
+    """Per message: conv_id, turn, role, parent_turn, by_quote, quote_depth, position (in the order of replies), content."""
+    rows = parsed(messages.withColumn("turn", F.col("turn").cast("bigint")))
+    links = quote_links(rows).withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
     ordered = in_order(rows.drop("lines"))
-    joined = ordered.join(links.withColumnsRenamed({"conv_id": "_c", "turn": "_t"}), (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
-    return joined.select(
+    joined = ordered.join(links, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").drop("_c", "_t")
+    branches = F.col("quoted_turn").isNotNull() & ~F.col("quoted_turn").eqNullSafe(F.col("before"))
+    headed = staged(running_max(joined, ["conv_id"], F.when(branches, F.col("turn")), "head"), "messages")
+    known = headed.where("conv_id is not null and turn is not null")
+    heads = known.where(branches).select("conv_id", F.col("turn").alias("head"), F.col("quoted_turn").alias("attach")).distinct()
+    # several rows can have one turn
+    paths = branch_paths(heads, known.select("conv_id", "turn", "head").distinct())
+    sizes = known.groupBy("conv_id", "head").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.min("block").alias("low"), F.max("block").alias("high"))
+    no_path = F.array().cast("array<bigint>")
+    runs = run_bases(sizes.join(paths, ["conv_id", "head"], "left").withColumn("path", F.coalesce("path", no_path)))
+    # a run may hold most rows: it is met block by block
+    spread = runs.select(F.col("conv_id").alias("_c"), F.col("head").alias("_h"), (F.col("base") - F.col("first") + 1).alias("shift"), F.explode(F.sequence("low", "high")).alias("_b"))
+    placed = headed.join(spread, (F.col("conv_id") == F.col("_c")) & F.col("head").eqNullSafe(F.col("_h")) & (F.col("block") == F.col("_b")), "left")
+    return placed.select(
         F.col("conv_id"), F.col("turn"), "role", F.coalesce("quoted_turn", "before").alias("parent_turn"), F.col("quoted_turn").isNotNull().alias("by_quote"),
-        F.col("depth").cast("long").alias("quote_depth"), F.col("position").cast("long").alias("position"), "content")
+        F.col("depth").cast("long").alias("quote_depth"), (F.col("place") + F.col("shift")).cast("long").alias("position"), "content")
 
 
 def rendered(linked: DataFrame) -> DataFrame:
-    """Each message as chat text; ordered by position they make the conversation."""
+    """Each message with `chat`, its text under its role's mark; ordered by position they make the conversation."""
     role, content = F.coalesce("role", F.lit("user")), F.regexp_replace("content", r"<\|", "< |")
     return linked.withColumn("chat", F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), content, F.lit("<|im_end|>\n")))
 
 
-#: The same in DuckDB, over a view named conversations, but for nested quotations, of which it links none.
+#: The same in DuckDB, over a view named conversations.
 SQL = r"""
-WITH l AS (
-  SELECT row_number() OVER () AS rid, conv_id, turn, role,
+WITH RECURSIVE l AS (
+  SELECT row_number() OVER () AS rid, conv_id, CAST(turn AS BIGINT) AS turn, role,
          list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {
            'level': length(regexp_replace(regexp_extract(x, '^[ \t]*(?:>[ \t]?)+', 0), '[^>]', '', 'g')),
            'body': regexp_replace(x, '^[ \t]*(?:>[ \t]?)+', '')}) AS lines
@@ -114,16 +178,26 @@ WITH l AS (
 d AS (SELECT *, coalesce(list_max(list_transform(lines, lambda x: x.level)), 0) AS depth FROM l),
 p AS (SELECT *, trim(regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: x.level = 0 AND NOT (depth > 0
         AND regexp_matches(x.body, '^[ \t]*(On|Le|Am|El) .*(wrote|écrit|schrieb|escribió) ?:[ \t]*$'))), lambda x: x.body), chr(10)), '^\s+|\s+$', '', 'g'), ' ') AS content FROM d),
-q AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(u), '[ \t\r\n\f]+', ' ', 'g')) AS unit FROM (
-        SELECT conv_id, turn, unnest(list_concat(
-          string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN x.level = 1 THEN x.body ELSE chr(1) END), chr(10)), chr(1)),
-          list_transform(list_filter(lines, lambda x: x.level = 1), lambda x: x.body))) AS u FROM p WHERE depth > 0)),
+v AS (SELECT conv_id, turn, lines, unnest(generate_series(1, CAST(depth AS BIGINT))) AS lv FROM p WHERE depth > 0),
+q AS (SELECT DISTINCT conv_id, turn, lv, trim(regexp_replace(lower(u), '[ \t\r\n\f]+', ' ', 'g')) AS unit FROM (
+        SELECT conv_id, turn, lv, unnest(list_concat(
+          list_transform(string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN x.level = lv THEN x.body ELSE chr(1) END), chr(10)), chr(1)), lambda x: trim(x, chr(10))),
+          list_transform(list_filter(lines, lambda x: x.level = lv), lambda x: x.body))) AS u FROM v)),
 o AS (SELECT DISTINCT conv_id, turn AS source, trim(regexp_replace(lower(u), '[ \t\r\n\f]+', ' ', 'g')) AS unit FROM (
         SELECT conv_id, turn, unnest(list_append(string_split(content, chr(10)), content)) AS u FROM p)),
-k AS (SELECT q.conv_id, q.turn, max(source) AS quoted_turn FROM q JOIN o USING (conv_id, unit) WHERE unit <> '' AND source < q.turn GROUP BY ALL),
-s AS (SELECT *, max(turn) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, content) AS position FROM p)
-SELECT s.conv_id, s.turn, role, coalesce(quoted_turn, before) AS parent_turn, quoted_turn IS NOT NULL AS by_quote,
-       CAST(depth AS BIGINT) AS quote_depth, position, content
-FROM s LEFT JOIN k ON s.conv_id = k.conv_id AND s.turn = k.turn
+k AS (SELECT conv_id, turn, source AS quoted_turn FROM (SELECT q.conv_id, q.turn, source, row_number() OVER (PARTITION BY q.conv_id, q.turn ORDER BY lv, source DESC) AS r
+        FROM q JOIN o USING (conv_id, unit) WHERE unit <> '' AND source < q.turn) WHERE r = 1),
+s AS (SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN max(turn) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS before,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, content) AS place FROM p),
+j AS (SELECT s.*, quoted_turn, quoted_turn IS NOT NULL AND quoted_turn IS DISTINCT FROM before AS jump FROM s LEFT JOIN k ON s.conv_id = k.conv_id AND s.turn = k.turn),
+h AS (SELECT *, max(CASE WHEN jump THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM j),
+b AS (SELECT DISTINCT a.conv_id, a.turn AS head, a.quoted_turn AS attach, u.head AS up FROM h a JOIN h u ON u.conv_id = a.conv_id AND u.turn = a.quoted_turn WHERE a.jump),
+w AS (SELECT conv_id, head, [-attach, head] AS path FROM b WHERE up IS NULL
+      UNION ALL SELECT b.conv_id, b.head, list_concat(w.path, [-b.attach, b.head]) FROM b JOIN w ON b.conv_id = w.conv_id AND b.up = w.head),
+n AS (SELECT conv_id, head, count(*) AS n, min(place) AS first FROM h WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+r AS (SELECT n.conv_id, n.head, first, coalesce(sum(n) OVER (PARTITION BY n.conv_id ORDER BY coalesce(path, CAST([] AS BIGINT[])) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+      FROM n LEFT JOIN w ON n.conv_id = w.conv_id AND n.head = w.head)
+SELECT h.conv_id, h.turn, role, coalesce(quoted_turn, before) AS parent_turn, quoted_turn IS NOT NULL AS by_quote,
+       CAST(depth AS BIGINT) AS quote_depth, CAST(place - first + base + 1 AS BIGINT) AS position, content
+FROM h LEFT JOIN r ON h.conv_id = r.conv_id AND h.head IS NOT DISTINCT FROM r.head AND h.turn IS NOT NULL
 """
