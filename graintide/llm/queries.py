@@ -18,7 +18,7 @@ def vocab_path(name: str) -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = wordbpe.encode_documents(table(spark, sf_dir, "documents"), vocab_path("word_bpe_49k.json"))
+    coded = wordbpe.encode_documents(table(spark, sf_dir, "documents"), vocab_path("word_bpe_49k.json"), decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
