@@ -1,18 +1,21 @@
 """Near duplicates among embeddings by spherical-cap filters.
 
-A filter is a direction put together from one codeword for each block of coordinates (a random product code, made
-from a seed), after a seeded rotation. A vector goes to every filter whose direction exceeds a score; these are
-list-decoded block by block, without listing the filters that don't. Vectors that share a filter are compared in
-double precision; a pair counts under the first filter that it shares, so that links are counted once. The number of
-filters follows the number of vectors. The score is set on seeded random pairs that lie exactly at the threshold, so
-that the wanted share of them meets in a filter; closer pairs meet more surely.
-
-Equal vectors are one node with a number of its own and a multiplicity. A filter that very many vectors exceed is cut into parts, and each two
-parts meet in a task of their own, which returns counts and a spanning forest, never pairs.
+A filter is a direction put together from one codeword for each of two blocks of coordinates (a random product code,
+made from a seed), after a seeded rotation. A vector goes to every filter whose direction exceeds a score; these are
+list-decoded block by block, without listing the filters that don't. There are about as many filters as vectors, so
+that a filter holds few of them however many there are. The score is set on seeded random pairs that lie exactly at
+the threshold, so that the wanted share of them meets in a filter; closer pairs meet more surely.
+
+Filters travel in cells, a cell being those with one first codeword and a range of second ones: a vector is sent once
+to each of its cells, not to each of its filters, with the list of them. In a cell the vectors of each filter are
+compared in double precision; a pair counts under the first filter that it shares, so that links are counted once.
+Equal vectors are one node with a number of its own and a multiplicity. A cell that very many vectors enter is cut
+into parts, and each two parts meet in a task of their own, which returns counts and a spanning forest, never pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 their own component; vectors of different lengths never link; rows with one id are separate rows of one id; a null id
-is kept with a null component unless its vector equals another; columns beside id and vector take no part.
+is kept with a null component unless its vector equals another; an empty table gives no rows; columns beside id and
+vector take no part.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from graintide.llm.wordbytes import mix
 from graintide.session import shuffle_partitions, small_batches, staged
 
 #: Blocks of a code, and the share of pairs at the threshold that must meet.
-BLOCKS, RECALL = 3, 0.93
-#: Vectors of a filter that one task takes from each of its two parts.
-PART = 2048
-#: Filters up to which their sizes are broadcast (16 bytes each); beyond, the join shuffles.
+BLOCKS, RECALL = 2, 0.93
+#: Vectors of a cell that one task takes from each of its two parts, and how many a cell is meant to hold at most.
+PART, CELL = 8192, 6000
+#: Cells up to which their sizes are broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
@@ -55,15 +58,19 @@ class ProductCode:
             x, y = (v / np.linalg.norm(v) for v in rng.standard_normal((2, dim)))
             y = y - (x @ y) * x
             y = cosine * x + math.sqrt(1 - cosine**2) * y / max(np.linalg.norm(y), 1e-300) if dim > 1 else x
-            met.append(np.minimum(*(self._all(v) for v in (x, y))).max())
+            met.append(self._best(x, y))
         self.score = float(np.quantile(met, 1 - recall))
 
-    def _all(self, v: np.ndarray) -> np.ndarray:
-        """The scores of all filters for one turned vector."""
-        out = np.zeros(1)
+    def _best(self, x: np.ndarray, y: np.ndarray) -> float:
+        """The highest score that both turned vectors reach in one filter; of each block only codewords that no other beats for both matter."""
+        both = np.zeros((1, 2))
         for cut, w in zip(self.cuts, self.words, strict=True):
-            out = (out[:, None] + (w @ v[cut])[None, :]).ravel()
-        return out
+            scores = np.stack([w @ x[cut], w @ y[cut]], axis=1)
+            scores = scores[np.argsort(-scores[:, 0], kind="stable")]
+            top = np.maximum.accumulate(scores[:, 1])
+            front = scores[np.concatenate(([True], scores[1:, 1] > top[:-1]))]
+            both = (both[:, None, :] + front[None, :, :]).reshape(-1, 2)
+        return float(both.min(axis=1).max())
 
     def exceeded(self, vectors: np.ndarray) -> list[list[int]]:
         """The filters that each unit vector exceeds, ascending; the best one where it exceeds none."""
@@ -92,8 +99,13 @@ def _unit(vectors: list[bytes]) -> np.ndarray:
 
 
 def code_words(rows: int) -> int:
-    """Codewords of a block: the number of filters follows the number of vectors."""
-    return max(12, math.ceil((rows / 64) ** (1 / BLOCKS)))
+    """Codewords of a block: there are as many filters as vectors."""
+    return max(12, math.ceil(rows ** (1 / BLOCKS)))
+
+
+def cell_width(rows: int, words: int) -> int:
+    """Second codewords of a cell, so that it holds CELL vectors at most on the whole (a vector enters some ten first codewords)."""
+    return max(1, words // max(1, math.ceil(10 * rows / words / CELL)))
 
 
 def _bytes(vector: list[float]) -> bytes:
@@ -117,11 +129,14 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     member = staged(keyed.select("row_id", "v", "digest").join(classes, "digest", "left").select("row_id", F.when(F.col("rep") == F.col("row_id"), F.col("v")).alias("v"), "node", "copies"), "vectors")
     nodes = member.where("v is not null").dropDuplicates(["node"]).select(F.col("node").alias("row_id"), "copies", "v")
-    coded = staged(_coded(nodes, code_words(member.count()), cosine), "filters")
-    per = staged(coded.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("size")).where("size > 1").select("filter", F.ceil(F.col("size") / PART).cast("long").alias("parts")), "filter-sizes")
+    count = nodes.count()
+    words = code_words(count)
+    width = cell_width(count, words)
+    coded = staged(_coded(nodes, words, width, cosine), "filters")
+    per = staged(coded.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("size")).where("size > 1").select("cell", F.ceil(F.col("size") / PART).cast("long").alias("parts")), "cell-sizes")
     small = per.count() <= BROADCAST_ROWS
-    met = coded.select("row_id", "copies", "v", "listed", F.explode("filters").alias("filter")).join(F.broadcast(per) if small else per.hint("merge"), "filter")
-    found = staged(_met(met, cosine), "found")
+    met = coded.select("row_id", "copies", "v", "listed", F.explode("cells").alias("cell")).join(F.broadcast(per) if small else per.hint("merge"), "cell")
+    found = staged(_met(met, words, width, cosine), "found")
     groups = connected_components(found.where("other is not null").select(F.col("row_id").alias("u"), F.col("other").alias("v"))).select(F.col("id").alias("node"), "component")
     links = found.groupBy(F.col("row_id").alias("node")).agg(F.sum("links").alias("links"))
     known = staged(classes.select("node", "rep", "copies").join(links, "node", "left").join(groups, "node", "left"), "linked")
@@ -137,8 +152,8 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     )
 
 
-def _coded(nodes: DataFrame, words: int, cosine: float) -> DataFrame:
-    """Each vector with the filters that it exceeds."""
+def _coded(nodes: DataFrame, words: int, width: int, cosine: float) -> DataFrame:
+    """Each vector with the cells that it enters and the filters that it exceeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, ProductCode] = {}
@@ -148,15 +163,26 @@ def _coded(nodes: DataFrame, words: int, cosine: float) -> DataFrame:
             for k, v in enumerate(vectors):
                 by_dim.setdefault(len(v), []).append(k)
             raw = [_bytes(v) for v in vectors]
-            filters: list[list[int]] = [[] for _ in vectors]
+            cells: list[list[int]] = [[] for _ in vectors]
+            listed: list[bytes] = [b""] * len(vectors)
             for dim, which in by_dim.items():
                 if dim not in codes:
                     codes[dim] = ProductCode(dim, words, cosine)
                 for k, found in zip(which, codes[dim].exceeded(_unit([raw[k] for k in which])), strict=True):
-                    filters[k] = [f * 65_536 + dim % 65_536 for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(filters, pa.list_(pa.int64())), pa.array([np.array(f, np.int64).tobytes() for f in filters], pa.binary())], names=["row_id", "copies", "v", "filters", "listed"])
+                    cells[k] = [c * 65_536 + dim % 65_536 for c in sorted({_cell(f, words, width) for f in found})]
+                    listed[k] = np.array(found, _kind(words)).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(listed, pa.binary())], names=["row_id", "copies", "v", "cells", "listed"])
+
+    return nodes.mapInArrow(run, "row_id long, copies long, v binary, cells array<long>, listed binary")
+
+
+def _kind(words: int) -> type:
+    return np.uint32 if words < 65_536 else np.int64
+
 
-    return nodes.mapInArrow(run, "row_id long, copies long, v binary, filters array<long>, listed binary")
+def _cell(filters, words: int, width: int):
+    """The cell of a filter, or of each of an array of them."""
+    return filters // words * words + filters % words // width
 
 
 def first_shared(filters: list[np.ndarray], own: int) -> np.ndarray:
@@ -169,23 +195,41 @@ def first_shared(filters: list[np.ndarray], own: int) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def compare(ids: list[int], copies: np.ndarray, filters: list[np.ndarray], vectors: list[bytes], side: np.ndarray, own: int, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links that count under filter `own`: how many each row has (weighted by copies), and a spanning forest."""
+def compare(ids: list[int], copies: np.ndarray, filters: list[np.ndarray], vectors: list[bytes], side: np.ndarray, cell: int, words: int, width: int, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links that count under the filters of a cell: how many each row has (weighted by copies), and a spanning forest."""
     links, forest, edges = np.zeros(len(ids), np.int64), Forest(len(ids)), []
-    bits = first_shared(filters, own)
     dims = np.array([(len(v) - 1) // (4 if v[:1] == b"f" else 8) for v in vectors])
-    for dim in np.unique(dims):
+    flat = np.concatenate(filters).astype(np.int64)
+    owner = np.repeat(np.arange(len(ids)), [len(f) for f in filters])
+    here = _cell(flat, words, width) == cell
+    flat, owner = flat[here], owner[here]
+    unit: dict[int, np.ndarray] = {}
+    place = np.zeros(len(ids), np.int64)
+    for dim in np.unique(dims).tolist():
         which = np.flatnonzero(dims == dim)
+        unit[dim], place[which] = _unit([vectors[k] for k in which]), np.arange(len(which))
+    order = np.lexsort((owner, dims[owner], flat))
+    flat, owner = flat[order], owner[order]
+    turn = np.concatenate(([True], (flat[1:] != flat[:-1]) | (dims[owner[1:]] != dims[owner[:-1]])))
+    starts = np.flatnonzero(turn).tolist()
+    for start, end in zip(starts, [*starts[1:], len(flat)], strict=True):
+        which = owner[start:end]
         a, b = which[side[which] != 1], which[side[which] != 0]
-        if not len(a) or not len(b):
+        if not len(a) or not len(b) or end - start < 2:
             continue
-        one, two = _unit([vectors[k] for k in a]), _unit([vectors[k] for k in b])
+        all_units = unit[int(dims[which[0]])]
+        two = all_units[place[b]].T
         for at in range(0, len(a), 256):
-            i, j = np.nonzero(one[at : at + 256] @ two.T >= cosine)
-            i, j = a[i + at], b[j]
+            part = a[at : at + 256]
+            i, j = np.nonzero(all_units[place[part]] @ two >= cosine)
+            i, j = part[i], b[j]
             keep = (i < j) | (side[i] != 2)
             i, j = i[keep], j[keep]
-            new = ~(bits[i] & bits[j]).any(axis=1)
+            if not len(i):
+                continue
+            met = np.unique(np.concatenate((i, j)))
+            bits = first_shared([filters[k] for k in met], int(flat[start]))
+            new = ~(bits[np.searchsorted(met, i)] & bits[np.searchsorted(met, j)]).any(axis=1)
             i, j = i[new], j[new]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -193,12 +237,13 @@ def compare(ids: list[int], copies: np.ndarray, filters: list[np.ndarray], vecto
     return links, edges
 
 
-def _met(met: DataFrame, cosine: float) -> DataFrame:
-    """(row_id, links, other): counts and forest edges from every filter's parts."""
+def _met(met: DataFrame, words: int, width: int, cosine: float) -> DataFrame:
+    """(row_id, links, other): counts and forest edges from every cell's parts."""
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
         task, side, ids, copies, filters, vectors = (list(x) for x in zip(*held, strict=True))
-        links, edges = compare(ids, np.array(copies), [np.frombuffer(f, np.int64) for f in filters], vectors, np.array(side), int(task[0].split(".")[0]), cosine)
+        cell = int(task[0].split(".")[0]) // 65_536
+        links, edges = compare(ids, np.array(copies), [np.frombuffer(f, _kind(words)) for f in filters], vectors, np.array(side), cell, words, width, cosine)
         some = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([
             pa.array([ids[k] for k in some] + [e[0] for e in edges], pa.int64()),
@@ -221,6 +266,6 @@ def _met(met: DataFrame, cosine: float) -> DataFrame:
     paired = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") == high, 1).otherwise(0)
-    dealt = paired.select(F.concat_ws(".", "filter", low, high).alias("task"), side.alias("side"), "row_id", "copies", "listed", "v")
+    dealt = paired.select(F.concat_ws(".", "cell", low, high).alias("task"), side.alias("side"), "row_id", "copies", "listed", "v")
     n = shuffle_partitions(met.sparkSession)
     return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "row_id long, links long, other long")
