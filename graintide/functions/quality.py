@@ -9,7 +9,7 @@ from graintide.functions import text as T
 
 #: Thresholds of the prose, code, SQL and notebook rules.
 MIN_LINE_CHARS, MAX_NONALNUM, MIN_DOC_CHARS = 40, 0.30, 600
-TOP_GRAMS, MAX_REPEATED, GRAM = 10, 0.50, 4
+TOP_GRAMS, MAX_REPEATED, GRAM, MIN_WORDS = 10, 0.50, 4, 8
 LANG_CHARS, ASCII_YES, ASCII_NO, ASCII_FALLBACK = 5000, 0.99, 0.90, 0.95
 CODE_MIN, CODE_MAX, MAX_AVG_LINE, MAX_LINE, MIN_ALNUM, MAX_COMMENT = 200, 100_000, 100, 1000, 0.25, 0.50
 MAX_INSERTS, SQL_MAX_LINE, SQL_HEAD, NOTEBOOK_MAX_LINE = 50, 5000, 20_000, 5000
@@ -39,6 +39,8 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?:{OCTET}\.){{3}}{OCTET}"
 EMAIL_TOKEN, IP_TOKEN = "user@example.com", "192.0.2.1"
+#: Signs around an address while it is judged.
+OPEN, CLOSE = "\ue000", "\ue001"
 AUTOGENERATED = r"(?i)auto[- ]?generated|generated by|do not edit|@generated|this file was generated"
 IMAGE = r"data:image/[A-Za-z0-9.+-]+;base64,[A-Za-z0-9+/=\s]+"
 INSERT = r"(?i)^\s*insert\s+into\b"
@@ -71,16 +73,21 @@ def is_english(x: Column) -> Column:
 
 
 def is_repetitive(x: Column) -> Column:
-    """Whether the ten commonest word 4-grams are more than half of all; native counting by sorting within the row."""
+    """Whether the ten commonest word 4-grams are more than half of all; native counting of their hashes by sorting within the row."""
     tokens = F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
 
+    def hashed(w: Column) -> Column:
+        spots = F.sequence(F.lit(0), F.size(w) - GRAM)
+        grams = F.transform(spots, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(GRAM))))
+        return F.when(F.size(w) >= MIN_WORDS, F.sort_array(grams)).otherwise(F.array().cast("array<bigint>"))
+
     def judge(grams: Column) -> Column:
-        ends = F.filter(F.transform(grams, lambda g, i: F.when((i == F.size(grams) - 1) | (F.get(grams, i + 1) != g), i + 1)), lambda e: e.isNotNull())
-        counts = T.let(ends, lambda e: F.transform(e, lambda v, i: v - F.when(i == 0, F.lit(0)).otherwise(F.get(e, i - 1))))
+        ends = F.filter(F.transform(grams, lambda g, i: F.when(~F.get(grams, i + 1).eqNullSafe(g), i + 1)), lambda e: e.isNotNull())
+        counts = T.let(ends, lambda e: F.transform(e, lambda v, i: v - F.coalesce(F.get(e, i - 1), F.lit(0))))
         top = F.aggregate(F.slice(F.sort_array(counts, asc=False), 1, TOP_GRAMS), F.lit(0), lambda total, c: total + c)
-        return (F.size(grams) >= 8 - GRAM + 1) & (top > MAX_REPEATED * F.size(grams))
+        return top > MAX_REPEATED * F.size(grams)
 
-    return T.let(F.array_sort(T.ngrams(tokens, GRAM)), judge)
+    return T.let(T.let(tokens, hashed), judge)
 
 
 def has_secret(x: Column) -> Column:
@@ -88,8 +95,13 @@ def has_secret(x: Column) -> Column:
 
 
 def redact(x: Column) -> Column:
-    """E-mail addresses first, then public IPv4 addresses; a second pass changes nothing."""
-    return F.regexp_replace(F.regexp_replace(x, EMAIL, EMAIL_TOKEN), rf"\b(?!{NOT_PUBLIC}){IPV4}\b", IP_TOKEN)
+    """E-mail addresses first, then public IPv4 addresses; a second pass changes nothing.
+
+    Every address is put between two private-use signs, those that aren't public leave them, the rest is replaced."""
+    mailed = F.regexp_replace(x, EMAIL, EMAIL_TOKEN)
+    marked = F.regexp_replace(mailed, rf"\b{IPV4}\b", f"{OPEN}$0{CLOSE}")
+    private = F.regexp_replace(marked, f"{OPEN}((?:{NOT_PUBLIC})[^{CLOSE}]*){CLOSE}", "$1")
+    return F.regexp_replace(private, f"{OPEN}[^{CLOSE}]*{CLOSE}", IP_TOKEN)
 
 
 def line_stats(x: Column) -> tuple[Column, Column]:

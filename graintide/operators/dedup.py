@@ -11,49 +11,78 @@ from graintide.session import staged
 
 #: Shingle size, bands and rows of MinHash, gram size, run, and what makes a gram informative.
 SHINGLE, BANDS, ROWS, GRAM, RUN, MIN_DISTINCT, MIN_ALPHA = 5, 3, 10, 13, 10, 6, 4
+#: The modulus of the affine maps, the largest prime below 2**31.
+PRIME = 2_147_483_647
 #: Rows of grams up to which they are broadcast (about 120 bytes each).
 BROADCAST_ROWS = 200_000
 
 
 def first_of_each(df: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
-    """(order, exact_dup): every row but the first of its key. The key is grouped before anything wide moves."""
-    keyed = df.select(order, key.alias("_key"))
+    """(order, exact_dup): every row but the first of its key. The key is grouped before anything wide moves.
+
+    Null keys are one key, and rows of one id are told apart by nothing: of a key's smallest id all rows stay."""
+    keyed = df.select(order, F.coalesce(key, F.lit("")).alias("_key"))
     first = keyed.groupBy("_key").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
     return keyed.join(first, "_key", "left").select(order, F.coalesce(F.col(order) > F.col("_first"), F.lit(False)).alias("exact_dup"))
 
 
-def minhash(shingles: Column, permutations: int, portable: bool = False) -> Column:
-    """The smallest hash of a set under each permutation; portable ones are md5 texts that any SQL engine can give."""
-    def one(p: int) -> Column:
-        hashed = (lambda s: F.md5(F.concat(F.lit(f"{p}:"), s))) if portable else (lambda s: F.xxhash64(s, F.lit(p)))
-        return F.array_min(F.transform(shingles, hashed))
+def affine(p: int) -> tuple[int, int]:
+    """Factor and shift of permutation p, by a fixed linear rule; with a 32-bit value they stay below 2**63."""
+    return (p * 1_103_515_245 + 12_345) % PRIME or 1, (p * 69_069 + 362_437) % PRIME
+
+
+def shingle_number(x: Column) -> Column:
+    """The first 32 bits of md5, a number that any SQL engine can give."""
+    return F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
+
+
+def minhash(shingles: Column, permutations: int) -> Column:
+    """The smallest value of a set under each permutation: one hash a shingle, then an affine map of it for each permutation."""
+    def one(h: Column, p: int) -> Column:
+        a, b = affine(p)
+        return F.array_min(F.transform(h, lambda x: (x * a + b) % PRIME))
+
+    return T.let(F.transform(shingles, shingle_number), lambda h: F.array(*(one(h, p) for p in range(1, permutations + 1))))
+
+
+def lsh_cells(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, band, cell): the band cells of each document. Empty documents share one cell of each band: they have the same signature.
+
+    Rows with a null id have no place in the order and take no part."""
+    sets = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), T.shingles(T.words(F.coalesce(F.col(text_col), F.lit(""))), SHINGLE).alias("s"))
+
+    def keys(sig: Column) -> Column:
+        cell = lambda b: F.concat_ws(",", F.transform(F.slice(sig, b * rows + 1, rows), lambda v: v.cast("string")))
+        return F.array(*(F.struct(F.lit(b).alias("band"), F.md5(cell(b)).alias("cell")) for b in range(bands)))
 
-    return F.array(*(one(p) for p in range(permutations)))
+    return sets.select("id", F.inline(T.let(minhash(F.col("s"), bands * rows), keys)))
 
 
-def lsh_edges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, portable: bool = False) -> DataFrame:
-    """(earlier, later) pairs that share a band. Empty documents share one band: each has the same signature."""
-    sets = df.select(F.col(id_col).alias("id"), T.shingles(T.words(F.col(text_col)), SHINGLE).alias("s"))
-    signed = sets.select("id", minhash(F.col("s"), bands * rows, portable).alias("sig"))
-    keys = F.array(*(F.struct(F.lit(b).alias("band"), F.concat_ws(",", F.slice("sig", b * rows + 1, rows)).alias("cell")) for b in range(bands)))
-    cells = staged(signed.select("id", F.explode(keys).alias("k")).select("id", "k.band", F.md5("k.cell").alias("cell")), "cells")
-    one, two = cells.withColumnRenamed("id", "earlier"), cells.withColumnRenamed("id", "later")
-    return one.join(two, ["band", "cell"]).where("earlier < later").select("earlier", "later").distinct()
+def lsh_edges(cells: DataFrame) -> DataFrame:
+    """(earlier, later): each cell's smallest id with every other one, a star in place of all pairs."""
+    first = cells.groupBy("band", "cell").agg(F.min("id").alias("earlier"), F.count("*").alias("_n")).where("_n > 1").select("band", "cell", "earlier")
+    return cells.join(first, ["band", "cell"]).where("earlier < id").select("earlier", F.col("id").alias("later")).distinct()
 
 
-def keep_first(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(id) dropped: a document goes exactly when an earlier one that stays is its neighbour.
+def keep_first(cells: DataFrame) -> DataFrame:
+    """(id) dropped: a document goes exactly when an earlier one that stays shares a cell with it.
 
-    Rounds settle, from the front, those whose earlier neighbours are all settled."""
-    edges = staged(edges, "edges")
-    state = staged(edges.select(F.col("later").alias("id")).union(edges.select("earlier")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "state")
-    for _ in range(rounds):
-        said = edges.join(state.select(F.col("id").alias("earlier"), "kept"), "earlier").groupBy(F.col("later").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("open"))
-        verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(True)
-        state = staged(state.join(said, "id", "left").select("id", verdict.alias("kept")), "state")
-        if not state.where("kept is null").limit(1).count():
-            return state.where("not kept").select("id")
-    raise RuntimeError("keep_first didn't settle")
+    In each round the first of a cell that isn't dropped decides: it stays where it is first in all of its cells, and
+    what shares a cell with one that stays goes. The smallest open id always settles, so that the rounds end."""
+    cells = staged(cells.distinct(), "cells")
+    shared = cells.groupBy("band", "cell").agg(F.count("*").alias("_n")).where("_n > 1").select("band", "cell")
+    open_cells = staged(cells.join(shared, ["band", "cell"], "left_semi"), "open")
+    dropped = staged(open_cells.select("id").limit(0), "dropped")
+    while not open_cells.isEmpty():
+        first = open_cells.groupBy("band", "cell").agg(F.min("id").alias("first"))
+        met = staged(open_cells.join(first, ["band", "cell"]), "met")
+        kept = met.groupBy("id").agg(F.min(F.col("id") == F.col("first")).alias("_all")).where("_all").select(F.col("id").alias("first"))
+        gone = staged(met.join(kept, "first", "left_semi").where("id <> first").select("id").distinct(), "gone")
+        dropped = dropped.union(gone)
+        # cells whose first one stays are settled whole; of the others those that went leave
+        left = met.join(kept, "first", "left_anti").join(gone, "id", "left_anti").select("id", "band", "cell")
+        open_cells = staged(left, "open")
+    return dropped.distinct()
 
 
 def informative(gram: Column) -> Column:

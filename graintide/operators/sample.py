@@ -7,22 +7,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graintide.functions import text as T
+from graintide.session import shuffle_partitions
 
+#: Spans of ids for each shuffle partition.
+SPANS = 8
 
-#: Ids that share a window partition.
-BLOCK = 65_536
+
+def spans(df: DataFrame, order: str) -> Column:
+    """The number of the span of ids that a row is in: equal steps from the smallest to the largest, some for each shuffle partition."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = max(1.0, ((high or 0) - (low or 0) + 1) / (SPANS * shuffle_partitions(df.sparkSession)))
+    return F.floor(F.col(order) / F.lit(step))
 
 
 def running(df: DataFrame, size: Column, by: str, order: str = "doc_id") -> DataFrame:
     """df with `before`: the sum of size over the earlier rows of its group.
 
-    A group is summed block by block of its ids and then within blocks, so that one that holds most rows is dealt over tasks."""
-    rows = df.withColumn("_size", size).withColumn("_block", F.floor(F.col(order) / BLOCK))
-    earlier = W.partitionBy(by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    bases = rows.groupBy(by, "_block").agg(F.sum("_size").alias("_sum")).select(by, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    here = W.partitionBy(by, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    A group is summed span by span of its ids and then within spans, so that one that holds most rows is dealt over
+    tasks. Null is a group like any other; rows with a null id come last in their group."""
+    rows = df.withColumn("_size", size).withColumn("_span", spans(df, order))
+    earlier = W.partitionBy(by).orderBy(F.asc_nulls_last("_span")).rowsBetween(W.unboundedPreceding, -1)
+    bases = rows.groupBy(by, "_span").agg(F.sum("_size").alias("_sum"))
+    bases = bases.select(F.col(by).alias("_by"), F.col("_span").alias("_s"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    here = W.partitionBy(by, "_span").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_here", F.coalesce(F.sum("_size").over(here), F.lit(0)))
-    return rows.join(bases, [by, "_block"]).withColumn("before", F.col("_base") + F.col("_here")).drop("_size", "_block", "_base", "_here")
+    joined = rows.join(bases, F.col(by).eqNullSafe(F.col("_by")) & F.col("_span").eqNullSafe(F.col("_s")))
+    return joined.withColumn("before", F.col("_base") + F.col("_here")).drop("_size", "_span", "_by", "_s", "_base", "_here")
 
 
 def budget_prefix(df: DataFrame, size: Column, budget: int, by: str, order: str = "doc_id") -> DataFrame:
@@ -40,18 +50,45 @@ def hash_split(df: DataFrame, key: Column, share: float, seed: str = "val") -> D
 
 
 def cap_per_group(df: DataFrame, by: list[str], cap: Column | int, seed: str = "cap", key: str = "doc_id") -> DataFrame:
-    """At most cap rows of each group, in the order of a hash of the key."""
-    order = W.partitionBy(*by).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + seed))), key)
-    return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cap).drop("_r")
-
-
-def pack_stream(df: DataFrame, width: int, end: Column, by: str = "source", order: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Fixed windows of each group's concatenated ids with an end id after every document; the tail is dropped."""
-    placed = running(df, F.size(ids).cast("long") + 1, by, order)
-    tokens = placed.select(by, F.col("before").alias("_at"), F.posexplode(F.concat(F.col(ids), F.array(end))).alias("_k", "id"))
-    spots = tokens.select(by, (F.col("_at") + F.col("_k")).alias("pos"), "id")
-    windows = spots.groupBy(by, F.floor(F.col("pos") / width).cast("long").alias("window_id")).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_ids"))
-    return windows.where(F.col("_n") == width).select(by, "window_id", F.transform("_ids", lambda s: s["id"]).alias("ids"))
+    """At most cap rows of each group, in the order of a hash of the key.
+
+    Each of some parts of a group gives up what is beyond the cap, so that no task sorts a whole large group."""
+    cap = F.lit(cap) if isinstance(cap, int) else cap
+    order = [F.asc_nulls_last(F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + seed)))), F.asc_nulls_last(key)]
+    part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(shuffle_partitions(df.sparkSession)))
+    local = df.withColumn("_part", part).withColumn("_r", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))).where(F.col("_r") <= cap)
+    return local.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= cap).drop("_r", "_part")
+
+
+def sampled_with_weights(groups: DataFrame, weight: Column, draws: DataFrame, name: str, seed: int, step: str = "step") -> DataFrame:
+    """draws with the group that each takes: a pure function of (seed, step, draw), with a chance by weight.
+
+    groups are few (a mixture's sources); each has a range of the cumulated weights, in which a hash of the draw falls."""
+    weighed = groups.select(F.col(name).alias("_g"), weight.cast("double").alias("_w"))
+    upto = W.orderBy("_g").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranges = weighed.withColumn("_hi", F.sum("_w").over(upto)).withColumn("_all", F.sum("_w").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    ranges = ranges.select("_g", ((F.col("_hi") - F.col("_w")) / F.col("_all")).alias("_lo"), (F.col("_hi") / F.col("_all")).alias("_hi"))
+    u = T.bucket_of(F.concat_ws(":", F.col(step), F.col("draw")), f"sample{seed}", 1_000_000) / 1_000_000.0
+    hit = (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))
+    return draws.withColumn("_u", u).join(F.broadcast(ranges), hit).withColumnRenamed("_g", name).drop("_u", "_lo", "_hi")
+
+
+def pack_stream(df: DataFrame, width: int, end: Column, by: str = "source", order: str = "doc_id", ids: str = "ids", largest: int = 65_535) -> DataFrame:
+    """Fixed windows of each group's concatenated ids with an end id after every document; the tail is dropped.
+
+    Each document's array is cut where windows begin, so that a row travels for each piece and not for each id. Numbers
+    above `largest` don't fit the packed files and fail the job."""
+    full = F.concat(F.col(ids), F.array(end))
+    if df.schema[ids].dataType.elementType.typeName() in ("integer", "long", "short", "byte"):
+        full = F.when(F.array_max(full) > largest, F.raise_error(F.lit(f"a token id is above {largest}"))).otherwise(full)
+    placed = running(df, F.size(ids).cast("long") + 1, by, order).select(by, F.col("before").alias("_at"), full.alias("_full"))
+    first, last = F.floor(F.col("_at") / width), F.floor((F.col("_at") + F.size("_full") - 1) / width)
+    pieces = placed.withColumn("window_id", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("window_id") * width - F.col("_at"), F.lit(0))
+    stop = F.least((F.col("window_id") + 1) * width - F.col("_at"), F.size("_full"))
+    pieces = pieces.select(by, "window_id", (F.col("_at") + start).alias("_pos"), F.slice("_full", (start + 1).cast("int"), (stop - start).cast("int")).alias("_piece"))
+    windows = pieces.groupBy(by, "window_id").agg(F.sum(F.size("_piece")).alias("_n"), F.array_sort(F.collect_list(F.struct("_pos", "_piece"))).alias("_pieces"))
+    return windows.where(F.col("_n") == width).select(by, "window_id", F.flatten(F.transform("_pieces", lambda s: s["_piece"])).alias("ids"))
 
 
 def route(windows: DataFrame, every: int = 100) -> DataFrame:

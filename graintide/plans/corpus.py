@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graintide.functions import quality as Q
 from graintide.functions import text as T
 from graintide.operators import clean, dedup, sample
-from graintide.session import table
+from graintide.session import spread, staged, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,6 +28,11 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def dealt_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries that take much time for each document."""
+    return spread(docs_of(spark, sf_dir).select("doc_id", "source", "text"))
+
+
 TIDY = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 40 AND length(regexp_replace(x, '[A-Za-z0-9]', '', 'g')) <= 0.3 * length(x))"
 BOILER = "(?i)" + "|".join(Q.BOILERPLATE).replace("'", "''")
 BODY = f"array_to_string(list_filter({TIDY}, lambda x: NOT regexp_matches(x, '{BOILER}')), chr(10))"
@@ -46,17 +51,17 @@ REASON = f"CASE WHEN text = '' THEN 'empty_or_unfetched' WHEN length(body) < 600
 @query(f"SELECT doc_id, length(array_to_string({TIDY}, chr(10))) AS body_chars, md5(array_to_string({TIDY}, chr(10))) AS body_md5 FROM documents")
 def clean_line_filter(spark, sf_dir):
     body = Q.filter_lines(F.col("text"))
-    return docs_of(spark, sf_dir).select("doc_id", body.alias("b")).select("doc_id", F.length("b").cast("long").alias("body_chars"), F.md5("b").alias("body_md5"))
+    return dealt_docs(spark, sf_dir).select("doc_id", body.alias("b")).select("doc_id", F.length("b").cast("long").alias("body_chars"), F.md5("b").alias("body_md5"))
 
 
 @query(f"SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{BOILER}')), chr(10))) AS body_md5 FROM documents")
 def clean_boilerplate(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", F.md5(Q.strip_boilerplate(F.col("text"))).alias("body_md5"))
+    return dealt_docs(spark, sf_dir).select("doc_id", F.md5(Q.strip_boilerplate(F.col("text"))).alias("body_md5"))
 
 
 @query(f"WITH b AS (SELECT doc_id, text AS body FROM documents), {REP_CTE.format(src='b')} SELECT b.doc_id, coalesce(repetitive, false) AS repetitive FROM b LEFT JOIN rep USING (doc_id)")
 def clean_repetition_ratio(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", Q.is_repetitive(F.col("text")).alias("repetitive"))
+    return dealt_docs(spark, sf_dir).select("doc_id", Q.is_repetitive(F.col("text")).alias("repetitive"))
 
 
 @query(f"WITH b AS (SELECT doc_id, text AS body FROM documents) SELECT doc_id, {ENGLISH} AS english FROM b")
@@ -71,25 +76,32 @@ def _report(df: DataFrame) -> DataFrame:
 CHAIN = "WITH b AS (SELECT doc_id, source, text, {body} AS body FROM documents), " + REP_CTE.format(src="b") + f", j AS (SELECT b.*, {REASON} AS reason FROM b LEFT JOIN rep USING (doc_id))"
 
 
-@query(CHAIN.format(body=BODY) + " SELECT source, reason, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM j WHERE reason <> '' GROUP BY ALL UNION ALL SELECT source, '', count(*), CAST(sum(length(regexp_replace(body, '" + Q.EMAIL + "', 'user@example.com', 'g'))) AS BIGINT) FROM j WHERE reason = '' AND NOT regexp_matches(body, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') GROUP BY ALL")
+def redacted(x: str) -> str:
+    """The SQL of Q.redact."""
+    mailed = f"regexp_replace({x}, '{Q.EMAIL}', '{Q.EMAIL_TOKEN}', 'g')"
+    marked = f"regexp_replace({mailed}, '\\b{Q.IPV4}\\b', '{Q.OPEN}\\0{Q.CLOSE}', 'g')"
+    private = f"regexp_replace({marked}, '{Q.OPEN}((?:{Q.NOT_PUBLIC})[^{Q.CLOSE}]*){Q.CLOSE}', '\\1', 'g')"
+    return f"regexp_replace({private}, '{Q.OPEN}[^{Q.CLOSE}]*{Q.CLOSE}', '{Q.IP_TOKEN}', 'g')"
+
+
+@query(CHAIN.format(body=BODY) + f" SELECT source, reason, count(*) AS n, CAST(sum(length(CASE WHEN reason = '' THEN {redacted('body')} ELSE body END)) AS BIGINT) AS chars FROM j GROUP BY ALL")
 def clean_prose_reasons(spark, sf_dir):
-    """Over every document. The SQL above leaves out kept documents with a dotted quad, so that it is short of these."""
-    return _report(clean.clean_prose(docs_of(spark, sf_dir)))
+    return _report(clean.clean_prose(dealt_docs(spark, sf_dir)))
 
 
 @query(CHAIN.format(body="text") + " SELECT source, reason, count(*) AS n FROM j GROUP BY ALL")
 def clean_light_reasons(spark, sf_dir):
-    return clean.clean_documents(docs_of(spark, sf_dir), "light").groupBy("source", "reason").agg(F.count("*").alias("n"))
+    return clean.clean_documents(dealt_docs(spark, sf_dir), "light").groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{Q.EMAIL}')) AS emails, len(regexp_extract_all(text, '\\b{Q.IPV4}\\b')) AS addresses FROM documents")
 def pii_counts(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(Q.EMAIL)).cast("long").alias("emails"), F.regexp_count("text", F.lit(rf"\b{Q.IPV4}\b")).cast("long").alias("addresses"))
+    return dealt_docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(Q.EMAIL)).cast("long").alias("emails"), F.regexp_count("text", F.lit(rf"\b{Q.IPV4}\b")).cast("long").alias("addresses"))
 
 
-@query()
+@query(f"SELECT doc_id, md5({redacted('text')}) AS text_md5, true AS idempotent FROM documents")
 def pii_redact(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", F.md5(Q.redact(F.col("text"))).alias("text_md5"), (Q.redact(Q.redact(F.col("text"))) == Q.redact(F.col("text"))).alias("idempotent"))
+    return dealt_docs(spark, sf_dir).select("doc_id", F.md5(Q.redact(F.col("text"))).alias("text_md5"), (Q.redact(Q.redact(F.col("text"))) == Q.redact(F.col("text"))).alias("idempotent"))
 
 
 @query("SELECT doc_id, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in Q.SECRETS) + " AS secret FROM documents")
@@ -116,7 +128,7 @@ FILLED = f"list_filter(list_transform({L}, lambda x: trim(x)), lambda x: x <> ''
 
 @query(f"SELECT doc_id, floor(coalesce(len(list_filter({FILLED}, lambda x: starts_with(x, '#'))) / nullif(len({FILLED}), 0), 1.0) * 1e6 + 0.5) / 1e6 AS comments FROM documents")
 def comment_fraction(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", T.quantised(Q.comment_fraction(F.col("text"))).alias("comments"))
+    return dealt_docs(spark, sf_dir).select("doc_id", T.quantised(Q.comment_fraction(F.col("text"))).alias("comments"))
 
 
 NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
@@ -136,7 +148,7 @@ def exact_dedup_keep_first(spark, sf_dir):
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(lower(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(?:$|#)')), chr(10))), '\s+', ' ', 'g'))) AS code_md5 FROM documents")
 def canonical_code_hash(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", F.md5(Q.canonical(F.col("text"), "code")).alias("code_md5"))
+    return dealt_docs(spark, sf_dir).select("doc_id", F.md5(Q.canonical(F.col("text"), "code")).alias("code_md5"))
 
 
 SHINGLES = f"WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w)"
@@ -144,32 +156,45 @@ SHINGLES = f"WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELEC
 
 @query(SHINGLES + " SELECT doc_id, len(s) AS shingles FROM s")
 def shingle_counts(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", F.size(T.shingles(T.words(F.col("text")), 5)).cast("long").alias("shingles"))
+    return dealt_docs(spark, sf_dir).select("doc_id", F.size(T.shingles(T.words(F.col("text")), 5)).cast("long").alias("shingles"))
+
+
+CELLS = SHINGLES + f""", u AS (SELECT doc_id, unnest(CASE WHEN len(s) = 0 THEN ['<none>'] ELSE s END) AS x FROM s),
+ hs AS (SELECT doc_id, CASE WHEN x = '<none>' THEN NULL ELSE CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) END AS h FROM u),
+ p AS (SELECT doc_id, p, min((h * greatest((p * 1103515245 + 12345) % {dedup.PRIME}, 1) + (p * 69069 + 362437) % {dedup.PRIME}) % {dedup.PRIME}) AS m FROM hs, range(1, 31) AS r(p) GROUP BY doc_id, p),
+ c AS (SELECT doc_id, (p - 1) // 10 AS band, md5(coalesce(string_agg(m, ',' ORDER BY p), '')) AS cell FROM p GROUP BY ALL)"""
+STARS = CELLS + """, e AS (SELECT DISTINCT earlier, doc_id AS later FROM (SELECT *, min(doc_id) OVER (PARTITION BY band, cell) AS earlier FROM c) WHERE earlier < doc_id)"""
+
+
+def _cells(spark, sf_dir):
+    return dedup.lsh_cells(dealt_docs(spark, sf_dir))
 
 
-CELLS = SHINGLES + """, u AS (SELECT doc_id, unnest(CASE WHEN len(s) = 0 THEN ['<none>'] ELSE s END) AS x FROM s),
- p AS (SELECT doc_id, p, CASE WHEN min(x) = '<none>' THEN NULL ELSE min(md5(p || ':' || x)) END AS m FROM u, range(30) AS r(p) GROUP BY doc_id, p),
- c AS (SELECT doc_id, p // 10 AS band, md5(coalesce(string_agg(m, ',' ORDER BY p), '')) AS cell FROM p GROUP BY ALL),
- e AS (SELECT DISTINCT a.doc_id AS earlier, b.doc_id AS later FROM c a JOIN c b USING (band, cell) WHERE a.doc_id < b.doc_id)"""
+@query(CELLS + " SELECT doc_id, band, cell FROM c")
+def minhash_signature(spark, sf_dir):
+    return _cells(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("band").cast("long").alias("band"), "cell")
 
 
-@query(CELLS + " SELECT earlier, later FROM e")
+@query(STARS + " SELECT earlier, later FROM e")
 def lsh_edges(spark, sf_dir):
-    return dedup.lsh_edges(docs_of(spark, sf_dir), portable=True)
+    return dedup.lsh_edges(staged(_cells(spark, sf_dir), "cells"))
 
 
-@query(CELLS + " SELECT DISTINCT later AS doc_id FROM e")
+@query(STARS + " SELECT DISTINCT later AS doc_id FROM e")
 def near_dup_has_earlier(spark, sf_dir):
-    return dedup.lsh_edges(docs_of(spark, sf_dir), portable=True).select(F.col("later").alias("doc_id")).distinct()
+    return lsh_edges(spark, sf_dir).select(F.col("later").alias("doc_id")).distinct()
 
 
-@query("WITH RECURSIVE " + CELLS.removeprefix("WITH ") + """, v AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT earlier AS id FROM e UNION SELECT later FROM e)),
+KEPT = ", e AS (SELECT DISTINCT a.doc_id AS earlier, b.doc_id AS later FROM c a JOIN c b USING (band, cell) WHERE a.doc_id < b.doc_id)"
+
+
+@query("WITH RECURSIVE " + CELLS.removeprefix("WITH ") + KEPT + """, v AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT earlier AS id FROM e UNION SELECT later FROM e)),
  n AS (SELECT v.id, v.k, list(e.earlier) FILTER (e.earlier IS NOT NULL) AS nb FROM v LEFT JOIN e ON e.later = v.id GROUP BY ALL),
  g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL
        SELECT n.k, CASE WHEN list_has_any(coalesce(n.nb, []), g.kept) THEN g.kept ELSE list_append(g.kept, n.id) END FROM g JOIN n ON n.k = g.k + 1)
  SELECT id AS doc_id FROM v WHERE NOT list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), id)""")
 def near_dup_keep_first(spark, sf_dir):
-    return dedup.keep_first(dedup.lsh_edges(docs_of(spark, sf_dir), portable=True)).select(F.col("id").alias("doc_id"))
+    return dedup.keep_first(_cells(spark, sf_dir)).select(F.col("id").alias("doc_id"))
 
 
 def _name():
@@ -199,36 +224,55 @@ def benchmark_grams(spark, sf_dir):
 
 @query(HITS + " SELECT doc_id, count(*) AS hits FROM h GROUP BY doc_id")
 def contam_any_hit(spark, sf_dir):
-    return dedup.gram_hits(docs_of(spark, sf_dir), _grams(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return dedup.gram_hits(dealt_docs(spark, sf_dir), _grams(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
 @query(HITS + " SELECT doc_id, bench FROM con")
 def contam_docs(spark, sf_dir):
-    return dedup.contaminated(dedup.gram_hits(docs_of(spark, sf_dir), _grams(spark, sf_dir)))
+    return dedup.contaminated(dedup.gram_hits(dealt_docs(spark, sf_dir), _grams(spark, sf_dir)))
 
 
-FLAGSHIP = HITS.replace("WITH ", "WITH ", 1) + f""", b AS (SELECT doc_id, source, text, {BODY} AS body FROM documents), {REP_CTE.format(src='b')},
+FLAGSHIP = (
+    "WITH RECURSIVE " + HITS.removeprefix("WITH ") + f""", b AS (SELECT doc_id, source, text, {BODY} AS body FROM documents), {REP_CTE.format(src='b')},
  j AS (SELECT b.*, {REASON} AS reason FROM b LEFT JOIN rep USING (doc_id)),
- x AS (SELECT doc_id, row_number() OVER (PARTITION BY trim(regexp_replace(lower(body), '\\s+', ' ', 'g')) ORDER BY doc_id) > 1 AS dup FROM j WHERE reason = ''),
- f AS (SELECT j.doc_id, j.source, length(body) AS chars, CASE WHEN reason <> '' THEN reason WHEN dup THEN 'exact_dup' WHEN bench IS NOT NULL THEN 'contaminated' ELSE '' END AS reason FROM j LEFT JOIN x USING (doc_id) LEFT JOIN con USING (doc_id))
+ jk AS (SELECT doc_id, source, {redacted('body')} AS body FROM j WHERE reason = ''),
+ x AS (SELECT doc_id, row_number() OVER (PARTITION BY trim(regexp_replace(lower(body), '\\s+', ' ', 'g')) ORDER BY doc_id) > 1 AS dup FROM jk), """
+    + CELLS.removeprefix("WITH ").replace("lower(text)", "lower(body)").replace("FROM documents", "FROM jk JOIN x USING (doc_id) WHERE NOT dup").replace("WITH w AS", "w AS").replace("w AS (", "lw AS (", 1).replace("FROM w)", "FROM lw)")
+    + KEPT + """, v AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT earlier AS id FROM e UNION SELECT later FROM e)),
+ nb AS (SELECT v.id, v.k, list(e.earlier) FILTER (e.earlier IS NOT NULL) AS nb FROM v LEFT JOIN e ON e.later = v.id GROUP BY ALL),
+ g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL
+       SELECT nb.k, CASE WHEN list_has_any(coalesce(nb.nb, []), g.kept) THEN g.kept ELSE list_append(g.kept, nb.id) END FROM g JOIN nb ON nb.k = g.k + 1),
+ near AS (SELECT id AS doc_id, true AS near FROM v WHERE NOT list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), id)),
+ f AS (SELECT j.doc_id, j.source, length(jk.body) AS chars, CASE WHEN reason <> '' THEN reason WHEN dup THEN 'exact_dup' WHEN near THEN 'near_dup' WHEN bench IS NOT NULL THEN 'contaminated' ELSE '' END AS reason
+       FROM j LEFT JOIN jk USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN near USING (doc_id) LEFT JOIN con USING (doc_id))
  SELECT source, count(*) AS streamed, count(*) FILTER (reason = '') AS kept, count(*) FILTER (reason = 'too_short') AS too_short, count(*) FILTER (reason = 'repetitive') AS repetitive,
-  count(*) FILTER (reason = 'non_english') AS non_english, count(*) FILTER (reason = 'exact_dup') AS exact_dup, count(*) FILTER (reason = 'contaminated') AS contaminated,
-  CAST(floor(coalesce(sum(chars) FILTER (reason = ''), 0) / 4.0) AS BIGINT) AS est_tokens FROM f GROUP BY source"""
+  count(*) FILTER (reason = 'non_english') AS non_english, count(*) FILTER (reason = 'exact_dup') AS exact_dup, count(*) FILTER (reason = 'near_dup') AS near_dup, count(*) FILTER (reason = 'contaminated') AS contaminated,
+  CAST(floor(coalesce(sum(chars) FILTER (reason = ''), 0) / 4.0) AS BIGINT) AS est_tokens FROM f GROUP BY source""")
+
+
+def judged_corpus(spark, sf_dir) -> DataFrame:
+    """doc_id, source, chars, reason: cleaning, then exact and near duplicates among what it kept, then contamination.
+
+    Documents are judged once and written; what follows reads that."""
+    cleaned = clean.clean_prose(dealt_docs(spark, sf_dir).select("doc_id", "source", "text"))
+    judged = staged(cleaned.select("doc_id", "source", F.col("clean_chars").alias("chars"), "reason", F.col("clean_text").alias("text"), F.sha2(T.normalize(F.col("clean_text")), 256).alias("h")), "judged")
+    kept = judged.where("reason = ''")
+    dups = staged(dedup.first_of_each(kept, F.col("h")).where("exact_dup").select("doc_id"), "exact")
+    single = kept.join(dups, "doc_id", "left_anti")
+    near = dedup.keep_first(dedup.lsh_cells(single)).select(F.col("id").alias("doc_id"), F.lit(True).alias("near"))
+    bad = dedup.contaminated(dedup.gram_hits(kept, _grams(spark, sf_dir)))
+    final = judged.select("doc_id", "source", "chars", "reason").join(dups.withColumn("exact_dup", F.lit(True)), "doc_id", "left").join(near, "doc_id", "left").join(bad, "doc_id", "left")
+    reason = F.when(F.col("reason") != "", F.col("reason")).when(F.col("exact_dup"), "exact_dup").when(F.col("near"), "near_dup").when(F.col("bench").isNotNull(), "contaminated").otherwise("")
+    return final.select("doc_id", "source", "chars", reason.alias("reason"), "bench")
 
 
 @query(FLAGSHIP)
 def corpus_report(spark, sf_dir):
-    """Cleaning, exact deduplication and decontamination in one plan, reported by source."""
-    docs = docs_of(spark, sf_dir)
-    body = docs.select("doc_id", "source", "text", Q.strip_boilerplate(Q.filter_lines(F.coalesce("text", F.lit("")))).alias("body"))
-    b = F.col("body")
-    reason = clean.first_reason(("empty_or_unfetched", F.coalesce("text", F.lit("")) == ""), ("too_short", F.length(b) < Q.MIN_DOC_CHARS), ("repetitive", Q.is_repetitive(b)), ("non_english", ~Q.is_english(b)))
-    judged = body.select("doc_id", "source", F.length(b).cast("long").alias("chars"), reason.alias("reason"), F.sha2(T.normalize(b), 256).alias("h"))
-    dups = dedup.first_of_each(judged.where("reason = ''"), F.col("h"))
-    bad = dedup.contaminated(dedup.gram_hits(docs, _grams(spark, sf_dir)))
-    final = judged.join(dups, "doc_id", "left").join(bad, "doc_id", "left").withColumn("reason", F.when(F.col("reason") != "", F.col("reason")).when(F.col("exact_dup"), "exact_dup").when(F.col("bench").isNotNull(), "contaminated").otherwise(""))
+    """Cleaning, exact and near deduplication and decontamination, reported by source."""
+    final = judged_corpus(spark, sf_dir)
     count = lambda r: F.count_if(F.col("reason") == r)
-    return final.groupBy("source").agg(F.count("*").alias("streamed"), count("").alias("kept"), *(count(r).alias(r) for r in ("too_short", "repetitive", "non_english", "exact_dup", "contaminated")), T.est_tokens(F.coalesce(F.sum(F.when(F.col("reason") == "", F.col("chars"))), F.lit(0))).alias("est_tokens"))
+    reasons = ("too_short", "repetitive", "non_english", "exact_dup", "near_dup", "contaminated")
+    return final.groupBy("source").agg(F.count("*").alias("streamed"), count("").alias("kept"), *(count(r).alias(r) for r in reasons), T.est_tokens(F.coalesce(F.sum(F.when(F.col("reason") == "", F.col("chars"))), F.lit(0))).alias("est_tokens"))
 
 
 @query("SELECT source, CAST(floor(sum(length(text)) / 4.0) AS BIGINT) AS est_tokens FROM documents GROUP BY source")
@@ -301,7 +345,7 @@ def repeat_cap(spark, sf_dir):
 def first_k_samples_per_reason(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    rows = clean.clean_documents(docs_of(spark, sf_dir).withColumn("head", F.substring("text", 1, 400)), "light")
+    rows = clean.clean_documents(dealt_docs(spark, sf_dir).withColumn("head", F.substring("text", 1, 400)), "light")
     return rows.withColumn("r", F.row_number().over(W.partitionBy("reason").orderBy("doc_id"))).where("r <= 3").select("reason", "doc_id", "head")
 
 

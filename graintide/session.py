@@ -97,5 +97,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet") if "://" not in sf_dir else f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a small input, by Spark's estimate.
+SMALL_INPUT = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt over all cores, since a file of one row group is read by one task; a large one as it is."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -72,8 +72,54 @@ def test_ngrams_and_shingles(spark):
 
 
 def test_keep_first_isnt_components(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3)], "earlier long, later long")
-    assert [r["id"] for r in dedup.keep_first(edges).collect()] == [2]
+    """A chain of any length: every second of it goes; what has one cell goes but for its first."""
+    links = [(k, 0, f"c{k // 2}") for k in range(14)] + [(k, 1, f"d{(k + 1) // 2}") for k in range(14)]
+    cells = spark.createDataFrame(links, "id long, band int, cell string")
+    assert sorted(r["id"] for r in dedup.keep_first(cells).collect()) == [1, 3, 5, 7, 9, 11, 13]
+    empty = dedup.lsh_cells(spark.createDataFrame([(k, "" if k % 2 else None) for k in range(400)] + [(None, "")], "doc_id long, text string"))
+    assert dedup.lsh_edges(empty).count() == 399 and dedup.keep_first(empty).count() == 399
+    assert dedup.keep_first(cells.limit(0)).count() == 0
+
+
+def test_keep_first_equals_a_greedy_pass(spark):
+    import random
+
+    rng = random.Random(3)
+    for seed in range(4):
+        cells = sorted({(rng.randrange(40), b, str(rng.randrange(25))) for b in range(3) for _ in range(40)})
+        kept, seen = set(), set()
+        for k in sorted({c[0] for c in cells}):
+            mine = {c[1:] for c in cells if c[0] == k}
+            if not mine & seen:
+                kept.add(k)
+                seen |= mine
+        got = {r["id"] for r in dedup.keep_first(spark.createDataFrame(cells, "id long, band int, cell string")).collect()}
+        assert got == {c[0] for c in cells} - kept
+
+
+def test_null_groups_ids_and_keys(spark):
+    rows = [(1, None, "a"), (2, None, "b"), (3, "s", "A "), (None, "s", "c"), (None, None, None), (4, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted(((r["source"], r["doc_id"], r["before"]) for r in sample.running(df, F.lit(1), "source").collect()), key=str)
+    assert got == sorted([(None, 1, 0), (None, 2, 1), (None, 4, 2), (None, None, 3), ("s", 3, 0), ("s", None, 1)], key=str)
+    assert sample.cap_per_group(df, ["source"], 2).count() == 4 and sample.budget_prefix(df, F.lit(10), 15, "source").count() == 4
+    dup = {(r["doc_id"], r["exact_dup"]) for r in dedup.first_of_each(df.where("doc_id is not null"), F.sha2(T.normalize(F.col("text")), 256)).collect()}
+    assert dup == {(1, False), (2, False), (3, True), (4, False)}
+
+
+def test_pack_stream_equals_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    docs = [(k * 7919 % 1000, rng.choice("ab"), [rng.randrange(65_536) for _ in range(rng.choice([0, 1, 5, 40]))]) for k in range(200)]
+    got = {(r["source"], r["window_id"]): r["ids"] for r in sample.pack_stream(spark.createDataFrame(docs, "doc_id long, source string, ids array<int>"), 16, F.lit(0)).collect()}
+    want = {}
+    for source in "ab":
+        stream = [i for _, s, ids in sorted(docs) if s == source for i in [*ids, 0]]
+        want |= {(source, k): stream[16 * k : 16 * k + 16] for k in range(len(stream) // 16)}
+    assert got == want
+    with pytest.raises(Exception, match="above 65535"):
+        sample.pack_stream(spark.createDataFrame([(1, "a", [65_536])], "doc_id long, source string, ids array<int>"), 1, F.lit(0)).collect()
 
 
 def test_contamination_needs_a_run(spark):
@@ -86,7 +132,7 @@ def test_contamination_needs_a_run(spark):
 
 
 def test_running_blocks_and_packing(spark, monkeypatch):
-    monkeypatch.setattr(sample, "BLOCK", 2)
+    monkeypatch.setattr(sample, "SPANS", 64)
     docs = spark.createDataFrame([(0, "s", [1, 2, 3]), (1, "s", [4, 5]), (2, "s", [6, 7, 8, 9]), (3, "s", [])], "doc_id long, source string, ids array<int>")
     got = {r["window_id"]: r["ids"] for r in sample.pack_stream(docs, 4, F.lit(0)).collect()}
     assert got == {0: [1, 2, 3, 0], 1: [4, 5, 0, 6], 2: [7, 8, 9, 0]}
