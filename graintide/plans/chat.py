@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graintide.functions import quality as Q
 from graintide.functions import text as T
-from graintide.operators import convo, sqlcheck
+from graintide.operators import convo, sqlcheck, sqltext
 from graintide.session import table
 
 QUERIES: dict = {}
@@ -74,20 +74,23 @@ def length_bucket_batches(spark, sf_dir):
 
 CASES = [
     "SELECT 1", "select a from t; drop table t", "WITH x AS (SELECT 1) SELECT * FROM x;", "DELETE FROM t", "select 'drop table' as s", "/* note */ select 2 -- update", "explain select 1", "select * from t where a = \"x;y\"", "SELECT create_time FROM t",
+    "select `drop` from t", "select 1;;", "select 1; ;", "", "select ';' || `a;b` from t",
 ]
-VALUES = ", ".join("({}, '{}')".format(k, s.replace("'", "''")) for k, s in enumerate(CASES))
-PLAIN = r'''regexp_replace(trim(lower(regexp_replace(regexp_replace(regexp_replace(s, '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '\x27[^\x27]*\x27|"[^"]*"', ' ', 'g'))), ';\s*$', '')'''
+CASE_LIST = ", ".join("'{}'".format(s.replace("'", "''")) for s in CASES)
+PLAIN = r'''regexp_replace(trim(lower(regexp_replace(regexp_replace(regexp_replace(s, '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '\x27[^\x27]*\x27|"[^"]*"|`[^`]*`', '', 'g'))), '[;\s]*$', '')'''
 
 
-@query(f"SELECT k, regexp_matches(p, '^\\s*(select|with)\\b') AND NOT contains(p, ';') AND NOT regexp_matches(p, '\\b({'|'.join(sqlcheck.FORBIDDEN)})\\b') AS ok FROM (SELECT CAST(k AS BIGINT) AS k, {PLAIN} AS p FROM (VALUES {VALUES}) AS v(k, s))")
+@query(f"SELECT o_orderkey, coalesce(regexp_matches(p, '^\\s*(select|with)\\b') AND NOT contains(p, ';') AND NOT regexp_matches(p, '\\b({'|'.join(sqltext.FORBIDDEN)})\\b'), false) AS ok FROM (SELECT o_orderkey, {PLAIN} AS p FROM (SELECT o_orderkey, ([{CASE_LIST}])[1 + o_orderkey % {len(CASES)}] || CASE WHEN o_custkey % 3 = 0 THEN ' -- ' || o_custkey ELSE '' END AS s FROM orders))")
 def sql_read_only_gate(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(CASES)), "k long, s string").select("k", sqlcheck.is_read_only(F.col("s")).alias("ok"))
+    """A statement for each order, one in three with a remark."""
+    s = F.concat(F.get(F.array(*map(F.lit, CASES)), (F.col("o_orderkey") % len(CASES)).cast("int")), F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit(" -- "), F.col("o_custkey").cast("string"))).otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", sqltext.is_read_only(s).alias("ok"))
 
 
 VOTES = "WITH v AS (SELECT o_custkey AS case_id, o_orderkey AS pos, CAST(o_orderkey AS VARCHAR) AS sql, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS signature FROM orders), g AS (SELECT case_id, signature, count(*) AS votes, arg_min(sql, pos) AS sql, min(pos) AS pos FROM v WHERE signature IS NOT NULL GROUP BY ALL)"
 
 
-@query(VOTES + " SELECT case_id, sql, votes, executed FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY votes DESC, pos) AS r, CAST(sum(votes) OVER (PARTITION BY case_id) AS BIGINT) AS executed FROM g) WHERE r = 1")
+@query(VOTES + " SELECT case_id, sql, votes, executed, signature FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY votes DESC, pos) AS r, CAST(sum(votes) OVER (PARTITION BY case_id) AS BIGINT) AS executed FROM g) WHERE r = 1")
 def vote_majority(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return sqlcheck.vote(o.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("sql"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("signature")))
@@ -102,7 +105,11 @@ def judge_rates(spark, sf_dir):
     return sqlcheck.rates(spark.sql(RECORDS), "quality")
 
 
-@query("SELECT true AS same, false AS differs")
+@query("""SELECT NOT EXISTS (SELECT o_orderkey, o_totalprice FROM orders EXCEPT ALL SELECT o_orderkey, o_totalprice FROM orders) AS same,
+ NOT EXISTS (SELECT o_orderkey, o_totalprice FROM orders EXCEPT ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 1) AS differs,
+ NOT EXISTS (SELECT round(o_totalprice, 4) FROM orders EXCEPT ALL SELECT round(o_totalprice + 0.00001, 4) FROM orders) AS rounded""")
 def results_equal(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return spark.createDataFrame([(sqlcheck.frames_equal(o, o.orderBy(F.desc("o_orderkey"))), sqlcheck.frames_equal(o, o.where("o_orderkey > 1")))], "same boolean, differs boolean")
+    price = o.select("o_totalprice")
+    found = [sqlcheck.frames_equal(o, o.orderBy(F.desc("o_orderkey"))), sqlcheck.frames_equal(o, o.where("o_orderkey > 1")), sqlcheck.frames_equal(price, price.select(F.col("o_totalprice") + 0.00001))]
+    return spark.createDataFrame([tuple(found)], "same boolean, differs boolean, rounded boolean")
