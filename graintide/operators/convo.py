@@ -41,15 +41,6 @@ def render(turns: Column) -> Column:
     return F.aggregate(turns, empty, add)
 
 
-def token_mask(offsets: Column, spans: Column) -> Column:
-    """1 for each token that starts and ends within a trained span."""
-    return F.transform(offsets, lambda o: F.exists(spans, lambda s: (o["start"] >= s["start"]) & (o["end"] <= s["end"])).cast("int"))
-
-
-def padded(ids: Column, width: int, pad: int) -> Column:
-    return F.concat(ids, F.array_repeat(F.lit(pad), F.lit(width) - F.size(ids)))
-
-
 def length_buckets(df: DataFrame, size: str, key: str, max_tokens: int, bucket: int = 256) -> DataFrame:
     """Batches of rows of like length whose longest length times count fits max_tokens; greedy within a bucket of rows."""
     import pandas as pd

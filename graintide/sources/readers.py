@@ -109,3 +109,100 @@ def csv_files(text: Column) -> Column:
     """Parts of a text that holds several CSV files under `--- name.csv` lines, as name and body."""
     parts = F.regexp_extract_all(text, F.lit(r"(?ms)^--- (\S+\.csv)[ \t]*\n(.*?)(?=^--- \S+\.csv|\z)"), F.lit(0))
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^--- (\S+)", 1).alias("name"), F.regexp_replace(p, r"^--- \S+[ \t]*\n", "").alias("body")))
+
+
+def shards(spark: SparkSession, folder: str, suffix: str = ".parquet") -> list[str]:
+    """The files of a folder and its folders, in the order of their names, from whatever store it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, listed = [], where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    while listed.hasNext():
+        name = listed.next().getPath().toString()
+        if name.endswith(suffix):
+            found.append(name)
+    return sorted(found)
+
+
+def dataset_path(root: str, dataset: str, config: str = "default", split: str = "train") -> str:
+    """Where a dataset's split lies: root/owner/name/config/split."""
+    return "/".join([root.rstrip("/"), *dataset.split("/"), config, split])
+
+
+def row_count(spark: SparkSession, path: str) -> int | None:
+    """Rows of a table, from the footers of its files; None where there is no such table."""
+    try:
+        return spark.read.parquet(path).count()
+    except Exception:  # an unknown count is a value
+        return None
+
+
+def read_indexed_jsonl(spark: SparkSession, path: str, schema: str = "text STRING") -> DataFrame:
+    """Lines of JSON with `file` and `idx`, the place of a line in its file.
+
+    A file's lines come in order in its splits, so that its rows are counted by split and then within each."""
+    from pyspark.sql import Window as W
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_k"))
+    sizes = lines.groupBy("file", "_start").agg(F.count("*").alias("_n"))
+    bases = sizes.select("file", "_start", F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    here = F.row_number().over(W.partitionBy("file", "_start").orderBy("_k")) - 1
+    placed = lines.withColumn("_here", here).join(bases, ["file", "_start"])
+    return placed.select("file", (F.col("_base") + F.col("_here")).alias("idx"), F.from_json("value", schema).alias("_r")).select("file", "idx", "_r.*")
+
+
+def fetch_plan(rows: DataFrame, worker: int, workers: int, limit: int | None = None, index: str = "idx") -> DataFrame:
+    """What one of some workers owns of the rows, by their index, and no more than a limit of it."""
+    if not 0 <= worker < workers:
+        raise ValueError("worker must be one of the workers")
+    mine = rows.where(F.pmod(F.col(index), F.lit(workers)) == worker)
+    return mine if limit is None else mine.orderBy(index).limit(limit)
+
+
+def accept_for_fetch(min_score: int = 4) -> Column:
+    """Rows of a fetch trial: a high score, and a blob to fetch."""
+    return (F.coalesce("int_score", F.lit(0)) >= min_score) & F.col("blob_id").isNotNull()
+
+
+def sqlite_schema(path: str) -> str:
+    """The CREATE TABLE statements of a SQLite file, in the order of the tables' names, each with its semicolon."""
+    with _sqlite(path) as db:
+        made = db.execute("select name, sql from sqlite_master where type = 'table' and sql is not null order by name").fetchall()
+    return "\n".join(sql.strip().rstrip(";") + ";" for name, sql in made if not name.startswith("sqlite_"))
+
+
+def _sqlite(path: str):
+    import contextlib
+    import sqlite3
+
+    db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    db.text_factory = lambda raw: raw.decode("utf-8", errors="ignore")
+    return contextlib.closing(db)
+
+
+def read_sqlite(spark: SparkSession, path: str, name: str, rows_per_task: int = 100_000) -> DataFrame:
+    """A table of a SQLite file that all executors can open, read-only, in ranges of row numbers; bytes that aren't UTF-8 are left out."""
+    kinds = {"INT": "bigint", "REAL": "double", "FLOA": "double", "DOUB": "double", "NUME": "double", "DECI": "double"}
+    with _sqlite(path) as db:
+        columns = [(c[1], kinds.get((c[2] or "")[:4].upper(), "bigint" if "INT" in (c[2] or "").upper() else "string")) for c in db.execute(f'pragma table_info("{name}")')]
+        low, high = db.execute(f'select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from "{name}"').fetchone()
+    if not columns:
+        raise ValueError(f"no table {name}")
+    casts = {"bigint": "Int64", "double": "Float64", "string": "string"}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for start in pdf["id"]:
+                with _sqlite(path) as db:
+                    found = db.execute(f'select * from "{name}" where rowid >= ? and rowid < ? order by rowid', (int(start), int(start) + rows_per_task)).fetchall()
+                yield pd.DataFrame({c: pd.Series([r[k] for r in found], dtype=casts[kind]) for k, (c, kind) in enumerate(columns)})
+
+    return spark.range(low, high + 1, rows_per_task).mapInPandas(run, ", ".join(f"`{c}` {kind}" for c, kind in columns))
+
+
+def typed_cells(rows: Column) -> Column:
+    """Cells of a pipe table with what they are as a number, null where they aren't one."""
+    return F.transform(rows, lambda r: F.transform(r, lambda c: F.struct(c.alias("text"), c.try_cast("double").alias("number"))))
+
+
+def headers_of(files: Column) -> Column:
+    """One line for each CSV of a text with several: its name and its columns."""
+    return F.array_join(F.transform(files, lambda f: F.concat(f["name"], F.lit(": "), F.regexp_replace(F.regexp_extract(f["body"], r"^([^\n]*)", 1), ",", ", "))), "\n")

@@ -150,7 +150,7 @@ def test_conversations(spark):
 
 
 def test_sql_gate_votes_and_judging(spark):
-    assert sqlcheck.gate("with a as (select 1) select * from a;") and not sqlcheck.gate("select 1; drop table t")
+    assert sqlcheck.gate(spark, "with a as (select 1) select * from a;") and not sqlcheck.gate(spark, "select 1; drop table t")
     out = sqlcheck.run_query(spark, "select id from range(300)")
     assert out["ok"] and out["truncated"] and len(out["rows"]) == 200
     assert not sqlcheck.run_query(spark, "select nope from range(3)")["ok"]
