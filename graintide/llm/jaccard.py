@@ -312,6 +312,7 @@ def t_occurrence(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, pe
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     forest, found = Forest(n), []
     trees = np.bincount(group)  # of each group; where one is left, there is nothing more to link
+    tree = np.arange(n)
     for x in range(n):
         if side[x] == 1 or trees[group[x]] == 1:
             continue
@@ -323,13 +324,20 @@ def t_occurrence(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, pe
             continue  # no other set is in as many lists as it takes
         probed = long_lists(least, lengths[by_length])
         short, long = by_length[: size - probed], by_length[size - probed :]
-        short = short[lengths[short] > 1]
-        merged = heap_merge([posted[starts[k] : starts[k + 1]].tolist() for k in short.tolist()], least - probed)
+        # what is of x's own group already, comes before it or has no fitting size is taken out before lists are merged
+        each = lengths[short]
+        spot = np.repeat(starts[short] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+        other = posted[spot]
+        keep = (tree[other] != tree[x]) & ((side[other] == 1) | (side[x] == 2) & (side[other] == 2) & (other > x))
+        keep &= (100 * sizes[other] >= percent * size) & (100 * size >= percent * sizes[other])
+        if not keep.any():
+            continue
+        other, of = other[keep], np.repeat(np.arange(len(short)), each)[keep]
+        lists = [one.tolist() for one in np.split(other, np.flatnonzero(of[1:] != of[:-1]) + 1)]
+        merged = heap_merge(lists, least - probed)
         if not merged:
             continue
         near, count = np.array(merged, np.int64).T
-        fits = (100 * sizes[near] >= percent * size) & (100 * size >= percent * sizes[near]) & ((side[near] == 1) | (side[x] == 2) & (side[near] == 2) & (near > x))
-        near, count = near[fits], count[fits]
         rank = np.argsort(-count, kind="stable")
         near, count = near[rank], count[rank]
         need = -(-percent * (size + sizes[near]) // (100 + percent))  # 100 * o >= percent * (a + b - o)
@@ -354,6 +362,7 @@ def t_occurrence(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, pe
                 if forest.join(x, int(y)):
                     found.append((x, int(y)))
                     trees[group[x]] -= 1
+                    tree[tree == tree[y]] = tree[x]
     return found
 
 
