@@ -62,7 +62,8 @@ def filter_lines(x: Column) -> Column:
 
 
 def strip_boilerplate(x: Column) -> Column:
-    pattern = "(?i)" + "|".join(BOILERPLATE)
+    # all begin alike: one anchor fails at once where nine would be tried
+    pattern = r"(?i)^\s*(?:" + "|".join(p.removeprefix(r"^\s*") for p in BOILERPLATE) + ")"
     return F.array_join(F.filter(T.lines(x), lambda line: ~line.rlike(pattern)), "\n")
 
 
@@ -79,9 +80,14 @@ def is_repetitive(x: Column) -> Column:
     def hashed(w: Column) -> Column:
         spots = F.sequence(F.lit(0), F.size(w) - GRAM)
         grams = F.transform(spots, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(GRAM))))
-        return F.when(F.size(w) >= MIN_WORDS, F.sort_array(grams)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(w) >= MIN_WORDS, grams).otherwise(F.array().cast("array<bigint>"))
 
     def judge(grams: Column) -> Column:
+        # each other gram occurs once at least, so that with many different ones the commonest can't be half of all
+        varied = F.size(F.array_distinct(grams)) - TOP_GRAMS >= (1 - MAX_REPEATED) * F.size(grams)
+        return F.when(varied, False).otherwise(T.let(F.sort_array(grams), count))
+
+    def count(grams: Column) -> Column:
         ends = F.filter(F.transform(grams, lambda g, i: F.when(~F.get(grams, i + 1).eqNullSafe(g), i + 1)), lambda e: e.isNotNull())
         counts = T.let(ends, lambda e: F.transform(e, lambda v, i: v - F.coalesce(F.get(e, i - 1), F.lit(0))))
         top = F.aggregate(F.slice(F.sort_array(counts, asc=False), 1, TOP_GRAMS), F.lit(0), lambda total, c: total + c)
@@ -98,7 +104,7 @@ def redact(x: Column) -> Column:
     """E-mail addresses first, then public IPv4 addresses; a second pass changes nothing.
 
     Every address is put between two private-use signs, those that aren't public leave them, the rest is replaced."""
-    mailed = F.regexp_replace(x, EMAIL, EMAIL_TOKEN)
+    mailed = F.when(x.contains("@"), F.regexp_replace(x, EMAIL, EMAIL_TOKEN)).otherwise(x)
     marked = F.regexp_replace(mailed, rf"\b{IPV4}\b", f"{OPEN}$0{CLOSE}")
     private = F.regexp_replace(marked, f"{OPEN}((?:{NOT_PUBLIC})[^{CLOSE}]*){CLOSE}", "$1")
     return F.regexp_replace(private, f"{OPEN}[^{CLOSE}]*{CLOSE}", IP_TOKEN)
