@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import gzip
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The first bytes of a gzip file.
+GZIP = b"\x1f\x8b"
 DOCUMENT = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
 
@@ -53,17 +57,15 @@ def accept_code_row(min_score: int = 3, license_type: str = "permissive", low: i
 
 
 def decode_text(raw: bytes | None, encoding: str | None) -> str:
-    """gunzip where needed, then the recorded encoding, else UTF-8; errors are ignored."""
-    if raw is None:
-        return ""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    for name in (encoding, "utf-8"):
-        try:
-            return raw.decode(name, errors="ignore") if name else raw.decode("utf-8", errors="ignore")
-        except LookupError:
-            continue
-    return ""
+    """gunzip where needed, then the recorded encoding, or UTF-8 for none or one that isn't known; errors are ignored."""
+    data = raw or b""
+    if data.startswith(GZIP):
+        data = gzip.decompress(data)
+    try:
+        codec = codecs.lookup(encoding or "utf-8")
+    except LookupError:
+        codec = codecs.lookup("utf-8")
+    return data.decode(codec.name, "ignore")
 
 
 def decoded(raw: Column, encoding: Column) -> Column:
@@ -74,15 +76,20 @@ def decoded(raw: Column, encoding: Column) -> Column:
     return decode(raw, encoding)
 
 
-def fetch_blobs(rows: DataFrame, fetch: Callable[[str], bytes | None], threads: int = 64) -> DataFrame:
-    """(blob_id, raw, status): a thread pool in each partition; a failure is a status, not an exception."""
+def fetch_blobs(rows: DataFrame, fetch: Callable[[str], bytes | None], threads: int = 64, tries: int = 3, pause_s: float = 0.2) -> DataFrame:
+    """(blob_id, raw, status): a thread pool in each partition; a blob is tried some times, ever later, and a failure is a status, not an exception."""
 
     def one(blob: str) -> tuple[bytes | None, str]:
-        try:
-            raw = fetch(blob)
-        except Exception as why:  # isolated per blob
-            return None, f"error:{type(why).__name__}"
-        return raw, "missing" if raw is None else "ok"
+        status = "missing"
+        for attempt in range(tries):
+            try:
+                raw = fetch(blob)
+                return raw, "missing" if raw is None else "ok"
+            except Exception as why:  # isolated per blob
+                status = f"error:{type(why).__name__}"
+                if attempt + 1 < tries:
+                    time.sleep(pause_s * 2**attempt)
+        return None, status
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from concurrent.futures import ThreadPoolExecutor

@@ -284,3 +284,22 @@ def test_weighted_sampler_is_a_function_of_seed_and_step(spark):
     got = sample.sampled_with_weights(groups, F.col("w"), draws, "source", 1)
     again = sample.sampled_with_weights(groups, F.col("w"), draws.where("step = 77"), "source", 1).first()["source"]
     assert got.count() == 4000 and 2800 < got.where("source = 'b'").count() < 3200 and got.where("step = 77").first()["source"] == again
+
+
+def test_blobs_are_tried_again_and_decoded(spark):
+    import gzip
+
+    def fetch(blob):
+        if blob == "none":
+            return None
+        if blob == "bad":
+            raise OSError("no")
+        fetch.calls = getattr(fetch, "calls", 0) + 1
+        if fetch.calls == 1:
+            raise TimeoutError
+        return gzip.compress("é".encode("latin-1"))
+
+    rows = spark.createDataFrame([("good",), ("none",), ("bad",)], "blob_id string").coalesce(1)
+    got = {r["blob_id"]: (r["raw"], r["status"]) for r in readers.fetch_blobs(rows, fetch, threads=1, pause_s=0.0).collect()}
+    assert got["none"] == (None, "missing") and got["bad"] == (None, "error:OSError") and got["good"][1] == "ok"
+    assert readers.decode_text(bytes(got["good"][0]), "latin-1") == "é" and readers.decode_text(b"a\xffb", "no-such") == "ab" and readers.decode_text(None, None) == ""
