@@ -25,3 +25,26 @@ def write_stream(cleaned: DataFrame, path: str, checkpoint: str):
 
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def within_budget(documents: DataFrame, budget: int) -> DataFrame:
+    """(source, doc_id, before): documents of each source until its characters reach the budget, the crossing one included.
+
+    The characters so far are kept as state for each source, so that the budget holds over batches and restarts; within
+    a batch documents come in the order of their ids."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def take(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        used = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).sort_values("doc_id")
+        before = used + rows["chars"].cumsum() - rows["chars"]
+        kept = before < budget
+        state.update((int(used + rows["chars"][kept].sum()),))
+        yield pd.DataFrame({"source": key[0], "doc_id": rows["doc_id"][kept], "before": before[kept]})
+
+    sized = documents.select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    # once a source is full its rows are only counted out, so that state stays one number
+    return sized.groupBy("source").applyInPandasWithState(take, "source string, doc_id long, before long", "used long", "append", GroupStateTimeout.NoTimeout)

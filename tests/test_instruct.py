@@ -303,3 +303,20 @@ def test_blobs_are_tried_again_and_decoded(spark):
     got = {r["blob_id"]: (r["raw"], r["status"]) for r in readers.fetch_blobs(rows, fetch, threads=1, pause_s=0.0).collect()}
     assert got["none"] == (None, "missing") and got["bad"] == (None, "error:OSError") and got["good"][1] == "ok"
     assert readers.decode_text(bytes(got["good"][0]), "latin-1") == "é" and readers.decode_text(b"a\xffb", "no-such") == "ab" and readers.decode_text(None, None) == ""
+
+
+def test_stream_budget_holds_over_batches(spark, tmp_path):
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+
+    def put(rows):
+        spark.createDataFrame([(k, "x" * n, "en", s, n) for k, s, n in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        made = ingest.within_budget(ingest.stream_documents(spark, str(tmp_path / "in")), 10)
+        made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination(90)
+
+    put([(1, "a", 4), (2, "a", 4), (3, "b", 50)])
+    run()
+    put([(4, "a", 4), (5, "a", 4), (6, "b", 1)])
+    run()
+    assert sorted((r["source"], r["doc_id"], r["before"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1, 0), ("a", 2, 4), ("a", 4, 8), ("b", 3, 0)]
