@@ -1,8 +1,10 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy.
 
 Only labelled rows of the training side are learned from, at most `rows_per_language` of each language, chosen by a
-hash of their id; of the model only numbers for each hashed subword reach the workers. Confidence is calibrated by
-a temperature on sampled rows that weren't trained on; rows below a quantile of it are rejected.
+hash of their id and text; of the model only numbers for each hashed subword reach the workers. Confidence is calibrated
+by a temperature on sampled rows that weren't trained on and on pieces of them. A text is rejected when its log-odds are
+below those of all but a share `reject` of the calibration texts of about its length, so that short texts, which score
+lower, stay. Where these are beyond a score of `surest`, half of them is enough, but no less than that score.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any labelled row every text is
 `und`; rows with a null id or null label are predicted, not learned from; copies are predicted alike; an empty table
@@ -11,6 +13,7 @@ gives no rows; columns beside id, text and label take no part, and such as have
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,6 +33,8 @@ BUCKETS, DIM, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
 #: Longest run of letters that is taken as one word; a longer one is read in pieces of this length.
 LONGEST = 64
 MEMORY = 300_000
+#: Classes of length for rejection, by powers of two: one word, two or three, four to seven and so on.
+LENGTHS = 10
 UNKNOWN = "und"
 
 
@@ -67,7 +72,7 @@ class LanguageModel:
     logits: np.ndarray  # of each hashed subword
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    thresholds: list[float] = field(default_factory=lambda: [-math.inf] * LENGTHS)  # log-odds, of each length class
     memory: dict = field(default_factory=dict, repr=False)
     table: np.ndarray | None = field(default=None, repr=False)
 
@@ -90,9 +95,10 @@ class LanguageModel:
         self.table[at : at + len(new)] = rows
         self.memory.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool], list[float]]:
+        """Of each text its label, the probability of it, whether that is too low for a text of its length, and its log-odds."""
         split = [words_of(t) for t in texts]
-        names, scores = [], []
+        names, scores, rejected, odds = [], [], [], []
         for k in range(0, len(split), 64):
             part = split[k : k + 64]
             distinct = set().union(*part)
@@ -105,17 +111,21 @@ class LanguageModel:
                 if not words or not self.labels:
                     names.append(UNKNOWN)
                     scores.append(0.0)
+                    rejected.append(True)
+                    odds.append(-math.inf)
                     continue
                 s = self.table[np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))].sum(axis=0)
                 z = (s[:-1] / s[-1] + self.bias) / self.temperature
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                names.append(self.labels[int(p.argmax())])
-                scores.append(float(p.max()))
-        return names, scores
+                best = int(z.argmax())
+                rest = np.delete(z, best) - z[best]
+                odds.append(-float(np.logaddexp.reduce(rest)) if len(rest) else math.inf)
+                names.append(self.labels[best])
+                scores.append(1 / (1 + math.exp(-odds[-1])))
+                rejected.append(odds[-1] < self.thresholds[length_class(len(words))])
+        return names, scores, rejected, odds
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 4, chunk: int = 20, most: int = 12_000, rate: float = 8.0, reject: float = 0.001, seed: int = 7) -> LanguageModel:
+def train(rows: list[tuple[str, str]], epochs: int = 4, chunk: int = 20, most: int = 12_000, rate: float = 8.0, reject: float = 0.001, surest: float = 0.9, seed: int = 7) -> LanguageModel:
     """A model from (text, label) rows in a fixed order; every fifth row is kept for calibration."""
     labels = sorted({y for _, y in rows})
     if not labels:
@@ -151,26 +161,53 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, chunk: int = 20, most: i
             embed[used] -= lr * np.stack([np.bincount(at, spread[:, d], len(used)) for d in range(DIM)], axis=1) * 8
             step += 1
     model = LanguageModel(labels, (embed @ weight).astype(np.float32), bias)
-    return calibrate(model, held, reject)
+    return calibrate(model, held, reject, surest)
 
 
-def calibrate(model: LanguageModel, held: list[tuple[str, str]], reject: float) -> LanguageModel:
-    """The temperature of least loss on the held rows, and the score that only `reject` of them fall below."""
-    held = [(t, y) for t, y in held if words_of(t)]
-    if not held:
+def cut_pieces(held: list[tuple[str, str]], each: int = 8) -> list[tuple[str, str]]:
+    """The held texts and, of each power of two, their first `each` runs of so many words, as short texts would be."""
+    split = [(words_of(t), y) for t, y in held]
+    pieces = [(words, y) for words, y in split if words]
+    for words, y in split:
+        for size in (1 << k for k in range(LENGTHS) if 1 << k < len(words)):
+            pieces += [(words[at : at + size], y) for at in range(0, min(each * size, len(words) - size + 1), size)]
+    return [(" ".join(words), y) for words, y in pieces]
+
+
+def length_class(words: int) -> int:
+    return min(words.bit_length(), LENGTHS) - 1
+
+
+def calibrate(model: LanguageModel, held: list[tuple[str, str]], reject: float, surest: float, fewest: int = 100) -> LanguageModel:
+    """The temperature of least loss on the held texts and their pieces, and for each length the log-odds that only `reject` of them fall below.
+
+    A length with fewer than `fewest` pieces has the threshold of the next shorter one. Beyond `surest` the threshold is
+    half of the log-odds: where languages are far apart those of all held texts are high, and those of others still low.
+    """
+    pieces = cut_pieces(held)
+    if not pieces:
         return model
+    texts = [t for t, _ in pieces]
 
     def loss(temperature: float) -> float:
         model.temperature = temperature
-        names, scores = model.predict([t for t, _ in held])
+        names, scores, *_ = model.predict(texts)
         rest = max(1, len(model.labels) - 1)
-        p = [s if n == y else (1 - s) / rest for n, s, (_, y) in zip(names, scores, held, strict=True)]
+        p = [s if n == y else (1 - s) / rest for n, s, (_, y) in zip(names, scores, pieces, strict=True)]
         return -float(np.log(np.maximum(p, 1e-9)).mean())
 
     model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-    scores = model.predict([t for t, _ in held])[1]
-    # never far above what a guess would score, so that short texts in a known language stay
-    model.threshold = min(1 / len(model.labels) + 0.1, float(np.quantile(scores, reject)))
+    if len(model.labels) == 1:
+        return model
+    odds, sure = np.array(model.predict(texts)[3]), math.log(surest / (1 - surest))
+    of = np.array([length_class(len(words_of(t))) for t in texts])
+    model.thresholds, last = [], -math.inf
+    for k in range(LENGTHS):
+        found = odds[of == k]
+        if len(found) >= fewest:
+            last = float(np.quantile(found, reject))
+            last = min(last, max(sure, last / 2))
+        model.thresholds.append(last)
     return model
 
 
@@ -180,16 +217,18 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 400, most_languages: int = 1000) -> list[tuple[str, str]]:
-    """At most rows_per_language labelled rows of each of the commonest languages, whole texts, in the order of a hash of their id."""
+    """At most rows_per_language labelled rows of each of the commonest languages, whole texts, in the order of a hash of id and text; repeated rows count once."""
     usable = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 30))
-    labelled = usable.select(place.alias("place"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(11)), F.lit(1 << 30))
+    labelled = usable.select(place.alias("place"), F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
     counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_languages)
     limits = {r["label"]: int(min(1.0, rows_per_language / r["n"]) * (1 << 30)) for r in counts.collect()}
     if not limits:
         return []
     share = F.map_from_arrays(F.array(*map(F.lit, limits)), F.array(*map(F.lit, limits.values())))
-    chosen = labelled.where(F.col("place") < F.coalesce(F.try_element_at(share, F.col("label")), F.lit(0))).collect()
+    # copies of one row share its place, so that they are drawn together
+    drawn = labelled.where(F.col("place") < F.coalesce(F.try_element_at(share, F.col("label")), F.lit(0))).distinct()
+    chosen = drawn.orderBy("place", "label", "text").limit(2 * rows_per_language * len(limits)).collect()
     taken: dict[str, int] = {}
     rows = []
     for r in sorted(chosen, key=lambda r: (r["place"], r["label"], r["text"])):
@@ -204,7 +243,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected (no letters, or a score below the calibrated threshold)."""
+    """docs with lang_pred, score and rejected (no letters, or a score below the threshold of its length)."""
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "rejected")
     names = docs.columns
@@ -212,8 +251,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score = model.predict(batch.column(at).to_pylist())
-            bad = [n == UNKNOWN or s < model.threshold for n, s in zip(pred, score, strict=True)]
+            pred, score, bad, _ = model.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bad, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
     results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]

@@ -136,6 +136,25 @@ def test_language_id_learns_and_rejects(spark):
     assert {r["lang_pred"] for r in language_id.identify(none, language_id.fit(none)).collect()} == {"und"}
 
 
+def test_language_id_rejects_what_it_did_not_learn():
+    rng = random.Random(6)
+
+    def text(letters, words):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(words))
+
+    model = language_id.train([(text(letters, 60), name) for _ in range(200) for name, letters in (("aa", "abcdefgh"), ("zz", "stuvwxyz"))])
+    known = [text(letters, n) for n in (1, 3, 10, 200) for letters in ("abcdefgh", "stuvwxyz") for _ in range(50)]
+    other = [text("jklmnopq", n) for n in (10, 200) for _ in range(50)]
+    assert sum(model.predict(known)[2]) <= 4 and all(model.predict(other)[2])
+    assert model.predict([None, "12"])[:3] == (["und", "und"], [0.0, 0.0], [True, True])
+
+
+def test_language_sample_is_bounded_where_one_row_repeats(spark):
+    rows = [(1, "abc abd", "aa")] * 5000 + [(k, f"xyz {k}", "zz") for k in range(1000)]
+    learned = language_id.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=100)
+    assert sum(y == "aa" for _, y in learned) <= 1 and 50 < sum(y == "zz" for _, y in learned) <= 100
+
+
 @pytest.mark.parametrize("width", [16, 1024])
 def test_packing_places_every_id_once(spark, width):
     texts = corpus() + ODD
