@@ -101,7 +101,7 @@ SQL: dict[str, str] = {
     "rel_big_orders": "SELECT count(*) AS n FROM orders WHERE o_totalprice > 300000",
     "rel_small_parts": "SELECT p_partkey, p_size FROM part WHERE p_size < 3 ORDER BY p_size, p_partkey LIMIT 20",
     "rel_total_size": "SELECT sum(p_size) AS total FROM part",
-    "rel_highest_discount": "SELECT max(l_discount) AS highest, min(l_discount) AS lowest FROM lineitem",
+    "rel_highest_discount": "SELECT max(l_discount) AS highest, CASE WHEN min(l_discount) = 0 THEN 0.0E0 ELSE min(l_discount) END AS lowest FROM lineitem",
     "rel_average_discount": f"SELECT {r6('avg(l_discount)')} AS mean FROM lineitem",
     "rel_max_balance_by_segment": "SELECT c_mktsegment, max(c_acctbal) AS largest FROM customer GROUP BY c_mktsegment",
     "rel_lines_per_status": "SELECT l_linestatus, count(*) AS n FROM lineitem GROUP BY l_linestatus",
