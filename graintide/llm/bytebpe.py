@@ -45,8 +45,21 @@ class ByteBpe:
         ranks = {bytes(to_byte[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
         self.exact = Tokenizer.from_str(json.dumps(content | {"truncation": None, "padding": None}))
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        self.plain = Tokenizer.from_str(json.dumps(content | {"truncation": None, "padding": None}))
+        self.plain.encode_special_tokens = True
+        self.spelling = {i: t for t, i in ranks.items()} | {i: t.encode() for t, i in special.items()}
 
     def encode(self, text: str) -> np.ndarray:
         if UNCOMMON.search(text):
             return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
+
+    def encode_plain(self, text: str) -> np.ndarray:
+        """As encode, but the strings of special tokens are text like any other."""
+        if UNCOMMON.search(text):
+            return np.asarray(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id."""
+        return [self.spelling.get(i, b"") for i in range(max(self.spelling) + 1)]

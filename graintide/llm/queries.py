@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graintide.llm import cap_filters, chat_format, exact_dedup, jaccard, language_id, packing, substring_dedup, token_counts, warc, wordbpe
+from graintide.llm import alignment, cap_filters, chat_format, exact_dedup, fill_middle, html_extract, jaccard, language_id, packing, substring_dedup, token_counts, warc, wordbpe
 from graintide.session import table
 
 
@@ -71,6 +71,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.main_text(pages, html_extract.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_tokenizers(table(spark, sf_dir, "documents"), vocab_path("byte_bpe_50k.json"), vocab_path("piece_bpe_32k.model"), groups="digest")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.restored(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -83,8 +98,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_near_embeddings": op9_near_embeddings,
         "op10_warc": op10_warc,
+        "op11_html_extract": op11_html_extract,
+        "op12_alignment": op12_alignment,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op8_chat_format": chat_format.SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op8_chat_format": chat_format.SQL, "op13_fill_middle": fill_middle.SQL}
