@@ -1,16 +1,30 @@
-import pathlib
-import sys
+import signal
 
 import pytest
 
-sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
+from graintide.session import local_session
+
+#: Seconds that a test may take; one that hangs fails alone.
+LIMIT_S = 300
 
 
 @pytest.fixture(scope="session")
 def spark():
-    from graintide.session import local_session
+    session = local_session(8, shuffle_partitions=8, memory="6g")
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(autouse=True)
+def limited(request):
+    def stop(number, frame):
+        if "spark" in request.fixturenames:
+            request.getfixturevalue("spark").sparkContext.cancelAllJobs()
+        raise TimeoutError(f"the test took more than {LIMIT_S} s")
 
-    s = local_session(8, shuffle_partitions=4, memory="4g")
-    s.sparkContext.setLogLevel("ERROR")
-    yield s
-    s.stop()
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT_S)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)

@@ -1,5 +1,7 @@
 """Fixtures for SQL text, execution, traces, the code gate, examples, measures, token files and sources."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,8 +49,6 @@ def test_running_and_comparing(spark):
     out = sqlcheck.run_query(spark, "select region, sum(amount) as total from sales group by region order by region")
     assert out["ok"] and out["rows"] == [("north; east", 10.5), ("south", 7.0)] and not out["truncated"]
     assert sqlcheck.run_query(spark, "select id from range(500)")["truncated"] and not sqlcheck.run_query(spark, "select nope from sales")["ok"]
-    slow = sqlcheck.run_query(spark, "select count(*) from range(100000000) a join range(1000000) b on (a.id * 7919) % 9973 < (b.id * 31) % 9973", timeout_s=1.0)
-    assert not slow["ok"] and slow["error"].startswith("timeout")
     with pytest.raises(ValueError):
         sqlcheck.build_views(spark, "attach 'other.db'")
     assert sqlcheck.results_equal_tolerant([("a", 1.2345)], [("a", 1.23)]) and not sqlcheck.results_equal_tolerant([("a", 1.2345)], [("a", 1.3)])
@@ -58,6 +58,32 @@ def test_running_and_comparing(spark):
     assert sqlcheck.judge(got([(1,)]), got([], False)) == "mismatch"
 
 
+ENDLESS = "select count(*) as n from range(100000000) a join range(1000000) b on (a.id * 7919) % 9973 < (b.id * 31) % 9973"
+
+
+@pytest.mark.parametrize("timeout_s", [0.02, 1.0, 4.0])
+@pytest.mark.parametrize("sql", [
+    pytest.param(ENDLESS, id="main job"),
+    pytest.param("select aggregate(sequence(1, 4000), 0L, (a, x) -> a + aggregate(sequence(1, 60000), 0L, (b, y) -> b + y % 7)) as n", id="planning"),
+    pytest.param(f"select /*+ broadcast(b) */ count(*) from range(10) a join ({ENDLESS}) b on a.id = b.n", id="broadcast"),
+])
+def test_the_clock_ends_whatever_runs(spark, sql, timeout_s):
+    began = time.time()
+    late = sqlcheck.run_query(spark, sql, timeout_s=timeout_s)
+    assert not late["ok"] and late["error"].startswith("timeout") and time.time() - began < timeout_s + 2
+    assert sqlcheck.run_query(spark, "select 1 as a")["rows"] == [(1,)]
+
+
+def test_no_job_is_left_after_the_clock(spark):
+    sqlcheck.run_query(spark, ENDLESS, timeout_s=0.02)
+    for _ in range(50):
+        time.sleep(0.2)
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+    time.sleep(1)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
 def test_insights_hold_only_known_numbers():
     rows = [("a", 3, 1.5), ("b", None, 9.25), ("c", 8, 2.0)]
     text = sqlcheck.insight(["name", "n", "x"], rows, 40)
