@@ -5,12 +5,14 @@ import html
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
-from graintide.llm import alignment, fill_middle, html_extract
+from graintide.llm import alignment, fill_middle, html_extract, packing
 from graintide.llm import queries as op_queries
 from graintide.llm.queries import vocab_path
 
@@ -221,3 +223,55 @@ def test_model_of_no_labelled_pages(spark):
     found = html_extract.main_text(pages, html_extract.fit(pages)).collect()
     assert [r.text for r in found] == [f"T\n{Q}", ""]
     assert html_extract.main_text(pages.limit(0), html_extract.fit(pages.limit(0))).count() == 0
+
+
+def placed_lengths(histogram, width):
+    """All places of a plan, piece by piece: sequence -> [(offset, length)], and how each rank of a length was cut."""
+    places, first_apart, tokens_apart = packing.placements(packing.shortest_pack_first(histogram, width), width)
+    rest = packing.parts_of(tokens_apart % width, width)
+    sequences, cut = {}, {}
+    for length, lo, hi, _, part_start, part_length, packs, first, offset in places:
+        for rank in range(lo, hi):
+            nth = rank - lo
+            if packs is not None:
+                seq, at = first + nth % packs, offset + nth // packs * length
+            else:
+                at = offset + nth * part_length
+                seq, at = first_apart + at // width, at % width
+                if seq == first_apart + tokens_apart // width:
+                    k = next(k for k, (a, n) in enumerate(rest) if a <= at < a + n)
+                    seq, at = seq + k, at - rest[k][0]
+            sequences.setdefault(seq, []).append((at, part_length))
+            cut.setdefault((length, rank), []).append((part_start, part_length))
+    return sequences, cut
+
+
+@pytest.mark.parametrize("width", [1024, 100])
+@pytest.mark.parametrize("histogram", [{100: 1000}, {340: 1000}, {1: 1000}, {1: 5}, {300: 500, 400: 500}, {600: 333}, {513: 77, 1: 20}, {1000: 40}, {700: 10, 90: 11, 7: 5000}, {1024: 5, 3: 1}, {}])
+def test_every_length_packs_without_much_padding(histogram, width):
+    histogram = {n: k for n, k in histogram.items() if n <= width} if width == 1024 else {min(n, 99): k for n, k in histogram.items()}
+    sequences, cut = placed_lengths(histogram, width)
+    tokens = sum(n * k for n, k in histogram.items())
+    assert sorted(cut) == sorted((n, r) for n, k in histogram.items() for r in range(k))
+    for (length, _), parts in cut.items():
+        assert [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()[:-1]] and sum(n for _, n in parts) == length
+    padding = 0
+    for parts in sequences.values():
+        parts.sort()
+        used = sum(n for _, n in parts)
+        assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts]).tolist()[:-1]] and used <= width
+        padding += 0 if used & (used - 1) == 0 else width - used
+    assert sorted(sequences) == list(range(len(sequences)))
+    if width == 1024:
+        assert padding <= 0.03 * (tokens + padding)
+
+
+def test_like_texts_and_nulls_pack_well(spark):
+    texts = ["word " * 560] * 120 + [None] * 200
+    rows = packing.pack_documents(frame(spark, texts), vocab_path("byte_bpe_50k.json")).toPandas()
+    used = rows.groupby("sequence_id")["length"].sum()
+    assert rows.groupby("doc_id")["length"].sum().equals(rows.groupby("doc_id")["doc_tokens"].first().rename("length"))
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows.itertuples())
+    assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in used.tolist()) <= 0.03 * used.sum()
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
