@@ -16,6 +16,8 @@ a spanning forest is returned, so that a group of n near copies makes at most n
 each of which its sets meet one another and those of the next band; where that is still large, it is cut into parts,
 and each two parts meet in a task of their own.
 
+Shingles are 64-bit hashes, under a key that is drawn for each job, so that no texts can be written whose shingles meet.
+
 Defined cases: null and empty texts have no set and link with nothing; texts with fewer words than a shingle have
 their whole word sequence as the one shingle; equal sets always link; rows with one id are one document with the
 union of links; a null id is kept as a row with a null component; an empty table gives no rows; columns beside id and
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graintide.llm.components import connected_components
-from graintide.llm.wordbytes import blobs, give_back, hashed_words, mix, window_hash
+from graintide.llm.wordbytes import blobs, give_back, hashed_words, mix, new_key, window_hash
 from graintide.session import shuffle_partitions, small_batches, staged, staged_alone
 
 #: Shingles of a block that one task takes from each of its two parts.
@@ -47,10 +49,10 @@ CHUNK_POSTINGS = 1_500_000
 MU = 0.0085
 
 
-def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int, secret: int = 0) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z lower-cased."""
     for first, end, raw, offsets in blobs(texts):
-        starts, _, h = hashed_words(raw, lower=True)
+        starts, _, h = hashed_words(raw, lower=True, key=secret)
         edge = np.searchsorted(starts, offsets)
         spans = window_hash(h, words)
         for k in range(end - first):
@@ -125,7 +127,7 @@ SIGN_BYTES = 6
 MEET_SIGNS = 1_000_000
 
 
-def describe(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+def describe(docs: DataFrame, words: int, percent: int, buckets: int, secret: int) -> DataFrame:
     """Two kinds of rows, from one reading of the texts.
 
     SETS: id a, set size b, digest (128 bits of the set). SIGNS: bucket a, smallest id b and a payload of signatures of a
@@ -147,7 +149,7 @@ def describe(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFra
         for batch in batches:
             made: list[tuple] = []
             signs, senders, seen = [np.zeros(0, np.uint64)], [], set()
-            for row_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
+            for row_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words, secret), strict=True):
                 digest = np.array([mix(s, 21).sum(dtype=np.uint64), mix(s, 22).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else None
                 made.append((SETS, row_id, len(s), digest, None))
                 if len(s) and row_id is not None and digest not in seen:
@@ -402,7 +404,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    found = staged(describe(rows, words, percent, 8 * shuffle_partitions(spark)), "described")
+    secret = new_key()
+    found = staged(describe(rows, words, percent, 8 * shuffle_partitions(spark), secret), "described")
     described = found.where(F.col("kind") == SETS).select(F.col("a").alias("row_id"), F.col("b").alias("n"), "digest")
     keyed = described.where("digest is not null and row_id is not null")
     # written first, so that the join below has a shuffle on either side and a digest of very many rows is split
@@ -416,7 +419,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     plan = staged(_block_plan(blocks, member, percent), "blocks")
     few = plan.count() <= BROADCAST_ROWS
     chosen = rows.join(F.broadcast(plan) if few else plan.hint("merge"), "row_id")
-    edges = staged(_block_links(chosen, words, percent), "links")
+    edges = staged(_block_links(chosen, words, percent, secret), "links")
     groups = connected_components(edges)
     rep_group = groups.select(F.col("id").alias("rep"), "component")
     settled = member.join(rep_group, "rep", "left").select("row_id", F.coalesce("component", "rep").alias("component_id"))
@@ -442,7 +445,7 @@ def _block_plan(blocks: DataFrame, member: DataFrame, percent: int) -> DataFrame
     return sent.join(parts, "block").groupBy("row_id").agg(F.collect_list(F.struct("block", "side", "parts")).alias("tasks"))
 
 
-def _block_links(chosen: DataFrame, words: int, percent: int) -> DataFrame:
+def _block_links(chosen: DataFrame, words: int, percent: int, secret: int) -> DataFrame:
     """Links of all sets that share a block: chosen has row_id, text, tasks."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +453,7 @@ def _block_links(chosen: DataFrame, words: int, percent: int) -> DataFrame:
             ids, texts, tasks = (c.to_pylist() for c in batch.columns)
             place = mix(np.array(ids, np.int64).view(np.uint64), 41).tolist()
             made: list[tuple] = []
-            for k, s in enumerate(shingle_sets(texts, words)):
+            for k, s in enumerate(shingle_sets(texts, words, secret)):
                 raw = s.tobytes()
                 for t in tasks[k]:
                     part = place[k] % t["parts"]

@@ -2,7 +2,8 @@
 
 A window is `width` consecutive words. Its minimiser is the smallest hash of the short word runs in it, and
 consecutive windows of a document that share one travel as one packed string to the bucket of that minimiser. In a
-bucket the windows are sorted, equal ones meet, and each that a document with a smaller id has too is marked.
+bucket the windows are sorted by hashes, those of equal ones are compared word by word, since the strings are there,
+and each that a document with a smaller id has too is marked. Word hashes have a key of the job.
 
 Before they travel, windows that a smaller document of the same batch has are marked on the spot, so that of a
 passage that very many documents share each batch sends one copy. Minimisers that more than a bounded share of the
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graintide.llm.wordbytes import blobs, give_back, hashed_words, mix, powers, window_hash
+from graintide.llm.wordbytes import blobs, eights, equal_words, give_back, hashed_words, mix, new_key, powers, window_hash
 from graintide.session import shuffle_partitions, small_batches, staged
 
 WIDTH, SHORT = 13, 3
@@ -53,21 +54,48 @@ def smallest(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (span - have)], out[span - have :]) if span > have else out
 
 
-def repeated(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which windows a smaller document has too, all those given being compared."""
+class Words:
+    """Windows of words by their bytes; a window is the number of its first word."""
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int):
+        self.raw, self.starts, self.ends, self.width = raw, starts, ends, width
+        self.view = eights(raw)
+
+    def equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        same = np.ones(len(i), bool)
+        for k in range(self.width):
+            live = np.flatnonzero(same)
+            same[live] = equal_words(self.view, self.starts, self.ends, i[live] + k, j[live] + k)
+        return same
+
+    def words(self, i: int) -> tuple[bytes, ...]:
+        return tuple(self.raw[a:b].tobytes() for a, b in zip(self.starts[i : i + self.width].tolist(), self.ends[i : i + self.width].tolist(), strict=True))
+
+
+def repeated(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, window: np.ndarray, words: Words) -> np.ndarray:
+    """Which windows a smaller document has too, all those given being compared: by hashes first, then by their words."""
     if not len(h1):
         return np.zeros(0, bool)
     order = np.argsort(h1, kind="stable")
     a, b = h1[order], h2[order]
-    same = a[1:] == a[:-1]
-    if (same & (b[1:] != b[:-1])).any():
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
         order = np.lexsort((h2, h1))
         a, b = h1[order], h2[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     least = np.minimum.reduceat(doc[order], first)
-    out = np.empty(len(h1), bool)
-    out[order] = doc[order] > np.repeat(least, np.diff(np.append(first, len(order))))
+    later = doc[order] > least[group]
+    head = np.minimum.reduceat(np.where(later, len(order), np.arange(len(order))), first)  # one of the smallest document
+    out, place = np.zeros(len(h1), bool), np.flatnonzero(later)
+    same = words.equal(window[order[place]], window[order[head[group[place]]]])
+    out[order[place[same]]] = True
+    for g in np.unique(group[place[~same]]).tolist():  # different windows of equal hashes: settled by their words
+        members = order[np.flatnonzero(group == g)].tolist()
+        smallest_of: dict[tuple, int] = {}
+        for k in members:
+            said = words.words(int(window[k]))
+            smallest_of[said] = min(int(doc[k]), smallest_of.get(said, int(doc[k])))
+        out[members] = [int(doc[k]) > smallest_of[words.words(int(window[k]))] for k in members]
     return out
 
 
@@ -80,8 +108,8 @@ def runs_of(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Batch:
     """The windows of a few whole texts: which are repeats already, and the super-k-mers of the others."""
 
-    def __init__(self, raw: bytes, offsets: np.ndarray, ids: np.ndarray, width: int, hot: np.ndarray):
-        self.starts, self.ends, h = hashed_words(raw)
+    def __init__(self, raw: bytes, offsets: np.ndarray, ids: np.ndarray, width: int, hot: np.ndarray, secret: int):
+        self.starts, self.ends, h = hashed_words(raw, key=secret)
         edges = np.searchsorted(self.starts, offsets)
         row = np.repeat(np.arange(len(ids)), np.diff(edges))
         self.first_word = edges[:-1]
@@ -89,7 +117,7 @@ class Batch:
         at = np.flatnonzero(row[:n] == row[width - 1 :]) if n else np.zeros(0, np.int64)
         h1, h2 = rolling(h, width)
         least = smallest(window_hash(h, SHORT), width - SHORT + 1) if n else np.zeros(0, np.uint64)
-        dup = repeated(h1[at], h2[at], ids[row[at]])
+        dup = repeated(h1[at], h2[at], ids[row[at]], at, Words(np.frombuffer(raw, np.uint8), self.starts, self.ends, width))
         self.marked, self.marked_row = at[dup], row[at[dup]]
         at = at[~dup]
         key = least[at]
@@ -110,21 +138,21 @@ class Batch:
         return row, start, start + n + width - 1
 
 
-def _batches(batch: pa.RecordBatch, width: int, hot: np.ndarray) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, Batch]]:
+def _batches(batch: pa.RecordBatch, width: int, hot: np.ndarray, secret: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, Batch]]:
     ids = np.asarray(batch.column(0).to_pylist(), np.int64)
     keys = np.asarray(batch.column(1).to_pylist(), np.int64)
     for first, end, raw, offsets in blobs(batch.column(2).to_pylist()):
-        yield raw, ids[first:end], keys[first:end], Batch(raw, offsets, ids[first:end], width, hot)
+        yield raw, ids[first:end], keys[first:end], Batch(raw, offsets, ids[first:end], width, hot, secret)
 
 
-def hot_minimisers(rows: DataFrame, width: int, partitions: int) -> tuple[np.ndarray, int]:
+def hot_minimisers(rows: DataFrame, width: int, partitions: int, secret: int) -> tuple[np.ndarray, int]:
     """Minimisers that more than 1 / (2 * partitions) of all super-k-mers have, and the number of windows.
 
     Each batch reports those that have half that share of it, so none can be missed; at most 4 * partitions pass."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *_, found in _batches(batch, width, np.zeros(0, np.uint64)):
+            for *_, found in _batches(batch, width, np.zeros(0, np.uint64), secret):
                 key, n = np.unique(found.key, return_counts=True)
                 often = n * 4 * partitions >= max(1, len(found.key))
                 key, n = key[often].view(np.int64), n[often]
@@ -147,7 +175,8 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
     partitions = shuffle_partitions(spark)
-    hot, windows = hot_minimisers(rows, width, partitions)
+    secret = new_key()
+    hot, windows = hot_minimisers(rows, width, partitions, secret)
     buckets = max(4 * partitions, windows // BUCKET_WINDOWS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +184,7 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for raw, ids, keys, found in _batches(batch, width, hot):
+            for raw, ids, keys, found in _batches(batch, width, hot, secret):
                 to, payload = [], []
                 row, first, end = found.mark_spans(width)
                 if len(row):
@@ -181,6 +210,7 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         expand = zstandard.ZstdDecompressor()
         parts: list[tuple] = []
+        raws, edges, words, size = [], [], 0, 0
         for p in payloads:
             data = expand.decompress(p[1:])
             if p[:1] == b"M":
@@ -189,16 +219,20 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             d, n = np.frombuffer(data, np.int64, 2)
             head = np.frombuffer(data, np.int64, 2 + 2 * d + 3 * n)[2:]
             local, place, count = head[2 * d :].reshape(3, n)
-            _, _, h = hashed_words(np.frombuffer(data, np.uint8)[8 * (2 + 2 * d + 3 * n) :])
+            raw = np.frombuffer(data, np.uint8)[8 * (2 + 2 * d + 3 * n) :]
+            starts, ends, h = hashed_words(raw, key=secret)
             h1, h2 = rolling(h, width)
             skmer = np.repeat(np.arange(n), count)
             step = np.arange(len(skmer)) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(np.cumsum(count + width - 1) - (count + width - 1), count) + step
-            parts.append((h1[at], h2[at], head[:d][local][skmer], head[d : 2 * d][local][skmer], place[skmer] + step))
+            parts.append((h1[at], h2[at], head[:d][local][skmer], head[d : 2 * d][local][skmer], place[skmer] + step, at + words))
+            raws.append(raw)
+            edges.append((starts + size, ends + size))
+            words, size = words + len(starts), size + len(raw)
         if not parts:
             return
-        h1, h2, doc, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        dup = repeated(h1, h2, doc)
+        h1, h2, doc, key, place, window = (np.concatenate(x) for x in zip(*parts, strict=True))
+        dup = repeated(h1, h2, doc, window, Words(np.concatenate(raws), *(np.concatenate(x) for x in zip(*edges, strict=True)), width))
         doc, key, place = doc[dup], key[dup], place[dup]
         order = np.lexsort((place, key, doc))
         doc, key, place = doc[order], key[order], place[order]

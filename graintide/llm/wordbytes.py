@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,6 @@ import pyarrow as pa
 _P = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_P, -1, 1 << 64)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-_factors = np.zeros(0, np.uint64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -23,17 +24,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def factors(n: int) -> np.ndarray:
-    """A scrambled odd factor for each place within a word, 0 to n at least.
-
-    Sums of bytes times such factors tell words apart with a chance near 2**-56; powers of one base, which have a
-    pattern modulo 2**64, would not."""
-    global _factors
-    if len(_factors) <= n:
-        _factors = mix(np.arange(max(n + 1, 2 * len(_factors)), dtype=np.uint64), 77) | np.uint64(1)
-    return _factors
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x + np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
@@ -42,12 +32,27 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Bytes that are hashed at once; longer only where one word is.
-PIECE_BYTES = 1 << 18
+#: Bytes of a word from which it is hashed and compared by itself.
+LONG_WORD = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def new_key() -> int:
+    """A key for the word hashes of one job, so that nobody can write texts whose words meet."""
+    return secrets.randbits(64)
+
+
+def eights(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros follow the end."""
+    padded = np.concatenate((b, np.zeros(8, np.uint8)))
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(b),), strides=(1,))
+
 
+def hashed_words(raw: bytes | np.ndarray, lower: bool = False, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word of the bytes.
 
-def hashed_words(raw: bytes | np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word of the bytes."""
+    A word is taken eight bytes at a time into two states, which scrambles that aren't linear carry on from a key; the
+    two are folded at the end. Very long words go through blake2b."""
     b = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
     if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -58,21 +63,36 @@ def hashed_words(raw: bytes | np.ndarray, lower: bool = False) -> tuple[np.ndarr
     if not gap[-1]:
         turn = np.concatenate((turn, [len(b)]))
     starts, ends = turn[::2], turn[1::2]
-    hashes, k = np.empty(len(starts), np.uint64), 0
-    while k < len(starts):
-        low = starts[k]
-        end = max(k + 1, int(np.searchsorted(ends, low + PIECE_BYTES, side="right")))
-        value = b[low : ends[end - 1]].astype(np.uint64)
-        if lower:
-            value += np.uint64(32) * ((value >= 65) & (value <= 90))
-        value += np.uint64(1)
-        at, sizes = starts[k:end] - low, ends[k:end] - starts[k:end]
-        place = np.arange(len(value)) - np.repeat(at, np.diff(np.append(at, len(value))))
-        value *= factors(int(place[-1]) if end == k + 1 else int((np.append(at[1:], len(value)) - at).max()))[place]
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-        hashes[k:end] = mix(sums[at + sizes] - sums[at])
-        k = end
-    return starts, ends, hashes
+    if lower:
+        b = b + np.uint8(32) * ((b >= 65) & (b <= 90))
+    view, sizes = eights(b), ends - starts
+    one, two = np.full(len(starts), key, np.uint64), np.full(len(starts), key ^ 0x5851F42D4C957F2D, np.uint64)
+    live, at = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(live):
+        block = view[starts[live] + at] & _MASKS[np.minimum(sizes[live] - at, 8)]
+        one[live] = mix(one[live] ^ block, 71)
+        two[live] = mix((two[live] + block) * np.uint64(0x2545F4914F6CDD1D), 73) ^ (one[live] >> np.uint64(32))
+        at += 8
+        live = live[sizes[live] > at]
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = hashlib.blake2b(b[starts[k] : ends[k]].tobytes(), digest_size=16, key=key.to_bytes(8, "little")).digest()
+        one[k], two[k] = np.frombuffer(digest, "<u8")
+    return starts, ends, mix(one ^ (two * np.uint64(_P)) ^ sizes.astype(np.uint64))
+
+
+def equal_words(view: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the words i and j (arrays of numbers) have the same bytes, view being these as `eights` gives them."""
+    size = ends[i] - starts[i]
+    same = size == ends[j] - starts[j]
+    live, at = np.flatnonzero(same & (size <= LONG_WORD)), 0
+    while len(live):
+        differs = (view[starts[i[live]] + at] ^ view[starts[j[live]] + at]) & _MASKS[np.minimum(size[live] - at, 8)] != 0
+        same[live[differs]] = False
+        at += 8
+        live = live[~differs & (size[live] > at)]
+    for k in np.flatnonzero(same & (size > LONG_WORD)).tolist():
+        same[k] = np.array_equal(view[starts[i[k]] : ends[i[k]] - 7], view[starts[j[k]] : ends[j[k]] - 7])
+    return same
 
 
 def give_back() -> None:

@@ -463,7 +463,8 @@ def test_pipeline_stages_of_odd_rows(spark):
         got = stage(spark, docs, "").collect()
         assert stage(spark, docs.limit(0), "").count() == 0
         if name == "packing":
-            assert len(got) == sum(1 + (r["doc_tokens"] - 1) // 1024 for r in got if r["start"] == 0) and len({r["doc_id"] for r in got}) == 8
+            assert sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0) and len({r["doc_id"] for r in got}) == 8
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
             continue
         assert stage(spark, docs, "").columns == names
         assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(kept[name], key=str), name

@@ -275,3 +275,40 @@ def test_like_texts_and_nulls_pack_well(spark):
     assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in used.tolist()) <= 0.03 * used.sum()
     for _, g in rows.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
+
+
+#: Different words that a sum of bytes times fixed factors can't tell apart.
+MEETING = ("knlmnnnmmmnolnkonnlomn", "olonmlmmmnmknmokmlokmm")
+
+
+def test_words_that_met_under_a_linear_hash(spark):
+    from graintide.llm import jaccard, substring_dedup
+    from graintide.llm.wordbytes import hashed_words
+
+    for key in (0, 1, 2**64 - 1):
+        h = hashed_words(" ".join([*MEETING, "a" * 8, "a" * 9, "a" * 16, "a" * 300, "a" * 301, "b" * 300, MEETING[0]]).encode(), key=key)[2]
+        assert len(set(h.tolist())) == 8 and h[0] == h[-1]
+    assert hashed_words(b"Ab", lower=True)[2][0] == hashed_words(b"ab")[2][0] != hashed_words(b"ab", key=5)[2][0]
+    body = [f"w{k}" for k in range(12)]
+    docs = frame(spark, [" ".join([*body[:6], m, *body[6:]]) for m in MEETING])
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == {0}
+    assert {r["component_id"] for r in jaccard.jaccard_groups(docs, words=3, percent=90).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("bits", [0, 1, 64])
+def test_windows_of_equal_hashes_are_told_apart_by_their_words(bits):
+    from graintide.llm import substring_dedup as sd
+    from graintide.llm.wordbytes import hashed_words
+
+    rng = random.Random(6)
+    words = [rng.choice(["a", "b", "a" * 9, "a" * 8 + "b", "x" * 300, "x" * 299 + "y"]).encode() for _ in range(400)]
+    raw = b" ".join(words)
+    starts, ends, h = hashed_words(raw)
+    at = np.arange(len(words) - 2)
+    doc = np.array([rng.randint(0, 9) for _ in at])
+    h1, h2 = (x % np.uint64(2**bits) if bits < 64 else x for x in sd.rolling(h, 3))
+    found = sd.repeated(h1, h2, doc, at, sd.Words(np.frombuffer(raw, np.uint8), starts, ends, 3))
+    least = {}
+    for k in at.tolist():
+        least[tuple(words[k : k + 3])] = min(int(doc[k]), least.get(tuple(words[k : k + 3]), 99))
+    assert found.tolist() == [int(doc[k]) > least[tuple(words[k : k + 3])] for k in at.tolist()]
