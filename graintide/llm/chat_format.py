@@ -8,8 +8,9 @@ running maximum over turns, so that a line that all messages have makes no pairs
 
 The result has each message without quotes and attribution lines, with its parent and its place in the conversation as
 its replies order it: depth first, a message's replies following it by turn, each with all that replies to it. Messages
-that each reply to the one before form a run, so that only runs are ordered, by the path of turns at which one branches
-off another; paths grow by pointer doubling, and long conversations are dealt in blocks of turns and ranges of paths.
+that each reply to the one before form a run, so that only runs are ordered: a tour enters a run, goes through those that
+branch off it and leaves it, each step knowing the next one, and pointer doubling sums up what lies between a step and the
+tour's end. Rows keep one size however deep runs branch; long conversations are dealt in blocks of turns.
 
 Defined cases: a null text is empty; a message of quotes alone has empty content; empty and repeated lines never
 make a passage by themselves; of several rows with one turn each keeps its row, their places following role and
@@ -88,9 +89,13 @@ def running_max(rows: DataFrame, keys: list[str], value, name: str, upto: int =
     return joined.withColumn(name, F.greatest("_here", "_carried")).drop("_v", "_block", "_b", "_here", "_carried", *(f"_{k}" for k in keys))
 
 
-def quote_links(messages: DataFrame) -> DataFrame:
+def quoted_passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, passage) of all that messages quote, written out."""
+    return staged(messages.where("depth > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.inline(quoted(F.col("lines")))).distinct(), "quoting")
+
+
+def quote_links(messages: DataFrame, quoting: DataFrame) -> DataFrame:
     """(conv_id, turn, quoted_turn): the latest earlier message whose text or line the message quotes at the shallowest level known."""
-    quoting = staged(messages.where("depth > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.inline(quoted(F.col("lines")))).distinct(), "quoting")
     original = messages.select("conv_id", "turn", F.explode(hashes(F.concat(F.split("content", "\n"), F.array("content")))).alias("passage"))
     original = original.join(quoting.select("conv_id", "passage").distinct().hint("merge"), ["conv_id", "passage"], "left_semi")
     events = original.select("conv_id", "passage", "turn", F.col("turn").alias("source"), F.lit(None).cast("int").alias("level"))
@@ -112,53 +117,80 @@ def in_order(messages: DataFrame) -> DataFrame:
     return running_max(rows, ["conv_id"], F.when(known, F.col("turn")), "before", -1).withColumn("before", F.when(known, F.col("before")))
 
 
-def branch_paths(heads: DataFrame, turns: DataFrame, rounds: int = 64) -> DataFrame:
-    """(conv_id, head, path): for each run that branches off, by its first turn, the branchings on the way to it.
-
-    A branching is (minus the turn it replies to, its first turn), so that paths order runs depth first. heads: conv_id,
-    head, attach; turns: conv_id, turn, head (of its run, null for the first run of a conversation)."""
-    owner = turns.select("conv_id", F.col("turn").alias("attach"), F.col("head").alias("up"))
-    state = staged(heads.join(owner, ["conv_id", "attach"]).select("conv_id", "head", "up", F.array(-F.col("attach"), F.col("head")).alias("path")), "branches")
+def siblings(heads: DataFrame) -> DataFrame:
+    """heads with `older` (whether none of the runs at the same one comes before) and `next` (the one that comes after).
+
+    Runs that branch off one come by the turn they reply to, the latest first, then by their own. They are sorted all
+    together, so that one with very many is dealt over tasks, and neighbours across tasks are found by the first of each."""
+    order = ["conv_id", "up", F.desc("attach"), "head"]
+    dealt = staged(heads.orderBy(*order).withColumn("part", F.spark_partition_id()), "siblings")
+    here = W.partitionBy("conv_id", "up", "part").orderBy(F.desc("attach"), "head")
+    rows = dealt.withColumn("after", F.lead("head").over(here)).withColumn("nth", F.row_number().over(here))
+    firsts = rows.where("nth = 1").select("conv_id", "up", "part", F.col("head").alias("first"))
+    parts = W.partitionBy("conv_id", "up").orderBy("part")
+    firsts = firsts.select(F.col("conv_id").alias("_c"), F.col("up").alias("_u"), F.col("part").alias("_p"), F.lead("first").over(parts).alias("across"), F.row_number().over(parts).alias("_nth"))
+    joined = rows.join(firsts, (F.col("conv_id") == F.col("_c")) & F.col("up").eqNullSafe(F.col("_u")) & (F.col("part") == F.col("_p")))
+    return joined.select("conv_id", "head", "up", ((F.col("nth") == 1) & (F.col("_nth") == 1)).alias("older"), F.coalesce("after", "across").alias("next"))
+
+
+def run_bases(sizes: DataFrame, heads: DataFrame, rounds: int = 64) -> DataFrame:
+    """sizes (conv_id, head, n, ...) of conversations that branch, with `base`, the messages of its runs that come before.
+
+    heads: conv_id, head, up, each run that branches off the one whose head is up (null for a conversation's first)."""
+    known = sizes.join(heads.select("conv_id").distinct(), "conv_id", "left_semi")
+    step = lambda leaves, head: F.struct(F.lit(leaves).alias("leaves"), head.isNotNull().alias("branch"), F.coalesce(head, F.lit(0)).cast("bigint").alias("head"))
+    beside = siblings(heads)
+    first = beside.where("older").select(F.col("conv_id").alias("_c"), F.col("up").alias("_u"), F.col("head").alias("child"))
+    entering = known.join(first, (F.col("conv_id") == F.col("_c")) & F.col("head").eqNullSafe(F.col("_u")), "left")
+    into = F.when(F.col("child").isNotNull(), step(False, F.col("child"))).otherwise(step(True, F.col("head")))
+    entering = entering.select("conv_id", step(False, F.col("head")).alias("step"), into.alias("to"), "n")
+    after = F.when(F.col("next").isNotNull(), step(False, F.col("next"))).otherwise(step(True, F.col("up")))
+    leaving = beside.select("conv_id", step(True, F.col("head")).alias("step"), after.alias("to"), F.lit(0).cast("bigint").alias("n"))
+    ends = known.where("head is null").select("conv_id", step(True, F.col("head")).alias("step"), F.lit(None).cast(entering.schema["to"].dataType).alias("to"), F.lit(0).cast("bigint").alias("n"))
+    tour = staged(entering.unionByName(leaving).unionByName(ends), "tour")
     for _ in range(rounds):
-        if state.where("up is not null").isEmpty():
-            return state.select("conv_id", "head", "path")
-        above = state.select("conv_id", F.col("head").alias("up"), F.col("up").alias("_next"), F.col("path").alias("_first"))
-        joined = state.join(above, ["conv_id", "up"], "left")
-        state = staged(joined.select("conv_id", "head", F.col("_next").alias("up"), F.concat(F.coalesce("_first", F.array().cast("array<bigint>")), "path").alias("path")), "branches")
-    raise RuntimeError(f"branches didn't settle within {rounds} rounds")
-
-
-def run_bases(runs: DataFrame) -> DataFrame:
-    """runs (conv_id, head, path, n, ...) with `base`, the messages of the conversation's runs before it in the order of paths."""
-    dealt = staged(runs.orderBy("conv_id", "path").withColumn("part", F.spark_partition_id()), "runs")
-    sums = dealt.groupBy("conv_id", "part").agg(F.sum("n").alias("sum"))
-    earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("conv_id", "part", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("carried"))
-    here = W.partitionBy("conv_id", "part").orderBy("path").rowsBetween(W.unboundedPreceding, -1)
-    return dealt.withColumn("here", F.coalesce(F.sum("n").over(here), F.lit(0))).join(sums, ["conv_id", "part"]).withColumn("base", F.col("carried") + F.col("here")).drop("part", "here", "carried")
+        if tour.where("to is not null").isEmpty():
+            break
+        there = tour.select("conv_id", F.col("step").alias("to"), F.col("to").alias("_next"), F.col("n").alias("_n"))
+        tour = staged(tour.join(there, ["conv_id", "to"], "left").select("conv_id", "step", F.col("_next").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), "tour")
+    rest = tour.where("not step.leaves").select("conv_id", F.when(F.col("step.branch"), F.col("step.head")).alias("_h"), F.col("n").alias("rest"))
+    whole = rest.where("_h is null").select("conv_id", F.col("rest").alias("whole"))
+    bases = rest.join(whole, "conv_id").select(F.col("conv_id").alias("_c"), "_h", (F.col("whole") - F.col("rest")).alias("base"))
+    return known.join(bases, (F.col("conv_id") == F.col("_c")) & F.col("head").eqNullSafe(F.col("_h"))).drop("_c", "_h")
 
 
 def linked_conversations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, parent_turn, by_quote, quote_depth, position (in the order of replies), content."""
     rows = parsed(messages.withColumn("turn", F.col("turn").cast("bigint")))
-    links = quote_links(rows).withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
     ordered = in_order(rows.drop("lines"))
-    joined = ordered.join(links, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").drop("_c", "_t")
-    branches = F.col("quoted_turn").isNotNull() & ~F.col("quoted_turn").eqNullSafe(F.col("before"))
-    headed = staged(running_max(joined, ["conv_id"], F.when(branches, F.col("turn")), "head"), "messages")
-    known = headed.where("conv_id is not null and turn is not null")
-    heads = known.where(branches).select("conv_id", F.col("turn").alias("head"), F.col("quoted_turn").alias("attach")).distinct()
-    # several rows can have one turn
-    paths = branch_paths(heads, known.select("conv_id", "turn", "head").distinct())
+    quoting = quoted_passages(rows)
+    if quoting.isEmpty():  # nobody quotes anything, so that all reply to the one before
+        headed, heads = ordered.withColumn("quoted_turn", F.lit(None).cast("bigint")), None
+    else:
+        links = quote_links(rows, quoting).withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
+        joined = ordered.join(links, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").drop("_c", "_t")
+        branches = F.col("quoted_turn").isNotNull() & ~F.col("quoted_turn").eqNullSafe(F.col("before"))
+        headed = staged(running_max(joined, ["conv_id"], F.when(branches, F.col("turn")), "head"), "messages")
+        known = headed.where("conv_id is not null and turn is not null")
+        heads = known.where(branches).select("conv_id", F.col("turn").alias("head"), F.col("quoted_turn").alias("attach")).distinct()
+        # several rows can have one turn
+        owner = known.select("conv_id", F.col("turn").alias("attach"), F.col("head").alias("up")).distinct()
+        heads = staged(heads.join(owner, ["conv_id", "attach"]), "heads")
+    if heads is None or heads.isEmpty():
+        position = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col("place"))
+        return _result(headed, position)
     sizes = known.groupBy("conv_id", "head").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.min("block").alias("low"), F.max("block").alias("high"))
-    no_path = F.array().cast("array<bigint>")
-    runs = run_bases(sizes.join(paths, ["conv_id", "head"], "left").withColumn("path", F.coalesce("path", no_path)))
+    runs = run_bases(sizes, heads)
     # a run may hold most rows: it is met block by block
     spread = runs.select(F.col("conv_id").alias("_c"), F.col("head").alias("_h"), (F.col("base") - F.col("first") + 1).alias("shift"), F.explode(F.sequence("low", "high")).alias("_b"))
     placed = headed.join(spread, (F.col("conv_id") == F.col("_c")) & F.col("head").eqNullSafe(F.col("_h")) & (F.col("block") == F.col("_b")), "left")
+    return _result(placed, F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col("place") + F.coalesce("shift", F.lit(0))))
+
+
+def _result(placed: DataFrame, position) -> DataFrame:
     return placed.select(
         F.col("conv_id"), F.col("turn"), "role", F.coalesce("quoted_turn", "before").alias("parent_turn"), F.col("quoted_turn").isNotNull().alias("by_quote"),
-        F.col("depth").cast("long").alias("quote_depth"), (F.col("place") + F.col("shift")).cast("long").alias("position"), "content")
+        F.col("depth").cast("long").alias("quote_depth"), position.cast("long").alias("position"), "content")
 
 
 def rendered(linked: DataFrame) -> DataFrame:

@@ -312,3 +312,39 @@ def test_windows_of_equal_hashes_are_told_apart_by_their_words(bits):
     for k in at.tolist():
         least[tuple(words[k : k + 3])] = min(int(doc[k]), least.get(tuple(words[k : k + 3]), 99))
     assert found.tolist() == [int(doc[k]) > least[tuple(words[k : k + 3])] for k in at.tolist()]
+
+
+def replies_in_order(parents):
+    """Depth first: turn k replies to parents[k] (None for the first); a run goes on before what branches off it, the latest branching first."""
+    runs, run_of = {None: [0]}, {0: None}
+    for k in range(1, len(parents)):
+        head = run_of[k - 1] if parents[k] == k - 1 else k
+        run_of[k] = head
+        runs.setdefault(head, []).append(k)
+    below = {}
+    for head in runs:
+        if head is not None:
+            below.setdefault(run_of[parents[head]], []).append((-parents[head], head))
+    out, todo = [], [None]
+    while todo:
+        head = todo.pop()
+        out += runs[head]
+        todo += [h for _, h in sorted(below.get(head, []), reverse=True)]
+    return {turn: k + 1 for k, turn in enumerate(out)}
+
+
+@pytest.mark.parametrize("shape", ["two threads", "star", "random"])
+def test_chat_orders_deep_and_wide_branching_in_rows_of_one_size(spark, monkeypatch, shape):
+    from graintide.llm import chat_format
+
+    rng = random.Random(2)
+    n = 3000 if shape != "random" else 400
+    parents = [None] + [{"two threads": max(0, k - 2), "star": 0, "random": rng.randrange(k)}[shape] for k in range(1, n)]
+    rows = [(1, k, "user", (f"> text {parents[k]} here\n" if parents[k] is not None else "") + f"text {k} here") for k in range(n)]
+    widest = []
+    stage = chat_format.staged
+    monkeypatch.setattr(chat_format, "staged", lambda df, label: widest.append([f.dataType.typeName() for f in df.schema.fields]) or stage(df, label))
+    got = {r["turn"]: (r["parent_turn"], r["position"]) for r in chat_format.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    place = replies_in_order(parents)
+    assert got == {k: (parents[k], place[k]) for k in range(n)}
+    assert not any("array" in kinds for kinds in widest)
