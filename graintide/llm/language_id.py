@@ -1,8 +1,10 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy.
 
 Only labelled rows of the training side are learned from, at most `rows_per_language` of each language, chosen by a
-hash of their id and text; of the model only numbers for each hashed subword reach the workers. Confidence is calibrated
-by a temperature on sampled rows that weren't trained on and on pieces of them. A text is rejected when its log-odds are
+hash of their id and text. They are cut where they are: of each language at most `pieces` runs of CHUNK words travel to
+the driver to be learned, and of `held_texts` rows kept aside runs of every length, by which confidence is calibrated;
+no whole text does. Of the model, which has a row of numbers for each language, only those for each hashed subword
+reach the workers. Confidence is calibrated by a temperature. A text is rejected when its log-odds are
 below those of all but a share `reject` of the calibration texts of about its length, so that short texts, which score
 lower, stay. Where these are beyond a score of `surest`, half of them is enough, but no less than that score.
 
@@ -22,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graintide.llm.wordbytes import mix
-from graintide.session import small_batches
+from graintide.session import small_batches, staged
 
 WORD, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
@@ -35,6 +38,8 @@ LONGEST = 64
 MEMORY = 300_000
 #: Classes of length for rejection, by powers of two: one word, two or three, four to seven and so on.
 LENGTHS = 10
+#: Runs of each length that a text kept aside gives.
+HELD_RUNS = 8
 UNKNOWN = "und"
 
 
@@ -95,10 +100,9 @@ class LanguageModel:
         self.table[at : at + len(new)] = rows
         self.memory.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool], list[float]]:
-        """Of each text its label, the probability of it, whether that is too low for a text of its length, and its log-odds."""
-        split = [words_of(t) for t in texts]
-        names, scores, rejected, odds = [], [], [], []
+    def logits_of(self, split: list[list[str]]) -> list[np.ndarray | None]:
+        """Of each text, given as its words, a number for each label at temperature 1; None where it has no words or the model no labels."""
+        out: list[np.ndarray | None] = []
         for k in range(0, len(split), 64):
             part = split[k : k + 64]
             distinct = set().union(*part)
@@ -109,33 +113,68 @@ class LanguageModel:
                 self._learn(new)
             for words in part:
                 if not words or not self.labels:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    rejected.append(True)
-                    odds.append(-math.inf)
+                    out.append(None)
                     continue
-                s = self.table[np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                z = (s[:-1] / s[-1] + self.bias) / self.temperature
-                best = int(z.argmax())
-                rest = np.delete(z, best) - z[best]
-                odds.append(-float(np.logaddexp.reduce(rest)) if len(rest) else math.inf)
-                names.append(self.labels[best])
-                scores.append(1 / (1 + math.exp(-odds[-1])))
-                rejected.append(odds[-1] < self.thresholds[length_class(len(words))])
-        return names, scores, rejected, odds
-
-
-def train(rows: list[tuple[str, str]], epochs: int = 4, chunk: int = 20, most: int = 12_000, rate: float = 8.0, reject: float = 0.001, surest: float = 0.9, seed: int = 7) -> LanguageModel:
-    """A model from (text, label) rows in a fixed order; every fifth row is kept for calibration."""
-    labels = sorted({y for _, y in rows})
+                sums = self.table[np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                out.append(sums[:-1] / sums[-1] + self.bias)
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Of each text its label, the probability of it, and whether that is too low for a text of its length."""
+        split = [words_of(t) for t in texts]
+        names, scores, rejected = [], [], []
+        for words, z in zip(split, self.logits_of(split), strict=True):
+            odds = -math.inf if z is None else float(log_odds(z[None] / self.temperature)[0])
+            names.append(UNKNOWN if z is None else self.labels[int(z.argmax())])
+            scores.append(1 / (1 + math.exp(-odds)) if z is not None else 0.0)
+            rejected.append(z is None or odds < self.thresholds[length_class(len(words))])
+        return names, scores, rejected
+
+
+def log_odds(z: np.ndarray) -> np.ndarray:
+    """Of each row the log-odds of its greatest number under a softmax."""
+    best = z.argmax(axis=1)
+    rest = z - z[np.arange(len(z)), best][:, None]
+    rest[np.arange(len(z)), best] = -math.inf
+    return -np.logaddexp.reduce(rest, axis=1) if z.shape[1] > 1 else np.full(len(z), math.inf)
+
+
+#: Words of a run that is learned.
+CHUNK = 20
+
+
+def text_runs(text: str | None) -> list[tuple[bool, int, int, str]]:
+    """(whether it is to calibrate by, first word, words, text) of the runs of a text: all of CHUNK words, and some of each power of two."""
+    words = words_of(text)
+    runs = [(False, k, CHUNK) for k in range(0, len(words), CHUNK)]
+    for size in (1 << k for k in range(LENGTHS)):
+        some = min(HELD_RUNS, len(words) // size)  # dealt over the text
+        runs += [(True, k * (len(words) - size) // max(1, some - 1), size) for k in range(some)]
+    return [(held, k, size, " ".join(words[k : k + size])) for held, k, size in runs]
+
+
+def train(rows: list[tuple[str, str]], **options) -> LanguageModel:
+    """A model from few (text, label) rows in a fixed order; every fifth is kept for calibration."""
+    aside = [len(rows) >= 50 and not k % 5 for k in range(len(rows))]
+    cut = lambda text, y, held: [(run, y) for of, _, _, run in text_runs(text) if of == held]
+    learn = [r for (t, y), a in zip(rows, aside, strict=True) if not a for r in cut(t, y, False)]
+    return train_runs(learn, [r for (t, y), a in zip(rows, aside, strict=True) if a or not any(aside) for r in cut(t, y, True)], **options)
+
+
+def train_runs(learn: list[tuple[str, str]], held: list[tuple[str, str]], epochs: int = 4, rate: float = 8.0, reject: float = 0.001, surest: float = 0.9, seed: int = 7) -> LanguageModel:
+    """A model from (text, label) runs in a fixed order, calibrated by the runs kept aside."""
+    labels = sorted({y for _, y in learn})
     if not labels:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    learn = [r for k, r in enumerate(rows) if k % 5] if len(rows) >= 50 else rows
-    held = [r for k, r in enumerate(rows) if not k % 5] if len(rows) >= 50 else rows
-    pieces = [(words[k : k + chunk], labels.index(y)) for text, y in learn for words in [words_of(text)] for k in range(0, len(words), chunk)]
+    number = {y: k for k, y in enumerate(labels)}
     rng = np.random.default_rng(seed)
-    pieces = [pieces[k] for k in rng.permutation(len(pieces))[:most]]
-    made = [(subwords(words)[0], y) for words, y in pieces]
+    split = [(words, number[y]) for text, y in learn if (words := words_of(text))]
+    made: list[tuple[np.ndarray, int]] = []
+    for k in range(0, len(split), 256):
+        part = split[k : k + 256]
+        flat, counts = subwords([w for words, _ in part for w in words])
+        ends = np.cumsum(counts)[np.cumsum([len(words) for words, _ in part]) - 1]
+        made += [(f, y) for f, (_, y) in zip(np.split(flat, ends[:-1]), part, strict=True)]
     embed = (rng.random((BUCKETS, DIM)) - 0.5) / DIM
     weight, bias = np.zeros((DIM, len(labels))), np.zeros(len(labels))
     steps = max(1, epochs * -(-len(made) // 64))
@@ -156,51 +195,39 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, chunk: int = 20, most: i
             back = (p @ weight.T) / n[:, None]
             weight -= lr * mean.T @ p
             bias -= lr * p.sum(axis=0)
-            spread = np.repeat(back, n, axis=0)
-            used, at = np.unique(flat, return_inverse=True)
-            embed[used] -= lr * np.stack([np.bincount(at, spread[:, d], len(used)) for d in range(DIM)], axis=1) * 8
+            by_bucket = np.argsort(flat)
+            used, firsts = np.unique(flat[by_bucket], return_index=True)
+            embed[used] -= lr * np.add.reduceat(np.repeat(back, n, axis=0)[by_bucket], firsts, axis=0) * 8
             step += 1
     model = LanguageModel(labels, (embed @ weight).astype(np.float32), bias)
     return calibrate(model, held, reject, surest)
 
 
-def cut_pieces(held: list[tuple[str, str]], each: int = 8) -> list[tuple[str, str]]:
-    """The held texts and, of each power of two, their first `each` runs of so many words, as short texts would be."""
-    split = [(words_of(t), y) for t, y in held]
-    pieces = [(words, y) for words, y in split if words]
-    for words, y in split:
-        for size in (1 << k for k in range(LENGTHS) if 1 << k < len(words)):
-            pieces += [(words[at : at + size], y) for at in range(0, min(each * size, len(words) - size + 1), size)]
-    return [(" ".join(words), y) for words, y in pieces]
-
-
 def length_class(words: int) -> int:
     return min(words.bit_length(), LENGTHS) - 1
 
 
 def calibrate(model: LanguageModel, held: list[tuple[str, str]], reject: float, surest: float, fewest: int = 100) -> LanguageModel:
-    """The temperature of least loss on the held texts and their pieces, and for each length the log-odds that only `reject` of them fall below.
+    """The temperature of least loss on the held runs, and for each length the log-odds that only `reject` of them fall below.
 
-    A length with fewer than `fewest` pieces has the threshold of the next shorter one. Beyond `surest` the threshold is
+    A length with fewer than `fewest` runs has the threshold of the next shorter one. Beyond `surest` the threshold is
     half of the log-odds: where languages are far apart those of all held texts are high, and those of others still low.
     """
-    pieces = cut_pieces(held)
-    if not pieces:
+    number = {y: k for k, y in enumerate(model.labels)}
+    split = [(words, number[y]) for text, y in held if y in number and (words := words_of(text))]
+    if not split or len(model.labels) == 1:
         return model
-    texts = [t for t, _ in pieces]
+    z = np.array(model.logits_of([words for words, _ in split]))
+    truth = np.array([y for _, y in split])
 
     def loss(temperature: float) -> float:
-        model.temperature = temperature
-        names, scores, *_ = model.predict(texts)
-        rest = max(1, len(model.labels) - 1)
-        p = [s if n == y else (1 - s) / rest for n, s, (_, y) in zip(names, scores, pieces, strict=True)]
-        return -float(np.log(np.maximum(p, 1e-9)).mean())
+        odds, right = log_odds(z / temperature), z.argmax(axis=1) == truth
+        p = 1 / (1 + np.exp(-odds))
+        return -float(np.log(np.maximum(np.where(right, p, (1 - p) / (len(model.labels) - 1)), 1e-9)).mean())
 
     model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-    if len(model.labels) == 1:
-        return model
-    odds, sure = np.array(model.predict(texts)[3]), math.log(surest / (1 - surest))
-    of = np.array([length_class(len(words_of(t))) for t in texts])
+    odds, sure = log_odds(z / model.temperature), math.log(surest / (1 - surest))
+    of = np.array([length_class(len(words)) for words, _ in split])
     model.thresholds, last = [], -math.inf
     for k in range(LENGTHS):
         found = odds[of == k]
@@ -216,30 +243,42 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 400, most_languages: int = 1000) -> list[tuple[str, str]]:
-    """At most rows_per_language labelled rows of each of the commonest languages, whole texts, in the order of a hash of id and text; repeated rows count once."""
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 400) -> DataFrame:
+    """(place, label, text, nth of its language): at most rows_per_language labelled rows of each language by a hash of id and text; repeated rows count once."""
     usable = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(11)), F.lit(1 << 30))
-    labelled = usable.select(place.alias("place"), F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_languages)
-    limits = {r["label"]: int(min(1.0, rows_per_language / r["n"]) * (1 << 30)) for r in counts.collect()}
-    if not limits:
-        return []
-    share = F.map_from_arrays(F.array(*map(F.lit, limits)), F.array(*map(F.lit, limits.values())))
-    # copies of one row share its place, so that they are drawn together
-    drawn = labelled.where(F.col("place") < F.coalesce(F.try_element_at(share, F.col("label")), F.lit(0))).distinct()
-    chosen = drawn.orderBy("place", "label", "text").limit(2 * rows_per_language * len(limits)).collect()
-    taken: dict[str, int] = {}
-    rows = []
-    for r in sorted(chosen, key=lambda r: (r["place"], r["label"], r["text"])):
-        taken[r["label"]] = taken.get(r["label"], 0) + 1
-        if taken[r["label"]] <= rows_per_language:
-            rows.append((r["text"], r["label"]))
-    return rows
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 400) -> LanguageModel:
-    return train(training_rows(docs, id_col, text_col, label_col, rows_per_language))
+    labelled = usable.select(place.alias("place"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    # few of a large language pass the limit of its place, before any text moves; there is a row here for each language
+    limits = labelled.groupBy("label").agg((F.least(F.lit(1.0), 1.5 * rows_per_language / F.count("*")) * (1 << 30)).alias("limit"))
+    drawn = labelled.join(limits, "label").where(F.col("place") < F.col("limit")).select("place", "label", "text").distinct()
+    return drawn.withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("place", "text"))).where(F.col("nth") <= rows_per_language)
+
+
+def training_runs(drawn: DataFrame, pieces: int = 3000, held_texts: int = 400) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(runs to learn, runs to calibrate by), of (text, label); every fifth row of a language is kept aside, but where there are few all serve both ways."""
+    rows = drawn.withColumn("aside", F.col("nth") % 5 == 0)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            for place, label, text, aside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                made += [(label, place, held, aside, k, size, run) for held, k, size, run in text_runs(text)]
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=["label", "place", "held", "aside", "at", "size", "run"])
+
+    runs = staged(rows.select("place", "label", "text", "aside").mapInArrow(cut, "label string, place long, held boolean, aside boolean, at long, size long, run string"), "runs")
+    enough = runs.where("not held").select("place", "label").distinct().count() >= 50
+    order = [F.xxhash64("place", "at", "size"), F.col("place"), F.col("at"), F.col("size"), F.col("run")]
+    learn = runs.where("not held and not aside" if enough else "not held").withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy(*order))).where(F.col("nth") <= pieces)
+    texts = runs.where("held and aside" if enough else "held").select("place").distinct().orderBy("place").limit(held_texts)
+    held = runs.where("held and aside" if enough else "held").join(F.broadcast(texts), "place")
+    fetch = lambda df: [(r["run"], r["label"]) for r in df.orderBy(*order, "label").select("run", "label").collect()]
+    return fetch(learn), fetch(held)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = 400, pieces: int = 3000, held_texts: int = 400) -> LanguageModel:
+    small_batches(docs.sparkSession)
+    return train_runs(*training_runs(training_rows(docs, id_col, text_col, label_col, rows_per_language), pieces, held_texts))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -251,7 +290,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, bad, _ = model.predict(batch.column(at).to_pylist())
+            pred, score, bad = model.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bad, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
     results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]

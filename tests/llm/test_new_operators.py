@@ -348,3 +348,38 @@ def test_chat_orders_deep_and_wide_branching_in_rows_of_one_size(spark, monkeypa
     place = replies_in_order(parents)
     assert got == {k: (parents[k], place[k]) for k in range(n)}
     assert not any("array" in kinds for kinds in widest)
+
+
+def test_language_model_of_many_languages_and_long_texts(spark, monkeypatch):
+    from graintide.llm import language_id
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda y: letters[y // 26 % 26] + letters[y % 26] + letters[y // 676] + rng.choice("aeiou")
+    rows = [(10 * y + k, " ".join(word(y) for _ in range(12)), f"l{y}") for y in range(1100) for k in range(2)] + [(99_000 + k, " ".join(word(3) for _ in range(40_000)), "l3") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    seen = []
+    trained = language_id.train_runs
+    monkeypatch.setattr(language_id, "train_runs", lambda learn, held, **o: seen.append((len({y for _, y in learn}), max(len(t) for t, _ in learn + held), len(held))) or trained(learn, held, epochs=1, **o))
+    model = language_id.fit(docs)
+    learnt = {y for y in range(1100) if any(zlib.crc32(str(10 * y + k).encode()) % 4 != 2 for k in range(2))}
+    assert seen[0][0] == len(learnt | {3}) > 1000 and seen[0][1] <= 512 * 5 and seen[0][2] <= 400 * 80 and len(model.labels) == seen[0][0]
+
+
+def test_op3_equals_the_model_on_each_text(spark, tmp_path):
+    from graintide.llm import language_id
+
+    rng = random.Random(5)
+    rows = [(k, None if k % 40 == 7 else " ".join("".join(rng.choice("abcd" if k % 2 else "wxyz") for _ in range(5)) for _ in range(rng.randint(1, 80))), "aa" if k % 2 else "zz") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    model = language_id.fit(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in op_queries.op3_language_id(spark, str(tmp_path)).collect()}
+    for k, text, _ in rows:
+        words = (text or "").split()
+        if not words:
+            assert got[k] == ("und", 0.0, True)
+            continue
+        grams = [g for w in words for g in language_id.subwords([w])[0].tolist()]
+        z = (model.logits[grams].astype(float).mean(axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[k][0] == model.labels[int(z.argmax())] and abs(got[k][1] - p.max()) < 1e-9
