@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graintide.functions import text as T
+from graintide.operators import sample
+from graintide.session import staged
 
 #: Marks of a rendered conversation and the label of what isn't trained.
 BEGIN, END, ROLES = "<|bos|>", "<|eos|>", {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>", "tool": ""}
@@ -106,13 +107,9 @@ def collated(examples: DataFrame, by: str, pad: int) -> DataFrame:
         *(c for c in examples.columns if c not in ("ids", "mask")), fill(F.col("ids"), pad).alias("input_ids"), fill(attention, 0).alias("attention_mask"), fill(labels, UNTRAINED).alias("labels"))
 
 
-def by_hash(key: str, seed: str) -> list[Column]:
-    return [F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + seed))), F.col(key)]
-
-
 def mixture(sources: dict[str, tuple[DataFrame, int]], key: str, seed: str = "mix") -> DataFrame:
     """Of each source its cap of rows, in the order of a hash, with the source's name."""
-    parts = [df.withColumn("source", F.lit(name)).orderBy(*by_hash(key, seed)).limit(cap) for name, (df, cap) in sources.items()]
+    parts = [sample.first_by_hash(df.withColumn("source", F.lit(name)), key, cap, seed) for name, (df, cap) in sources.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -126,25 +123,25 @@ def repeated(df: DataFrame, times: Column) -> DataFrame:
 
 def cap_by_source(df: DataFrame, caps: dict[str, int], key: str, seed: str = "cap") -> DataFrame:
     """At most its cap of each source's rows by a hash; a source that isn't listed has none."""
-    cap = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in caps.items() for x in kv)), F.col("source")), F.lit(0))
-    listed = df.where(F.col("source").isin(*caps)).withColumn("_cap", cap)
-    return listed.withColumn("_r", F.row_number().over(W.partitionBy("source").orderBy(*by_hash(key, seed)))).where(F.col("_r") <= F.col("_cap")).drop("_r", "_cap")
+    return sample.first_by_hash(df, key, caps, seed, "source")
 
 
 def quota_cascade(df: DataFrame, key: str, steps: list[tuple[str, Column, int]], schema: str, seed: str = "cascade") -> DataFrame:
     """Rows with `kind`: in the order of a hash each takes the first step that it is able for and that has room left.
 
     Only the first row of a schema takes a step after the first. A step's rows are those able for it that no step
-    before took, so that the cascade is one ranked pass for each step."""
-    order = by_hash(key, seed)
+    before took, so that the cascade is one selection for each step; its choice of keys is written for the next one."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + seed)))
     rows, done = df, None
     for n, (kind, able, quota) in enumerate(steps):
         if n == 1:
-            rows = rows.where(F.col(schema).isNotNull()).withColumn("_first", F.row_number().over(W.partitionBy(schema).orderBy(*order))).where("_first = 1").drop("_first")
-        chosen = rows.where(able).orderBy(*order).limit(quota)
-        taken = chosen.withColumn("kind", F.lit(kind))
+            firsts = rows.where(F.col(schema).isNotNull()).groupBy(F.col(schema).alias("_s")).agg(F.min(F.struct(digest.alias("h"), F.col(key).alias("k"))).alias("_first"))
+            rows = rows.join(firsts, (F.col(schema) == F.col("_s")) & (F.col(key) == F.col("_first.k")), "left_semi")
+        taken = sample.first_by_hash(rows.where(able), key, quota, seed).withColumn("kind", F.lit(kind))
         done = taken if done is None else done.unionByName(taken)
-        rows = rows.join(chosen.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+        if n + 1 < len(steps):
+            chosen = staged(taken.select(F.col(key).alias("_k")), "chosen")
+            rows = rows.join(chosen, F.col(key) == F.col("_k"), "left_anti")
     return done
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,15 +13,30 @@ from pyspark.sql import functions as F
 from graintide.functions import text as T
 from graintide.session import shuffle_partitions
 
-#: Spans of ids for each shuffle partition.
-SPANS = 8
+#: Spans of ids for each shuffle partition, and ids that are looked at for each span to find where spans end.
+SPANS, LOOKED_AT = 8, 16
 
 
 def spans(df: DataFrame, order: str) -> Column:
-    """The number of the span of ids that a row is in: equal steps from the smallest to the largest, some for each shuffle partition."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    step = max(1.0, ((high or 0) - (low or 0) + 1) / (SPANS * shuffle_partitions(df.sparkSession)))
-    return F.floor(F.col(order) / F.lit(step))
+    """The number of the span of ids that a row is in, ids being of any type that has an order; null for a null id.
+
+    Spans end at quantiles of the ids whose hashes are smallest, so that ids far from the rest make no empty spans."""
+    wanted = SPANS * shuffle_partitions(df.sparkSession)
+    ids = df.select(order).where(F.col(order).isNotNull())
+    drawn = sorted({r[0] for r in ids.orderBy(F.xxhash64(order)).limit(LOOKED_AT * wanted).collect()})
+    ends = drawn[LOOKED_AT // 2 :: max(1, len(drawn) // wanted)]
+    if not ends:
+        return F.when(F.col(order).isNotNull(), F.lit(0))
+
+    @F.pandas_udf("long")
+    def number(column: pd.Series) -> pd.Series:
+        filled = column.notna().to_numpy()
+        values = column[filled].tolist()
+        numeric = bool(values) and isinstance(values[0], (int, float))
+        found = iter(np.searchsorted(ends, values, side="right").tolist() if numeric else [bisect_right(ends, v) for v in values])
+        return pd.Series([next(found) if f else None for f in filled.tolist()], dtype="Int64")
+
+    return number(F.col(order))
 
 
 def running(df: DataFrame, size: Column, by: str, order: str = "doc_id") -> DataFrame:
@@ -49,6 +68,43 @@ def hash_split(df: DataFrame, key: Column, share: float, seed: str = "val") -> D
     return df.withColumn("is_val", T.bucket_of(key, seed) < int(share * 10_000))
 
 
+#: Bins of a hash; only the one in which a limit falls is put in order.
+HASH_BINS = 1 << 16
+
+
+def first_by_hash(df: DataFrame, key: str, limits: dict | int, seed: str, by: str | None = None) -> DataFrame:
+    """The first rows by a hash of the key: so many of all (a number), or of each group of `by` named in limits; ties by key.
+
+    The rows of each bin of hashes are counted, which gives each group the bin in which its limit falls. Rows of earlier
+    bins are taken where they are; only that bin's are numbered, so that no task sorts or holds what is taken."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + seed)))
+    group = F.lit("") if by is None else F.col(by)
+    rows = df.withColumn("_bin", F.coalesce(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), F.lit(-1))).withColumn("_group", group)
+    caps = {"": limits} if by is None else limits
+    if not caps:
+        return df.limit(0)
+    listed = rows if by is None else rows.where(F.col("_group").isin(*caps))
+    counts: dict = {}
+    for r in listed.groupBy("_group", "_bin").agg(F.count("*").alias("n")).collect():  # at most HASH_BINS rows for each group that is named
+        counts.setdefault(r["_group"], []).append((r["_bin"], r["n"]))
+    whole, part = F.lit(False), F.lit(False)
+    room = F.lit(None).cast("long")
+    for name, cap in caps.items():
+        before, cut = 0, HASH_BINS
+        for bin_, n in sorted(counts.get(name, [])):
+            if before + n > cap:
+                cut = bin_
+                break
+            before += n
+        mine = F.col("_group") == F.lit(name)
+        whole |= mine & (F.col("_bin") < cut)
+        part |= mine & (F.col("_bin") == cut)
+        room = F.when(mine, F.lit(cap - before)).otherwise(room)
+    order = [F.asc_nulls_first(digest), F.asc_nulls_first(key)]
+    edge = listed.where(part).withColumn("_r", F.row_number().over(W.partitionBy("_group").orderBy(*order))).where(F.col("_r") <= room).drop("_r")
+    return listed.where(whole).unionByName(edge).drop("_bin", "_group")
+
+
 def cap_per_group(df: DataFrame, by: list[str], cap: Column | int, seed: str = "cap", key: str = "doc_id") -> DataFrame:
     """At most cap rows of each group, in the order of a hash of the key.
 

@@ -79,9 +79,11 @@ CHAIN = "WITH b AS (SELECT doc_id, source, text, {body} AS body FROM documents),
 def redacted(x: str) -> str:
     """The SQL of Q.redact."""
     mailed = f"regexp_replace({x}, '{Q.EMAIL}', '{Q.EMAIL_TOKEN}', 'g')"
-    marked = f"regexp_replace({mailed}, '\\b{Q.IPV4}\\b', '{Q.OPEN}\\0{Q.CLOSE}', 'g')"
-    private = f"regexp_replace({marked}, '{Q.OPEN}((?:{Q.NOT_PUBLIC})[^{Q.CLOSE}]*){Q.CLOSE}', '\\1', 'g')"
-    return f"regexp_replace({private}, '{Q.OPEN}[^{Q.CLOSE}]*{Q.CLOSE}', '{Q.IP_TOKEN}', 'g')"
+    address = f"'\\b{Q.IPV4}\\b'"
+    # between the addresses the text stays, and each is replaced unless it begins like one that isn't public
+    between, found = f"regexp_split_to_array({mailed}, {address})", f"regexp_extract_all({mailed}, {address})"
+    judged = f"list_append(list_transform({found}, lambda a: CASE WHEN regexp_matches(a, '^(?:{Q.NOT_PUBLIC})') THEN a ELSE '{Q.IP_TOKEN}' END), '')"
+    return f"array_to_string(list_transform(list_zip({between}, {judged}), lambda z: z[1] || z[2]), '')"
 
 
 @query(CHAIN.format(body=BODY) + f" SELECT source, reason, count(*) AS n, CAST(sum(length(CASE WHEN reason = '' THEN {redacted('body')} ELSE body END)) AS BIGINT) AS chars FROM j GROUP BY ALL")

@@ -357,9 +357,9 @@ def steady_mean(spark, sf_dir):
     return measure.steady_mean(table(spark, sf_dir, "events"), "value", 100, "event_id")
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS flat_md5, md5(lang || chr(10) || source || chr(10) || text) AS record_md5 FROM documents WHERE text = trim(text, chr(10) || chr(13) || ' ')")
+@query("SELECT doc_id, md5(trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' ')) AS flat_md5, md5(concat_ws(chr(10), lang, source, text)) AS record_md5 FROM documents")
 def flattened_records(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text") == F.regexp_replace("text", r"^[\r\n ]+|[\r\n ]+$", ""))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(measure.flat(F.col("text"))).alias("flat_md5"), F.md5(measure.record_text(F.col("lang"), F.array("source", F.lit(None).cast("string"), "text"))).alias("record_md5"))
 
 

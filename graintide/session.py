@@ -11,6 +11,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_SCRATCH: list[str] = []
+#: What is staged goes to a folder of this process, so that it can be deleted at once.
+_RUN = uuid.uuid4().hex
 #: Paths staged for the result that is being made, if any.
 _PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
@@ -43,7 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/graintide/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/graintide/run-{_RUN}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this process has staged; results that are still read need it, so call it once they are written."""
+    discard(spark, f"{shared_dir(spark)}/graintide/run-{_RUN}")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

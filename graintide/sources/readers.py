@@ -161,7 +161,16 @@ def fetch_plan(rows: DataFrame, worker: int, workers: int, limit: int | None = N
     if not 0 <= worker < workers:
         raise ValueError("worker must be one of the workers")
     mine = rows.where(F.pmod(F.col(index), F.lit(workers)) == worker)
-    return mine if limit is None else mine.orderBy(index).limit(limit)
+    if limit is None:
+        return mine
+    # indexes have no gaps, so that the first ones a worker owns end at a known one; where some do, the rest is put in order
+    low = mine.agg(F.min(index)).first()[0]
+    sure = mine.where(F.col(index) < (low or 0) + limit * workers)
+    missing = limit - sure.count()
+    if missing <= 0:
+        return sure
+    later = mine.where(F.col(index) >= (low or 0) + limit * workers)
+    return sure.unionByName(later.orderBy(index).limit(missing))
 
 
 def accept_for_fetch(min_score: int = 4) -> Column:
