@@ -54,6 +54,14 @@ def running(df: DataFrame, size: Column, by: str, order: str = "doc_id") -> Data
     return joined.withColumn("before", F.col("_base") + F.col("_here")).drop("_size", "_span", "_by", "_s", "_base", "_here")
 
 
+def placed(rows: DataFrame, key: str) -> DataFrame:
+    """(i, key) of rows that were sorted and written by range partitions (_p), i being the place from 0; no task sees more than its partition."""
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    bases = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    local = rows.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1)
+    return local.join(F.broadcast(bases), "_p").select((F.col("_base") + F.col("_k")).cast("long").alias("i"), key)
+
+
 def budget_prefix(df: DataFrame, size: Column, budget: int, by: str, order: str = "doc_id") -> DataFrame:
     """Rows of each group until the running size reaches the budget, the crossing row included."""
     return running(df, size, by, order).where(F.col("before") < budget).drop("before")

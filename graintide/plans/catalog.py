@@ -1,6 +1,6 @@
 """Every query of the engine's own operators with the SQL that checks it."""
 
-from graintide.plans import chat, corpus, instruct, relational
+from graintide.plans import chat, corpus, instruct, relational, traces
 
-QUERIES: dict = {**corpus.QUERIES, **relational.QUERIES, **chat.QUERIES, **instruct.QUERIES}
-ORACLES: dict = {**corpus.ORACLES, **relational.ORACLES, **chat.ORACLES, **instruct.ORACLES}
+QUERIES: dict = {**corpus.QUERIES, **relational.QUERIES, **chat.QUERIES, **instruct.QUERIES, **traces.QUERIES}
+ORACLES: dict = {**corpus.ORACLES, **relational.ORACLES, **chat.ORACLES, **instruct.ORACLES, **traces.ORACLES}

@@ -378,21 +378,11 @@ def source_dimension(spark, sf_dir):
 @query("SELECT i, item_id, doc_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) USING (i)")
 def zipped_by_place(spark, sf_dir):
     def placed(name, key):
-        return _placed(staged(table(spark, sf_dir, name).select(key).orderBy(key).withColumn("_p", F.spark_partition_id()), "placed"), key)
+        return sample.placed(staged(table(spark, sf_dir, name).select(key).orderBy(key).withColumn("_p", F.spark_partition_id()), "placed"), key)
 
     return placed("benchmark", "item_id").join(placed("documents", "doc_id"), "i").select("i", "item_id", "doc_id")
 
 
-def _placed(rows: DataFrame, key: str) -> DataFrame:
-    """rows, sorted and written by range partitions, with their place i from 0; no task sees more than its partition."""
-    from pyspark.sql import Window as W
-
-    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
-    bases = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    local = rows.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1)
-    return local.join(F.broadcast(bases), "_p").select((F.col("_base") + F.col("_k")).cast("long").alias("i"), key)
-
-
 VOTED = "WITH s AS (SELECT o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderstatus AS signature FROM orders), g AS (SELECT case_id, mode FROM (SELECT o_custkey AS case_id, min(o_orderstatus) AS mode FROM orders GROUP BY 1)), "
 
 
