@@ -223,7 +223,7 @@ def judged_candidates(gold: DataFrame, candidates: DataFrame, failed: DataFrame,
 
     gold: key and columns c0, c1, ...; candidates: key, candidate and the same columns, which as many rows as results
     have; failed: key, candidate of those that didn't run. Results are compared as multisets, by sums of their rows' digests:
-    numbers to 4 places, then each column to the fewest decimals that either side shows."""
+    numbers to 4 places, then each column to the fewest decimals that either side shows, halves going up."""
     names = [c for c in gold.columns if c not in key]
     numeric = {f.name for f in gold.schema.fields if isinstance(f.dataType, NUMBERS)}
     sides = gold.withColumn("candidate", F.lit(None).cast("string")).unionByName(candidates)
