@@ -156,6 +156,10 @@ def read_indexed_jsonl(spark: SparkSession, path: str, schema: str = "text STRIN
     return placed.select("file", (F.col("_base") + F.col("_here")).alias("idx"), F.from_json("value", schema).alias("_r")).select("file", "idx", "_r.*")
 
 
+#: Bins of an index; only the one in which a limit falls is put in order.
+INDEX_BINS = 1 << 16
+
+
 def fetch_plan(rows: DataFrame, worker: int, workers: int, limit: int | None = None, index: str = "idx") -> DataFrame:
     """What one of some workers owns of the rows, by their index, and no more than a limit of it."""
     if not 0 <= worker < workers:
@@ -163,14 +167,17 @@ def fetch_plan(rows: DataFrame, worker: int, workers: int, limit: int | None = N
     mine = rows.where(F.pmod(F.col(index), F.lit(workers)) == worker)
     if limit is None:
         return mine
-    # indexes have no gaps, so that the first ones a worker owns end at a known one; where some do, the rest is put in order
-    low = mine.agg(F.min(index)).first()[0]
-    sure = mine.where(F.col(index) < (low or 0) + limit * workers)
-    missing = limit - sure.count()
-    if missing <= 0:
-        return sure
-    later = mine.where(F.col(index) >= (low or 0) + limit * workers)
-    return sure.unionByName(later.orderBy(index).limit(missing))
+    low, high = mine.agg(F.min(index), F.max(index)).first()
+    step = ((high or 0) - (low or 0)) // INDEX_BINS + 1
+    bin_ = F.floor((F.col(index) - (low or 0)) / step)
+    before, cut = 0, INDEX_BINS
+    for n, rows_there in sorted(tuple(r) for r in mine.groupBy(bin_.alias("bin")).count().collect()):  # INDEX_BINS rows at most
+        if before + rows_there > limit:
+            cut = n
+            break
+        before += rows_there
+    # only the bin in which the limit falls is put in order
+    return mine.where(bin_ < cut).unionByName(mine.where(bin_ == cut).orderBy(index).limit(limit - before))
 
 
 def accept_for_fetch(min_score: int = 4) -> Column:
