@@ -211,7 +211,7 @@ def repair_traces(spark: SparkSession, templates: list[Template], traces: DataFr
     of_kind = F.filter(sqltext.mutations(F.col("sql"), F.col("columns"), F.col("tables")), lambda m: m["kind"] == F.col("kind"))
     made = joined.withColumn("broken", F.get(of_kind, F.lit(0))["sql"]).where("broken is not null")
     wrong = F.element_at(F.create_map(*(F.lit(x) for kv in CORRECTED.items() for x in kv)), F.col("kind"))
-    thought = F.concat(F.lit("The previous query failed: "), F.col("fault"), F.lit(". I will correct the "), wrong, F.lit(" and run it again."))
+    thought = F.format_string(sqlcheck.FAILED.format("%s", sqlcheck.CORRECT.format("%s")), F.col("fault"), wrong)
     again = F.array(
         _turn("assistant", _block("sql", F.col("broken")), False), _turn("tool", _block("result", F.concat(F.lit("Error: "), F.col("fault")))),
         _turn("assistant", F.concat(_block("think", thought), F.lit("\n"), _block("sql", F.col("sql")))))

@@ -66,10 +66,17 @@ def extract_blocks(spark, sf_dir):
     return tagged.select("conv_id", "turn", T.extract_block(F.col("text"), "sql").alias("block"))
 
 
-@query()
+BATCH_TOKENS = 20_000
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n FROM conversations GROUP BY conv_id),
+r AS (SELECT *, row_number() OVER (ORDER BY least(n, {BATCH_TOKENS} + 1), conv_id) AS i FROM s),
+g AS (SELECT i, conv_id, n, CAST(0 AS BIGINT) AS batch_id, 1 AS filled FROM r WHERE i = 1 UNION ALL
+SELECT r.i, r.conv_id, r.n, CASE WHEN r.n * (filled + 1) > {BATCH_TOKENS} THEN batch_id + 1 ELSE batch_id END, CASE WHEN r.n * (filled + 1) > {BATCH_TOKENS} THEN 1 ELSE filled + 1 END FROM g JOIN r ON r.i = g.i + 1)
+SELECT conv_id, n, batch_id FROM g""")
 def length_bucket_batches(spark, sf_dir):
     sized = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).cast("long").alias("n"))
-    return convo.length_buckets(sized, "n", "conv_id", 20_000)
+    return convo.token_batches(sized, "n", "conv_id", BATCH_TOKENS)
 
 
 CASES = [

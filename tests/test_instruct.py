@@ -109,6 +109,24 @@ def test_traces_and_repairs(spark):
     assert sqlcheck.plan_sentence(spark, "select (") == "" and sqlcheck.names_used(spark, "SELECT s.amount FROM sales s JOIN staff t ON s.region = t.region") == (["amount", "region"], ["sales", "staff"])
 
 
+@pytest.mark.parametrize("sql,columns,tables", [
+    ("SELECT `Filter`, Sort FROM `Project` WHERE `Join` > 1 ORDER BY `Aggregate`", "Aggregate Filter Join Sort", "Project"),
+    ("WITH c AS (SELECT a, sum(b) AS total FROM t GROUP BY a) SELECT c.a, total FROM c WHERE total > (SELECT avg(x) FROM u WHERE u.k = c.a) ORDER BY total", "a b k x", "t u"),
+    ("SELECT d.total FROM (SELECT sum(v) AS total FROM t) d, r WHERE r.total IN (SELECT z FROM w) AND EXISTS (SELECT 1 FROM q WHERE q.i = r.i)", "i total v z", "q r t w"),
+    ("SELECT year(d) AS y, count(*) AS n FROM t GROUP BY y HAVING n > 1 ORDER BY y", "d", "t"), ("SELECT t.s.f, db.t.g FROM db.t", "g s", "t"), ("SELECT e FROM t LATERAL VIEW explode(xs) AS e", "xs", "t"),
+    ("SELECT a FROM t UNION ALL SELECT max(b) OVER (ORDER BY c) FROM u", "a b c", "t u"), ("SELECT 1", "", ""), ("SELECT upper(name) AS name, count(*) FROM t GROUP BY name", "name", "t"),
+])
+def test_names_are_read_off_the_tree(spark, sql, columns, tables):
+    assert sqlcheck.names_used(spark, sql) == (columns.split(), tables.split())
+
+
+def test_plan_sentence_sees_nodes_and_not_names(spark):
+    assert sqlcheck.plan_sentence(spark, "SELECT `Filter ` FROM `Sort [` LIMIT 5") == "Plan: read from Sort [; limit to 5 rows."
+    assert sqlcheck.plan_sentence(spark, "SELECT x FROM (SELECT x FROM t ORDER BY x LIMIT 9) LIMIT 5").endswith("sort the results; limit to 5 rows.")
+    assert sqlcheck.plan_sentence(spark, "SELECT 1") == "Plan: compute the value."
+
+
+
 def test_templates_fill_slots_and_run(spark):
     made = synthetic.supply_chain(spark, 3)
     synthetic.as_views(made)
@@ -132,14 +150,21 @@ def test_synthetic_databases_are_the_same_again(spark):
 
 
 @pytest.mark.parametrize("code,why", [
-    ("import pandas as pd\nprint(pd)", ""), ("import os", "import not allowed: os"), ("from . import x", "import not allowed: None"), ("from socket import x", "import not allowed: socket"), ("eval('1')", "name not allowed: eval"),
-    ("x.__class__", "dunder attribute not allowed: __class__"), ("'http://x'", "url literal not allowed"), ("'/etc'", "absolute path literal not allowed"), ("'C:\\\\x'", "absolute path literal not allowed"), ("'a/../b'", "parent-directory path literal not allowed"), ("def f(:", "syntax error: "),
+    ("import pandas as pd\nprint(pd)", ""), ("x = '1 + 1'\ny = 'a..b'", ""), ("import os", "line 1: package os is"), ("import json, os.path", "line 1: package os.path is"), ("from . import x", "line 1: package . is"),
+    ("x = 1\nfrom socket import x", "line 2: package socket is"), ("eval('1')", "line 1: built-in eval"), ("x.__class__", "line 1: internal attribute __class__"), ("'http://x'", "line 1: text is an address"),
+    ("' S3://x'", "line 1: text is an address"), ("'/etc'", "line 1: text is a path from a root"), ("'~'", "line 1: text is a path from a root"), ("'C:\\\\x'", "line 1: text is a path from a root"), ("'a/../b'", "line 1: text is a path that goes up"),
+    ("'a\\\\..'", "line 1: text is a path that goes up"), ("def f(:", "line 1: cannot be parsed"), ("+".join("1" * 900), ""), ("", ""),
 ])
 def test_code_gate(spark, code, why):
     assert codecheck.code_fault(code).startswith(why) and bool(codecheck.code_fault(code)) == bool(why)
     assert one(spark, codecheck.fault(F.lit(code))) == codecheck.code_fault(code)
 
 
+def test_code_gate_names_every_fault_in_order():
+    assert [f.split(":")[0] for f in codecheck.code_faults("import os\nx = eval\nopen('/etc')")] == ["line 1", "line 2", "line 3", "line 3"]
+    assert codecheck.code_faults(None) == [] and codecheck.code_fault(None) == ""
+
+
 def test_code_runs_in_its_own_folder():
     done = codecheck.run_python("print(sum(int(x) for x in '1 2 3'.split()))")
     assert done["ok"] and done["stdout"] == "6\n"
@@ -183,11 +208,40 @@ def test_encoding_with_a_public_file(spark):
     assert got["a"][0] == 0 and got["a"][1] > 4 and got["b"] == (0, 0)
 
 
-def test_length_batches_hold_the_budget_and_every_row(spark):
-    df = spark.createDataFrame([(k, (k * 37) % 90 + 1) for k in range(500)], "k long, n long")
-    rows = convo.length_buckets(df, "n", "k", 300, bucket=128).toPandas()
-    sizes = rows.groupby(["bucket_id", "batch_id"])["n"].agg(["max", "count"])
-    assert len(rows) == 500 and (sizes["max"] * sizes["count"] <= 300).all()
+def greedy_batches(sizes, budget):
+    """Batches of sizes in their order, cut where the longest times the count would pass the budget."""
+    batch, longest, count, out = 0, 0, 0, []
+    for n in sizes:
+        longest = max(longest, n)
+        if count and longest * (count + 1) > budget:
+            batch, longest, count = batch + 1, n, 0
+        count += 1
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("budget", [1, 7, 90, 300, 5000])
+def test_token_batches_equal_the_greedy_cut(spark, budget):
+    sizes = {k * 1_000_003: (k * k * 37) % 90 if k % 3 else 12 for k in range(700)}
+    df = spark.createDataFrame([(k, n, "x") for k, n in sizes.items()], "k long, n long, batch_id string")
+    got = {r["k"]: r["batch_id"] for r in convo.token_batches(df, "n", "k", budget).collect()}
+    order = sorted(sizes, key=lambda k: (min(sizes[k], budget + 1), k))
+    assert [got[k] for k in order] == greedy_batches([sizes[k] for k in order], budget)
+
+
+def test_token_batches_of_groups_nulls_copies_and_nothing(spark):
+    rows = [("a", k, k % 5) for k in range(40)] + [(None, k, 3) for k in range(10)] + [("b", None, None), ("b", 1, -4), ("b", 1, 2), ("b", 1, 2)]
+    df = spark.createDataFrame(rows, "g string, k long, n long")
+    made = convo.token_batches(df, "n", "k", 10, by="g").collect()
+    assert len(made) == len(rows)
+    for group in ("a", "b", None):
+        mine = sorted((max(n or 0, 0), k is None, k or 0) for g, k, n in rows if g == group)
+        assert sorted(r["batch_id"] for r in made if r["g"] == group) == greedy_batches([n for n, _, _ in mine], 10)
+    assert convo.token_batches(df.limit(0), "n", "k", 10).collect() == []
+    text_keys = spark.createDataFrame([(f"id-{k}", 1 + k % 4) for k in range(50)], "k string, n int")
+    assert convo.token_batches(text_keys, "n", "k", 8).agg({"batch_id": "max"}).first()[0] == max(greedy_batches(sorted(1 + k % 4 for k in range(50)), 8))
+    with pytest.raises(ValueError):
+        convo.token_batches(df, "n", "k", 0)
 
 
 def test_measures_of_nothing_and_of_few(spark):
