@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graintide.functions import text as T
-from graintide.session import shuffle_partitions
+from graintide.session import shuffle_partitions, staged
 
 #: Spans of ids for each shuffle partition, and ids that are looked at for each span to find where spans end.
 SPANS, LOOKED_AT = 8, 16
@@ -67,6 +67,50 @@ def budget_prefix(df: DataFrame, size: Column, budget: int, by: str, order: str
     return running(df, size, by, order).where(F.col("before") < budget).drop("before")
 
 
+#: Levels of files are broadcast up to so many.
+LEVELS_BROADCAST = 250_000
+
+
+def file_quotas(df: DataFrame, size: Column, quotas: dict[str, int], by: str = "source", file: str = "file", order: str = "doc_id", max_docs: int = 0, pass_on: bool = False) -> DataFrame:
+    """Rows of each source within its quota, which is divided over its files; then the first max_docs of a source, if given.
+
+    Each file gives rows in their order until their running size reaches its level, the crossing row included. The level
+    is an equal share of the quota and 1 at least; with pass_on, what files shorter than their share leave is shared by the
+    others, so that levels rise until the quota is spent or all files are taken. max_docs counts in the order of (file, order).
+    Sources without a quota and null sources give nothing; null is a file like any other, and the last one. Rows that share an
+    id within a file are told apart by nothing.
+
+    Only sums of files meet in one task, one for each source; rows are summed span by span."""
+    if not quotas:
+        return df.limit(0)
+    names, quota = df.columns, F.element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col("_place.s"))
+    rows = df.where(F.col(by).isin(*quotas)).withColumn("_place", F.struct(F.col(by).alias("s"), F.col(file).alias("f"))).withColumn("_chars", size)
+    files = rows.groupBy("_place").agg(F.sum("_chars").alias("_total")).withColumn("_quota", quota)
+    of_source = W.partitionBy("_place.s")
+    if pass_on:
+        rising = of_source.orderBy("_total", F.asc_nulls_last("_place.f"))
+        spent = F.coalesce(F.sum("_total").over(rising.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        left = F.count("*").over(of_source) - F.row_number().over(rising) + 1
+        shares = files.withColumn("_share", F.floor((F.col("_quota") - spent) / left))
+        # a short file's share isn't used up; of the others the first in this order has the highest share
+        level = F.max(F.when(F.col("_total") > F.col("_share"), F.greatest(F.col("_share"), F.lit(1)))).over(of_source)
+        levels = shares.select(F.col("_place").alias("_p"), F.coalesce(level, F.lit((1 << 63) - 1)).alias("_level"))
+    else:
+        share = F.floor(F.col("_quota") / F.count("*").over(of_source))
+        levels = files.select(F.col("_place").alias("_p"), F.greatest(share, F.lit(1)).alias("_level"))
+    levels = staged(levels, "levels")
+    side = F.broadcast(levels) if levels.count() <= LEVELS_BROADCAST else levels
+    kept = running(rows, F.col("_chars"), "_place", order).join(side, F.col("_place").eqNullSafe(F.col("_p"))).where(F.col("before") < F.col("_level")).drop("before", "_p", "_level", "_chars")
+    if max_docs:
+        earlier = W.partitionBy("_place.s").orderBy(F.asc_nulls_last("_place.f")).rowsBetween(W.unboundedPreceding, -1)
+        counts = kept.groupBy("_place").agg(F.count("*").alias("_n"))
+        counts = staged(counts.select(F.col("_place").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")), "counts")
+        side = F.broadcast(counts) if counts.count() <= LEVELS_BROADCAST else counts
+        ranked = running(kept, F.lit(1), "_place", order).join(side, F.col("_place").eqNullSafe(F.col("_p")))
+        kept = ranked.where(F.col("_base") + F.col("before") < max_docs)
+    return kept.select(*names)
+
+
 def stride_sample(df: DataFrame, offset: int, by: str, stride: int = 7, order: str = "doc_id") -> DataFrame:
     """Every stride-th row of each group, from an offset; two offsets give disjoint samples."""
     return running(df, F.lit(1), by, order).where(F.col("before") % stride == offset).drop("before")

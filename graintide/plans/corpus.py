@@ -312,6 +312,28 @@ def quota_gather(spark, sf_dir):
     return sample.budget_prefix(stride_sample_train(spark, sf_dir), F.col("chars"), 15_000, "source")
 
 
+QUOTAS = {"src0": 90_000, "src1": 60_000, "src2": 30_000, "src3": 3_000, "src4": 40_000_000}
+#: Documents with the file they count as being in: four of a source, of which the last holds seven tenths.
+FILED = f"""f AS (SELECT doc_id, source, least(doc_id % 10, 3) AS file, length(text) AS chars, CASE source {' '.join(f"WHEN '{s}' THEN {q}" for s, q in QUOTAS.items())} END AS quota FROM documents WHERE source IN ({', '.join(f"'{s}'" for s in QUOTAS)})),
+t AS (SELECT source, file, any_value(quota) AS quota, sum(chars) AS total FROM f GROUP BY source, file)"""
+FILLED_TO = "SELECT doc_id, source, file, chars, coalesce(sum(chars) OVER (PARTITION BY source, file ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < level AS taken FROM f JOIN l USING (source, file)"
+
+
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).select("doc_id", "source", F.least(F.col("doc_id") % 10, F.lit(3)).alias("file"), F.length("text").cast("long").alias("chars"))
+
+
+@query(f"WITH {FILED}, l AS (SELECT source, file, greatest(1, quota // count(*) OVER (PARTITION BY source)) AS level FROM t), r AS ({FILLED_TO}) SELECT doc_id, source, file, chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY file, doc_id) AS n FROM r WHERE taken) WHERE n <= 30")
+def quota_over_files(spark, sf_dir):
+    return sample.file_quotas(_filed(spark, sf_dir), F.col("chars"), QUOTAS, max_docs=30)
+
+
+@query(f"""WITH {FILED}, c AS (SELECT t.source, t.file, t.total, CAST(floor((t.quota - coalesce(sum(o.total) FILTER (o.total < t.total), 0)) / count(*) FILTER (o.total >= t.total)) AS BIGINT) AS share FROM t JOIN t o USING (source) GROUP BY t.source, t.file, t.total, t.quota),
+l AS (SELECT source, file, coalesce(max(CASE WHEN total > share THEN greatest(1, share) END) OVER (PARTITION BY source), 9e18) AS level FROM c), r AS ({FILLED_TO}) SELECT doc_id, source, file, chars FROM r WHERE taken""")
+def quota_passed_on(spark, sf_dir):
+    return sample.file_quotas(_filed(spark, sf_dir), F.col("chars"), QUOTAS, pass_on=True)
+
+
 BUCKET = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{}'), 1, 8) AS BIGINT) % 10000"
 
 

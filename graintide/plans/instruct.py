@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graintide.functions import text as T
 from graintide.operators import convo, dedup, examples, measure, sample, sqlcheck, sqltext
 from graintide.session import fresh_path, spread, staged, table
-from graintide.sources import tokenfiles
+from graintide.sources import datasources, tokenfiles
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -305,6 +305,19 @@ def token_files(spark, sf_dir):
     return files.select("source", "split", "file").join(seen, "file").drop("file")
 
 
+@query(LENGTHS + """, s AS (SELECT *, CASE WHEN window_id % 100 = 0 THEN 'val' ELSE 'train' END AS split FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY source, split ORDER BY window_id) - 1 AS i FROM s)
+ SELECT source, split, CAST(i AS BIGINT) AS place, CAST(total AS BIGINT) AS total FROM r WHERE i BETWEEN 2 AND 5""")
+def token_windows_scan(spark, sf_dir):
+    """Windows at some places of each raw file, read as a data source that opens each file there alone."""
+    datasources.register(spark)
+    folder = fresh_path(spark, "tokens")
+    files = staged(tokenfiles.write_windows(length_windows(spark, sf_dir), folder), "files")
+    scan = spark.read.format("token_windows").option("width", 256).load(folder).where("window between 2 and 5")
+    # a lost task may have left a file that isn't listed
+    mine = scan.join(files, "file")
+    return mine.select("source", "split", F.col("window").alias("place"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i).alias("total"))
+
+
 @query(LENGTHS + " SELECT source, window_id, CAST(total AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY window_id) AS r FROM p WHERE window_id % 100 = 0) WHERE r <= 2")
 def first_val_windows(spark, sf_dir):
     val = tokenfiles.first_windows(length_windows(spark, sf_dir).where("split = 'val'"), 2)

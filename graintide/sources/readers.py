@@ -187,12 +187,12 @@ def accept_for_fetch(min_score: int = 4) -> Column:
 
 def sqlite_schema(path: str) -> str:
     """The CREATE TABLE statements of a SQLite file, in the order of the tables' names, each with its semicolon."""
-    with _sqlite(path) as db:
+    with open_sqlite(path) as db:
         made = db.execute("select name, sql from sqlite_master where type = 'table' and sql is not null order by name").fetchall()
     return "\n".join(sql.strip().rstrip(";") + ";" for name, sql in made if not name.startswith("sqlite_"))
 
 
-def _sqlite(path: str):
+def open_sqlite(path: str):
     import contextlib
     import sqlite3
 
@@ -201,20 +201,26 @@ def _sqlite(path: str):
     return contextlib.closing(db)
 
 
-def read_sqlite(spark: SparkSession, path: str, name: str, rows_per_task: int = 100_000) -> DataFrame:
-    """A table of a SQLite file that all executors can open, read-only, in ranges of row numbers; bytes that aren't UTF-8 are left out."""
+def sqlite_columns(db, name: str) -> list[tuple[str, str]]:
+    """(column, type) of a table by the affinity of what its columns were declared as."""
     kinds = {"INT": "bigint", "REAL": "double", "FLOA": "double", "DOUB": "double", "NUME": "double", "DECI": "double"}
-    with _sqlite(path) as db:
-        columns = [(c[1], kinds.get((c[2] or "")[:4].upper(), "bigint" if "INT" in (c[2] or "").upper() else "string")) for c in db.execute(f'pragma table_info("{name}")')]
-        low, high = db.execute(f'select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from "{name}"').fetchone()
+    columns = [(c[1], kinds.get((c[2] or "")[:4].upper(), "bigint" if "INT" in (c[2] or "").upper() else "string")) for c in db.execute(f'pragma table_info("{name}")')]
     if not columns:
         raise ValueError(f"no table {name}")
+    return columns
+
+
+def read_sqlite(spark: SparkSession, path: str, name: str, rows_per_task: int = 100_000) -> DataFrame:
+    """A table of a SQLite file that all executors can open, read-only, in ranges of row numbers; bytes that aren't UTF-8 are left out."""
+    with open_sqlite(path) as db:
+        columns = sqlite_columns(db, name)
+        low, high = db.execute(f'select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from "{name}"').fetchone()
     casts = {"bigint": "Int64", "double": "Float64", "string": "string"}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for start in pdf["id"]:
-                with _sqlite(path) as db:
+                with open_sqlite(path) as db:
                     found = db.execute(f'select * from "{name}" where rowid >= ? and rowid < ? order by rowid', (int(start), int(start) + rows_per_task)).fetchall()
                 yield pd.DataFrame({c: pd.Series([r[k] for r in found], dtype=casts[kind]) for k, (c, kind) in enumerate(columns)})
 
