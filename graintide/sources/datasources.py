@@ -147,9 +147,8 @@ class WindowReader(D.DataSourceReader):
         from pyarrow import fs
 
         for folder in self.folders:
-            whole = (folder if "://" in folder else f"file://{folder}").rstrip("/")
-            system, path = fs.FileSystem.from_uri(whole)
-            prefix = whole.removesuffix(path)  # what stands before the path names the store
+            system, path = fs.FileSystem.from_uri(folder.rstrip("/"))
+            prefix = folder.rstrip("/").removesuffix(path)  # names are written as the folder's is, with its store or without
             for info in sorted(system.get_file_info(fs.FileSelector(path, recursive=True)), key=lambda i: i.path):
                 uri = prefix + info.path
                 if info.is_file and info.path.endswith(self.suffix) and (self.files is None or uri in self.files):

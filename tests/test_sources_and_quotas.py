@@ -64,9 +64,11 @@ def test_token_windows_are_read_whole_and_by_filter(spark, token_folder):
     rows = every.collect()
     assert len(rows) == 53 and every.rdd.getNumPartitions() == 7
     assert all(r["ids"] == [ord(r["file"][-5]) + 4 * r["window"] + i for i in range(4)] for r in rows)
-    picked = every.where(F.col("window").isin(2, 3, 40, 99) & (F.col("file") == f"file://{token_folder}/a.bin"))
+    picked = every.where(F.col("window").isin(2, 3, 40, 99) & (F.col("file") == f"{token_folder}/a.bin"))
     assert sorted(r["window"] for r in picked.collect()) == [2, 3, 40] and picked.rdd.getNumPartitions() == 1
     assert "Filter " not in picked._jdf.queryExecution().executedPlan().toString()
+    addressed = spark.read.format("token_windows").option("width", 4).load(f"file://{token_folder}/")
+    assert {r["file"] for r in addressed.select("file").distinct().collect()} == {f"file://{token_folder}/{n}.bin" for n in "ab"} and addressed.where(F.col("file").isin(f"file://{token_folder}/b.bin")).count() == 3
     assert every.where("window >= 48 and window < 1000").count() == 2 and every.where("window > 2 and window <= 3 and array_contains(ids, 109)").count() == 1
     assert every.where("window is null").count() == 0 and every.where("window = 1 and window = 2").count() == 0
 
