@@ -24,9 +24,10 @@ def _open(uri: str, mode: str):
     return system.open_output_stream(path)
 
 
-def write_windows(windows: DataFrame, folder: str, by: str = "source", split: str = "split", order: str = "window_id") -> DataFrame:
-    """(split, source, file, windows) of the files written, one for each source and split in a task, windows in their order.
+def write_windows(windows: DataFrame, folder: str, by: str = "source", split: str = "split", order: str = "window_id", per_file: int = 1 << 16) -> DataFrame:
+    """(split, source, file, windows) of the files written: one for each source, split and per_file numbers of windows, in their order.
 
+    A source that holds most windows is thus written by many tasks.
     Names are fresh in every attempt, and only files of successful tasks are reported, so that a lost executor leaves at
     most files that nothing reads. An id that 16 bits don't hold fails the job."""
 
@@ -34,12 +35,12 @@ def write_windows(windows: DataFrame, folder: str, by: str = "source", split: st
         out, at, n, uri = None, None, 0, ""
         done: list[tuple] = []
         for batch in batches:
-            for group, part, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (part, group) != at:
+            for group, part, place, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, group, place) != at:
                     if out is not None:
                         out.close()
-                        done.append((*at, uri, n))
-                    at, n, uri = (part, group), 0, f"{folder}/{part}/{group}-{uuid.uuid4().hex}.bin"
+                        done.append((*at[:2], uri, n))
+                    at, n, uri = (part, group, place), 0, f"{folder}/{part}/{group}-{uuid.uuid4().hex}.bin"
                     out = _open(uri, "w")
                 if max(ids, default=0) >= LIMIT:
                     raise ValueError(f"a token id doesn't fit 16 bits: {max(ids)}")
@@ -47,11 +48,11 @@ def write_windows(windows: DataFrame, folder: str, by: str = "source", split: st
                 n += 1
         if out is not None:
             out.close()
-            done.append((*at, uri, n))
+            done.append((*at[:2], uri, n))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["split", "source", "file", "windows"])
 
-    rows = windows.select(F.col(by).cast("string").alias("source"), F.col(split).alias("split"), F.col("ids").cast("array<int>").alias("ids"), F.col(order).alias("_o"))
-    dealt = rows.repartition("source", "split").sortWithinPartitions("split", "source", "_o").drop("_o")
+    rows = windows.select(F.col(by).cast("string").alias("source"), F.col(split).alias("split"), F.floor(F.col(order) / per_file).alias("_f"), F.col("ids").cast("array<int>").alias("ids"), F.col(order).alias("_o"))
+    dealt = rows.repartition("source", "split", "_f").sortWithinPartitions("split", "source", "_f", "_o").drop("_o")
     return dealt.mapInArrow(write, "split string, source string, file string, windows long")
 
 

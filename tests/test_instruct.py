@@ -272,6 +272,9 @@ def test_token_files(spark, tmp_path):
     assert [r["ids"] for r in tokenfiles.read_windows(files, 4, picked).collect()] == [[3, 4, 65_535, 0]]
     seen = {r["windows"]: (r["size_matches"], r["max_id"], r["first_ends"]) for r in tokenfiles.inspect(back, 4, 0).collect()}
     assert seen == {9: (True, 65_535, 2), 1: (True, 7, 3)}
+    parts = spark.createDataFrame(tokenfiles.write_windows(windows, f"file://{tmp_path}/parts", per_file=4).collect())
+    assert sorted((r["source"], r["windows"]) for r in parts.collect()) == [("a", 1), ("a", 4), ("a", 4), ("b", 1)]
+    assert sorted(r["ids"] for r in tokenfiles.read_windows(parts, 4).collect()) == sorted(r["ids"] for r in windows.collect())
     with pytest.raises(Exception, match="16 bits"):
         tokenfiles.write_windows(spark.createDataFrame([("a", "train", 0, [70_000])], windows.schema), f"file://{tmp_path}/t").collect()
     order = tokenfiles.file_order(spark, ["x/b/2.jsonl", "x/a/9.jsonl", "x/b/1.jsonl", "x/z/1.jsonl"], ["b", "a"])
