@@ -36,6 +36,8 @@ SCRIPTS = [
     "CREATE TABLE salaries (employee_salary_{k} REAL, tax NUMERIC, age INT); CREATE TABLE weather (conditions TEXT, rain FLOAT)",
     "create temporary table skipped (a int); create table kept_{k} (a int, b int, c int, d int)",
     "CREATE TABLE umlaut (größe REAL, länge REAL, name TEXT DEFAULT 'ü;ö')",
+    "PRAGMA foreign_keys = ON; CREATE TABLE p (a INT, b REAL)",
+    "CREATE TABLE vac (a TEXT DEFAULT 'vacuum', b INT, c INT); -- attach",
     None,
     "update t set a = 'it''s; {k}' where b = 1; delete from t",
 ]
@@ -50,9 +52,9 @@ def listed(texts: list[str | None]) -> str:
 SCRIPT = f"replace(([{listed(SCRIPTS)}])[1 + p_partkey % {len(SCRIPTS)}], '{{k}}', CAST(p_partkey AS VARCHAR))"
 #: Character by character: the kind of the open quote, if any, then what was read, semicolons outside quotes marked.
 _READ = "CASE WHEN a[1] = ' ' THEN CASE WHEN c IN ('''', '\"', '`') THEN c || a[2:] || c WHEN c = ';' THEN a || chr(31) ELSE a || c END WHEN c = a[1] THEN ' ' || a[2:] || c ELSE a || c END"
-_PARTS = f"string_split(list_reduce(string_split(s, ''), lambda a, c: {_READ}, ' ')[2:], chr(31))"
+PARTS = f"string_split(list_reduce(string_split(s, ''), lambda a, c: {_READ}, ' ')[2:], chr(31))"
 STATEMENTS = f"""WITH q AS (SELECT p_partkey, {SCRIPT} AS s FROM part),
- st AS (SELECT p_partkey, s, CASE WHEN s IS NULL THEN NULL WHEN s = '' THEN [] ELSE list_filter(list_transform({_PARTS}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') END AS parts FROM q)"""
+ st AS (SELECT p_partkey, s, CASE WHEN s IS NULL THEN NULL WHEN s = '' THEN [] ELSE list_filter(list_transform({PARTS}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') END AS parts FROM q)"""
 #: The same with the depth of brackets in front, as a character from chr(48) on.
 _DEEP = "CASE WHEN c = '(' THEN chr(ascii(a[1]) + 1) || a[2:] || c WHEN c = ')' THEN chr(ascii(a[1]) - 1) || a[2:] || c WHEN c = ',' AND a[1] = '0' THEN a || chr(31) ELSE a || c END"
 _HEAD = r"(?is)^create\s+table\s+(?:if\s+not\s+exists\s+)?([A-Za-z_]\w*)\s*\("
@@ -61,7 +63,7 @@ TABLES = STATEMENTS + f""", ts AS (SELECT p_partkey, pos, x FROM (SELECT p_partk
  cl AS (SELECT p_partkey, pos, tb, list_filter(list_transform(string_split(CASE WHEN body = '' THEN '' ELSE list_reduce(string_split(body, ''), lambda a, c: {_DEEP}, '0')[2:] END, chr(31)), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))),
    lambda y: contains(y, ' ') AND upper(split_part(y, ' ', 1)) NOT IN ('PRIMARY', 'FOREIGN', 'UNIQUE', 'CONSTRAINT', 'CHECK')) AS cols FROM bd),
  tc AS (SELECT p_partkey, pos, tb, list_transform(cols, lambda y: {{'name': regexp_replace(split_part(y, ' ', 1), '[`"]', '', 'g'), 'type': lower(y[length(split_part(y, ' ', 1)) + 2:])}}) AS cols FROM cl)"""
-_MEASURES = f"list_transform(list_filter(cols, lambda c: list_contains([{listed(sqltext.NUMERIC)}], regexp_extract(c.type, '^[a-z0-9_]+')) AND NOT list_contains([{listed(sqltext.NO_MEASURE)}], lower(c.name)) AND NOT ends_with(lower(c.name), '_id')), lambda c: c.name)"
+MEASURES = f"list_transform(list_filter(cols, lambda c: list_contains([{listed(sqltext.NUMERIC)}], regexp_extract(c.type, '^[a-z0-9_]+')) AND NOT list_contains([{listed(sqltext.NO_MEASURE)}], lower(c.name)) AND NOT ends_with(lower(c.name), '_id')), lambda c: c.name)"
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +92,7 @@ def varied_schemas(spark, sf_dir):
     return scripts(spark, sf_dir).select("p_partkey", sqltext.schema_of(F.col("script")).alias("schema"))
 
 
-@query(TABLES + f""" SELECT p_partkey, tb AS "table", array_to_string(list_transform(cols, lambda c: c.name || ' ' || c.type), ' | ') AS columns, array_to_string({_MEASURES}, ',') AS measures FROM tc""")
+@query(TABLES + f""" SELECT p_partkey, tb AS "table", array_to_string(list_transform(cols, lambda c: c.name || ' ' || c.type), ' | ') AS columns, array_to_string({MEASURES}, ',') AS measures FROM tc""")
 def varied_tables(spark, sf_dir):
     found = scripts(spark, sf_dir).select("p_partkey", F.inline(sqltext.tables_of(F.col("script"))))
     shown = F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"])), " | ")
@@ -106,11 +108,11 @@ def varied_foreign_columns(spark, sf_dir):
     return found.select("p_partkey", F.array_join(sqltext.foreign_columns(F.col("t"), used), ",").alias("missing"))
 
 
-_FREE = f"list_filter([{listed(sqltext.CONCEPTS)}], lambda n: len(list_filter(string_split(n, ' '), lambda w: length(w) > 3 AND contains(lower(s), w))) = 0)"
+FREE = f"list_filter([{listed(sqltext.CONCEPTS)}], lambda n: len(list_filter(string_split(n, ' '), lambda w: length(w) > 3 AND contains(lower(s), w))) = 0)"
 _DRAW = "CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || ':concept'), 1, 8) AS BIGINT) % 1000000"
 
 
-@query(TABLES + f""", n AS (SELECT p_partkey, string_agg(tb, ', ' ORDER BY pos) AS tables FROM tc GROUP BY p_partkey), fr AS (SELECT p_partkey, s, {_FREE} AS free FROM st JOIN n USING (p_partkey)),
+@query(TABLES + f""", n AS (SELECT p_partkey, string_agg(tb, ', ' ORDER BY pos) AS tables FROM tc GROUP BY p_partkey), fr AS (SELECT p_partkey, s, {FREE} AS free FROM st JOIN n USING (p_partkey)),
  pk AS (SELECT p_partkey, free[1 + {_DRAW} % len(free)] AS c FROM fr)
  SELECT p_partkey, replace({chosen(sqltext.MISSING, 'p_partkey', 'question')}, '{{c}}', c) AS question,
  'I can''t answer that from this schema because it has no data about ' || c || '. The available tables are ' || tables || '. If you can point me to the right table or share its schema, I can write the query.' AS answer FROM pk JOIN n USING (p_partkey)""")
