@@ -23,13 +23,18 @@ BROADCAST_ROWS = 200_000
 ONE_TASK_EDGES, SMALL_COMPONENT = 2_000_000, 200_000
 
 
-def first_of_each(df: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
-    """(order, exact_dup): every row but the first of its key. The key is grouped before anything wide moves.
+def row_id(number: Column, digest: Column) -> Column:
+    """A number for a row by its whole-numbered id and the hex digest of its text, in the order of the ids."""
+    return number.cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(19,0)")
+
+
+def first_of_each(df: DataFrame, key: Column, order: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """(order, carried columns, exact_dup): every row but the first of its key. The key is grouped before anything wide moves.
 
     Null keys are one key, and rows of one id are told apart by nothing: of a key's smallest id all rows stay."""
-    keyed = df.select(order, F.coalesce(key, F.lit("")).alias("_key"))
+    keyed = df.select(order, *(carry or []), F.coalesce(key, F.lit("")).alias("_key"))
     first = keyed.groupBy("_key").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
-    return keyed.join(first, "_key", "left").select(order, F.coalesce(F.col(order) > F.col("_first"), F.lit(False)).alias("exact_dup"))
+    return keyed.join(first, "_key", "left").select(order, *(carry or []), F.coalesce(F.col(order) > F.col("_first"), F.lit(False)).alias("exact_dup"))
 
 
 def affine(p: int) -> tuple[int, int]:

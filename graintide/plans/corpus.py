@@ -143,9 +143,8 @@ def exact_dups(spark, sf_dir):
 
 @query(f"SELECT source, count(*) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY {NORM} ORDER BY doc_id) AS r FROM documents) WHERE r = 1 GROUP BY source")
 def exact_dedup_keep_first(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    dropped = dedup.first_of_each(docs, F.sha2(T.normalize(F.col("text")), 256)).where("exact_dup").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("kept"))
+    judged = dedup.first_of_each(docs_of(spark, sf_dir), F.sha2(T.normalize(F.col("text")), 256), carry=["source"])
+    return judged.where("not exact_dup").groupBy("source").agg(F.count("*").alias("kept"))
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(lower(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(?:$|#)')), chr(10))), '\s+', ' ', 'g'))) AS code_md5 FROM documents")
@@ -253,17 +252,26 @@ FLAGSHIP = (
 
 
 def judged_corpus(spark, sf_dir) -> DataFrame:
-    """doc_id, source, chars, reason: cleaning, then exact and near duplicates among what it kept, then contamination.
+    """doc_id, source, chars, reason: cleaning, then exact and near duplicates among what it kept, then contamination."""
+    return judged_documents(docs_of(spark, sf_dir), _grams(spark, sf_dir))
 
-    Documents are judged once and written; what follows reads that."""
-    cleaned = clean.clean_prose(dealt_docs(spark, sf_dir).select("doc_id", "source", "text"))
-    judged = staged(cleaned.select("doc_id", "source", F.col("clean_chars").alias("chars"), "reason", F.col("clean_text").alias("text"), F.sha2(T.normalize(F.col("clean_text")), 256).alias("h")), "judged")
+
+def judged_documents(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """judged_corpus of documents (doc_id, a whole number, source and text) against benchmark grams.
+
+    Documents are judged once and written; what follows reads that. Rows are told apart by id and cleaned text, as it
+    is normalised for duplicates, so that a repeated id drops no other text and makes no rows; rows that share both have
+    one judgement."""
+    cleaned = clean.clean_prose(spread(docs.select("doc_id", "source", "text")))
+    h = F.sha2(T.normalize(F.col("clean_text")), 256)
+    judged = staged(cleaned.select(dedup.row_id(F.col("doc_id"), h).alias("row"), "doc_id", "source", F.col("clean_chars").alias("chars"), "reason", F.col("clean_text").alias("text"), h.alias("h")), "judged")
     kept = judged.where("reason = ''")
-    dups = staged(dedup.first_of_each(kept, F.col("h")).where("exact_dup").select("doc_id"), "exact")
-    single = kept.join(dups, "doc_id", "left_anti")
-    near = dedup.keep_first(dedup.lsh_cells(single)).select(F.col("id").alias("doc_id"), F.lit(True).alias("near"))
-    bad = dedup.contaminated(dedup.gram_hits(kept, _grams(spark, sf_dir)))
-    final = judged.select("doc_id", "source", "chars", "reason").join(dups.withColumn("exact_dup", F.lit(True)), "doc_id", "left").join(near, "doc_id", "left").join(bad, "doc_id", "left")
+    dups = staged(dedup.first_of_each(kept, F.col("h"), "row").where("exact_dup").select("row").distinct(), "exact")
+    single = kept.join(dups, "row", "left_anti")
+    near = dedup.keep_first(dedup.lsh_cells(single, "row")).select(F.col("id").alias("row"), F.lit(True).alias("near"))
+    hits = dedup.gram_hits(kept.select(F.col("row").alias("doc_id"), "text"), grams).distinct()
+    bad = dedup.contaminated(hits).withColumnRenamed("doc_id", "row")
+    final = judged.select("row", "doc_id", "source", "chars", "reason").join(dups.withColumn("exact_dup", F.lit(True)), "row", "left").join(near, "row", "left").join(bad, "row", "left")
     reason = F.when(F.col("reason") != "", F.col("reason")).when(F.col("exact_dup"), "exact_dup").when(F.col("near"), "near_dup").when(F.col("bench").isNotNull(), "contaminated").otherwise("")
     return final.select("doc_id", "source", "chars", reason.alias("reason"), "bench")
 

@@ -355,9 +355,15 @@ def worker_budgets(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(measure.budget_of(F.sum("n_chars"), 7).alias("budget"))
 
 
-@query("SELECT step, floor((CASE WHEN step < 20 THEN 3.0 * (step + 1) / 20 WHEN step < 180 THEN 3.0 ELSE 0.3 + 0.5 * 2.7 * (1 + cos(pi() * least(1.0, (step - 180) / 19.0))) END) * 1e6 + 0.5) / 1e6 AS rate FROM range(200) AS r(step)")
+@query("""WITH t AS (SELECT count(*) AS n FROM documents), s AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS step, CAST(n // 10 AS BIGINT) AS warm, CAST(floor(n * 0.9) AS BIGINT) AS start, n FROM documents, t),
+ r AS (SELECT *, CASE WHEN step < warm THEN 3.0 * (step + 1) / warm WHEN step < start THEN 3.0 ELSE 0.3 + 0.5 * 2.7 * (1 + cos(pi() * least(1.0, (step - start) / greatest(1, n - 1 - start)))) END AS rate FROM s)
+ SELECT doc_id, step, floor(rate * 1e6 + 0.5) / 1e6 AS rate FROM r""")
 def learning_rates(spark, sf_dir):
-    return spark.range(200).select(F.col("id").alias("step"), T.quantised(measure.learning_rate(F.col("id"), 200, 20, 3.0, 0.3)).alias("rate"))
+    """The rate at which each document would be learnt, were it a step in the order of ids."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    steps = sample.placed(staged(ids.orderBy("doc_id").withColumn("_p", F.spark_partition_id()), "steps"), "doc_id")
+    total = ids.count()
+    return steps.select("doc_id", F.col("i").alias("step"), T.quantised(measure.learning_rate(F.col("i"), total, total // 10, 3.0, 0.3)).alias("rate"))
 
 
 @query("SELECT c_nationkey, arg_max(c_name, (c_acctbal, -c_custkey)) AS highest, arg_min(c_name, (c_acctbal, c_custkey)) AS lowest FROM customer GROUP BY c_nationkey")
@@ -411,12 +417,18 @@ def vote_curve(spark, sf_dir):
     return made.select("k", T.quantised(F.col("accuracy")).alias("accuracy"))
 
 
-@query("SELECT a.l AS l_linenumber, a.s = b.s AS same_any_order, a.s = c.s AS same_changed FROM (SELECT l_linenumber AS l, 1 AS s FROM lineitem GROUP BY 1) a JOIN (SELECT l_linenumber AS l, 1 AS s FROM lineitem GROUP BY 1) b USING (l) JOIN (SELECT l_linenumber AS l, 2 AS s FROM lineitem GROUP BY 1) c USING (l)")
+SIGNED = """WITH r AS (SELECT l_linenumber, l_orderkey, round(l_quantity, 4) AS q, round(CASE WHEN l_linenumber > 3 AND l_orderkey % 2 = 0 THEN l_quantity + 1 ELSE l_quantity END, 4) AS q2 FROM lineitem),
+ a AS (SELECT l_linenumber, l_orderkey, q, count(*) AS n FROM r GROUP BY ALL), b AS (SELECT l_linenumber, l_orderkey, q2 AS q, count(*) AS n FROM r GROUP BY ALL),
+ d AS ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+ SELECT DISTINCT l_linenumber, true AS same_any_order, l_linenumber NOT IN (SELECT l_linenumber FROM d) AS same_changed FROM r"""
+
+
+@query(SIGNED)
 def result_signatures(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", "l_quantity")
     made = sqlcheck.result_signatures(rows, "l_linenumber", ["l_orderkey", "l_quantity"])
     other = sqlcheck.result_signatures(rows.repartition(5, "l_quantity"), "l_linenumber", ["l_orderkey", "l_quantity"]).withColumnRenamed("signature", "again")
-    changed = sqlcheck.result_signatures(rows.withColumn("l_quantity", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))), "l_linenumber", ["l_orderkey", "l_quantity"]).withColumnRenamed("signature", "changed")
+    changed = sqlcheck.result_signatures(rows.withColumn("l_quantity", F.when((F.col("l_linenumber") > 3) & (F.col("l_orderkey") % 2 == 0), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))), "l_linenumber", ["l_orderkey", "l_quantity"]).withColumnRenamed("signature", "changed")
     return made.join(other, "l_linenumber").join(changed, "l_linenumber").select("l_linenumber", (F.col("signature") == F.col("again")).alias("same_any_order"), (F.col("signature") == F.col("changed")).alias("same_changed"))
 
 

@@ -31,7 +31,8 @@ def within_budget(documents: DataFrame, budget: int) -> DataFrame:
     """(source, doc_id, before): documents of each source until its characters reach the budget, the crossing one included.
 
     The characters so far are kept as state for each source, so that the budget holds over batches and restarts; within
-    a batch documents come in the order of their ids."""
+    a batch documents come in the order of their ids. Of a source's rows, which come in parts, only those are held that
+    the budget still has room for, so that memory is bounded by what is returned and not by how many a batch brings."""
     from collections.abc import Iterator
 
     import pandas as pd
@@ -39,11 +40,18 @@ def within_budget(documents: DataFrame, budget: int) -> DataFrame:
 
     def take(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("doc_id")
-        before = used + rows["chars"].cumsum() - rows["chars"]
-        kept = before < budget
-        state.update((int(used + rows["chars"][kept].sum()),))
-        yield pd.DataFrame({"source": key[0], "doc_id": rows["doc_id"][kept], "before": before[kept]})
+        rows, before = None, None
+        for part in frames:
+            if used >= budget:
+                continue
+            rows = (part if rows is None else pd.concat([rows, part])).sort_values("doc_id", kind="stable")
+            before = used + rows["chars"].cumsum() - rows["chars"]
+            rows, before = rows[before < budget], before[before < budget]
+        if rows is None:
+            state.update((int(used),))
+            return
+        state.update((int(used + rows["chars"].sum()),))
+        yield pd.DataFrame({"source": key[0], "doc_id": rows["doc_id"], "before": before})
 
     sized = documents.select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
     # once a source is full its rows are only counted out, so that state stays one number
