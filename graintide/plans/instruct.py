@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graintide.functions import text as T
 from graintide.operators import convo, dedup, examples, measure, sample, sqlcheck, sqltext
-from graintide.session import fresh_path, spread, staged, table
+from graintide.session import dealt, fresh_path, small_batches, spread, staged, table
 from graintide.sources import datasources, tokenfiles
 
 QUERIES: dict = {}
@@ -38,7 +38,7 @@ SCRIPT = """concat('CREATE TABLE item_', p_partkey, ' (item_id INT, price DECIMA
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A script with two tables, one row and a query for each part."""
-    return table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name", "p_size", SCRIPT + " AS script")
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")).selectExpr("p_partkey", "p_name", "p_size", SCRIPT + " AS script")
 
 
 @query("SELECT p_partkey, CAST(4 AS BIGINT) AS n, 'INSERT INTO item_' || p_partkey || ' VALUES (1, ' || p_retailprice || ', ' || p_size || ', ''' || p_name || '; old'')' AS third FROM part")
@@ -100,7 +100,7 @@ def clarifying_answers(spark, sf_dir):
  '. If you can point me to the right table or share its schema, I can write the query.' AS answer FROM part""")
 def missing_data_answers(spark, sf_dir):
     named = F.concat(F.lit("create table item_"), F.col("p_partkey").cast("string"), F.lit(" (a int); create table shop_"), F.col("p_partkey").cast("string"), F.lit(" (b int);"))
-    return table(spark, sf_dir, "part").select("p_partkey", sqltext.missing_data(named, F.col("p_partkey")).alias("m")).select("p_partkey", "m.answer")
+    return dealt(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", sqltext.missing_data(named, F.col("p_partkey")).alias("m")).select("p_partkey", "m.answer")
 
 
 @query("""SELECT o_orderkey, kind, CASE kind WHEN 'column' THEN 'SELECT amoun FROM sales WHERE amount > ' || o_custkey WHEN 'table' THEN 'SELECT amount FROM saless WHERE amount > ' || o_custkey ELSE 'SELECT amount FORM sales WHERE amount > ' || o_custkey END AS sql
@@ -281,6 +281,7 @@ def pack_windows_bpe(spark, sf_dir):
         made = byte_tokenizer()
         return lambda text: (made.encode(text, add_special_tokens=False).ids, [])
 
+    small_batches(spark)
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     coded = staged(docs.select("doc_id", "source", examples.encoded(F.col("text"), ids).alias("e")).select("doc_id", "source", F.col("e.ids").alias("ids")), "coded")
     return sample.route(sample.pack_stream(coded, 2048, F.lit(50_256))).select("source", "window_id", F.md5(F.concat_ws(" ", F.transform("ids", lambda i: i.cast("string")))).alias("ids_md5"), "split")

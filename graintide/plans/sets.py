@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graintide.operators import builders, convo, sqltext, traces
 from graintide.plans import chat, sqlcases
 from graintide.plans.instruct import by_character
-from graintide.session import staged, table
+from graintide.session import dealt, staged, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,7 +37,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(options: list, seed: str) -> Column:
         return F.replace(sqltext.pick(F.array(*map(F.lit, options)), key, seed), F.lit("{k}"), key.cast("string"))
 
-    return table(spark, sf_dir, "customer").select(
+    return dealt(table(spark, sf_dir, "customer").select(key)).select(
         key.alias("id"), one(DOMAINS, "domain").alias("domain"), one(TASKS, "task").alias("task_type"), one(PROMPTS, "prompt").alias("prompt"),
         one(sqlcases.SCRIPTS, "script").alias("context"), one(STATEMENTS, "statement").alias("sql"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graintide.operators import sqltext
 from graintide.plans.instruct import chosen
-from graintide.session import table
+from graintide.session import dealt, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,7 +70,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey, script: one of the scripts for each part."""
     key = F.col("p_partkey")
     script = F.get(F.array(*map(F.lit, SCRIPTS)), (key % len(SCRIPTS)).cast("int"))
-    return table(spark, sf_dir, "part").select(key, F.replace(script, F.lit("{k}"), key.cast("string")).alias("script"))
+    return dealt(table(spark, sf_dir, "part").select(key)).select(key, F.replace(script, F.lit("{k}"), key.cast("string")).alias("script"))
 
 
 def query(sql: str):

@@ -1,6 +1,11 @@
 """What workers hold at once, and steps whose cost must not grow beyond their input."""
 
-from graintide.operators import measure
+import time
+
+from pyspark.sql import functions as F
+
+from graintide.operators import measure, sqltext
+from graintide.session import dealt
 
 
 def test_fertility_tokenises_bounded_runs(spark):
@@ -19,3 +24,22 @@ def test_fertility_tokenises_bounded_runs(spark):
     docs = spark.createDataFrame(rows, "source string, text string").coalesce(1)
     got = {r["source"]: (r["tokens"], r["failures"]) for r in measure.fertility(docs, counting).collect()}
     assert got == {"a": (2_000_000, 0), "b": (400_000, 0), "c": (0, 0)}
+
+
+def test_wide_tables_are_cut_in_little_time(spark):
+    """2,000 columns with and without nested brackets; character by character this takes minutes, and long statements overflow the stack."""
+    plain = ", ".join(f"c{k} DECIMAL(10, {k})" for k in range(2000))
+    nested = plain + ", d INT CHECK (f(a, g(1, 2)) > 0), \x1f e INT"
+    began = time.time()
+    made = spark.createDataFrame([(f"CREATE TABLE p ({plain}); CREATE TABLE n ({nested}); CREATE TABLE u (a INT, b) INT, c INT)",)], "s string")
+    got = {t["table"]: [tuple(c) for c in t["columns"]] for t in made.select(sqltext.tables_of(F.col("s"))).first()[0]}
+    assert time.time() - began < 60
+    assert got["p"] == [(f"c{k}", f"decimal(10, {k})") for k in range(2000)]
+    assert got["n"][2000] == ("d", "int check (f(a, g(1, 2)) > 0)") and len(got["n"]) == 2002
+    assert got["u"] == [("a", "int"), ("b)", "int, c int")]
+
+
+def test_few_row_groups_are_dealt(spark, tmp_path):
+    spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    sizes = dealt(spark.read.parquet(str(tmp_path / "rows"))).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 20_000
