@@ -43,3 +43,18 @@ def test_few_row_groups_are_dealt(spark, tmp_path):
     spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "rows"))
     sizes = dealt(spark.read.parquet(str(tmp_path / "rows"))).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 20_000
+
+
+def test_least_values_equal_a_plain_count():
+    from hashlib import md5
+
+    from graintide.operators import dedup
+
+    texts = ["", "one", "a b c d", "a b c d e", " ".join(f"w{k % 5001}" for k in range(9_000))]
+    got = dedup._least_values(texts, 5, 7)
+    assert got[0] is None
+    for text, values in zip(texts[1:], got[1:]):
+        w = text.split()
+        grams = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        hashes = [int(md5(g.encode()).hexdigest()[:8], 16) for g in grams]
+        assert values.tolist() == [min((h * a + b) % dedup.PRIME for h in hashes) for a, b in map(dedup.affine, range(1, 8))]
