@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graintide.functions import text as T
 from graintide.operators import sample
-from graintide.session import staged
+from graintide.session import small_batches, staged
 
 #: Marks of a rendered conversation and the label of what isn't trained.
 BEGIN, END, ROLES = "<|bos|>", "<|eos|>", {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>", "tool": ""}
@@ -77,7 +78,8 @@ def encoded(text: Column, make: Callable[[], Encoder]) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encode = make()
         for texts in batches:
-            rows = [encode(t or "") for t in texts]
+            # numbers of four bytes as soon as a text is encoded: as Python's they take ten times as much
+            rows = [tuple(np.asarray(part, dtype="int32") for part in encode(t or "")) for t in texts]
             yield pd.DataFrame({"ids": [r[0] for r in rows], "starts": [r[1] for r in rows]})
 
     return run(text)
@@ -90,6 +92,7 @@ def token_mask(starts: Column, spans: Column) -> Column:
 
 def encode_examples(conversations: DataFrame, make: Callable[[], Encoder], max_len: int, turns: str = "turns") -> DataFrame:
     """conversations with ids and mask; what has a fault, is longer than max_len or has nothing trained goes."""
+    small_batches(conversations.sparkSession)
     made = conversations.withColumn("_r", render(F.col(turns))).where("_r is not null")
     made = made.withColumn("_e", encoded(F.col("_r.text"), make))
     made = made.withColumn("ids", F.col("_e.ids")).withColumn("mask", token_mask(F.col("_e.starts"), F.col("_r.spans"))).drop("_r", "_e")
