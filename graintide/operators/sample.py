@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 
 import numpy as np
@@ -39,19 +40,27 @@ def spans(df: DataFrame, order: str) -> Column:
     return number(F.col(order))
 
 
-def running(df: DataFrame, size: Column, by: str, order: str = "doc_id") -> DataFrame:
-    """df with `before`: the sum of size over the earlier rows of its group.
+def positioned(df: DataFrame, size: Column, by: str, order: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with `before`, the sum of size over the earlier rows of its group, and what that sum is where its span begins and ends (`_from`, `_until`).
 
     A group is summed span by span of its ids and then within spans, so that one that holds most rows is dealt over
-    tasks. Null is a group like any other; rows with a null id come last in their group."""
+    tasks. The sum before a span travels as the span's first row, so that rows are shuffled once and lie by group and span then."""
     rows = df.withColumn("_size", size).withColumn("_span", spans(df, order))
     earlier = W.partitionBy(by).orderBy(F.asc_nulls_last("_span")).rowsBetween(W.unboundedPreceding, -1)
-    bases = rows.groupBy(by, "_span").agg(F.sum("_size").alias("_sum"))
-    bases = bases.select(F.col(by).alias("_by"), F.col("_span").alias("_s"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    here = W.partitionBy(by, "_span").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_here", F.coalesce(F.sum("_size").over(here), F.lit(0)))
-    joined = rows.join(bases, F.col(by).eqNullSafe(F.col("_by")) & F.col("_span").eqNullSafe(F.col("_s")))
-    return joined.withColumn("before", F.col("_base") + F.col("_here")).drop("_size", "_span", "_by", "_s", "_base", "_here")
+    sums = rows.groupBy(by, "_span").agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_sum"))
+    firsts = sums.withColumn("_from", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    firsts = firsts.select(by, "_span", F.col("_from").alias("_size"), "_from", (F.col("_from") + F.col("_sum")).alias("_until"))
+    here = W.partitionBy(by, "_span").orderBy(F.asc_nulls_last("_until"), order, *ties).rowsBetween(W.unboundedPreceding, -1)
+    both = rows.unionByName(firsts, allowMissingColumns=True)
+    summed = both.select(*df.columns, "_span", F.col("_until").alias("_first"), F.sum("_size").over(here).alias("before"), F.max("_from").over(here).alias("_from"), F.max("_until").over(here).alias("_until"))
+    return summed.where(F.col("_first").isNull()).drop("_first")
+
+
+def running(df: DataFrame, size: Column, by: str, order: str = "doc_id") -> DataFrame:
+    """df with `before`: the sum of size over the earlier rows of its group.
+
+    Null is a group like any other; rows with a null id come last in their group."""
+    return positioned(df, size, by, order).drop("_span", "_from", "_until")
 
 
 def placed(rows: DataFrame, key: str) -> DataFrame:
@@ -181,22 +190,43 @@ def sampled_with_weights(groups: DataFrame, weight: Column, draws: DataFrame, na
     return draws.withColumn("_u", u).join(F.broadcast(ranges), hit).withColumnRenamed("_g", name).drop("_u", "_lo", "_hi")
 
 
-def pack_stream(df: DataFrame, width: int, end: Column, by: str = "source", order: str = "doc_id", ids: str = "ids", largest: int = 65_535) -> DataFrame:
+def pack_stream(df: DataFrame, width: int, end: Column, by: str = "source", order: str = "doc_id", ids: str = "ids", largest: int = 65_535, joint: str | None = None) -> DataFrame:
     """Fixed windows of each group's concatenated ids with an end id after every document; the tail is dropped.
 
-    Each document's array is cut where windows begin, so that a row travels for each piece and not for each id. Numbers
-    above `largest` don't fit the packed files and fail the job."""
-    full = F.concat(F.col(ids), F.array(end))
+    Each document's array is cut where windows begin, so that a row travels for each piece and not for each id. Documents
+    are shuffled once, by group and span of their order: windows within a span are put together where it lies, and only
+    pieces of windows that cross its ends travel again. Ids that are strings travel joined by `joint`, which none of them may
+    hold; one that does fails the job, as do numbers above `largest`, which don't fit the packed files."""
+    whole = F.concat(F.col(ids), F.array(end))
     if df.schema[ids].dataType.elementType.typeName() in ("integer", "long", "short", "byte"):
-        full = F.when(F.array_max(full) > largest, F.raise_error(F.lit(f"a token id is above {largest}"))).otherwise(full)
-    placed = running(df, F.size(ids).cast("long") + 1, by, order).select(by, F.col("before").alias("_at"), full.alias("_full"))
-    first, last = F.floor(F.col("_at") / width), F.floor((F.col("_at") + F.size("_full") - 1) / width)
-    pieces = placed.withColumn("window_id", F.explode(F.sequence(first, last)))
-    start = F.greatest(F.col("window_id") * width - F.col("_at"), F.lit(0))
-    stop = F.least((F.col("window_id") + 1) * width - F.col("_at"), F.size("_full"))
-    pieces = pieces.select(by, "window_id", (F.col("_at") + start).alias("_pos"), F.slice("_full", (start + 1).cast("int"), (stop - start).cast("int")).alias("_piece"))
-    windows = pieces.groupBy(by, "window_id").agg(F.sum(F.size("_piece")).alias("_n"), F.array_sort(F.collect_list(F.struct("_pos", "_piece"))).alias("_pieces"))
-    return windows.where(F.col("_n") == width).select(by, "window_id", F.flatten(F.transform("_pieces", lambda s: s["_piece"])).alias("ids"))
+        whole = F.when(F.array_max(whole) > largest, F.raise_error(F.lit(f"a token id is above {largest}"))).otherwise(whole)
+    rows = df.select(by, order, whole.alias("_ids")).withColumn("_n", F.when(F.col("_ids").isNotNull(), F.size("_ids")).cast("long"))
+    if joint is not None:
+        rows = rows.withColumn("_ids", F.array_join("_ids", joint))
+    # rows of one id are put in order by what they hold, so that both readings below agree
+    rows = positioned(rows, F.col("_n"), by, order, ("_n", "_ids"))
+
+    def cut(some: DataFrame) -> DataFrame:
+        """(group, span, window, where it begins, ids) of each piece."""
+        if joint is not None:
+            wrong = F.raise_error(F.lit(f"an id is null or holds {joint!r}"))
+            some = some.withColumn("_ids", T.let(F.split("_ids", re.escape(joint)), lambda a: F.when(F.size(a) != F.col("_n"), wrong).otherwise(a)))
+        first, last = F.floor(F.col("before") / width), F.floor((F.col("before") + F.col("_n") - 1) / width)
+        pieces = some.withColumn("window_id", F.explode(F.sequence(first, last)))
+        start = F.greatest(F.col("window_id") * width - F.col("before"), F.lit(0))
+        stop = F.least((F.col("window_id") + 1) * width - F.col("before"), F.col("_n"))
+        piece = F.slice("_ids", (start + 1).cast("int"), (stop - start).cast("int"))
+        return pieces.select(by, "_span", "window_id", "_from", "_until", (F.col("before") + start).alias("_pos"), (stop - start).alias("_n"), (piece if joint is None else F.array_join(piece, joint)).alias("_piece"))
+
+    def together(pieces: DataFrame, *keys: str) -> DataFrame:
+        made = pieces.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_pos", "_piece"))).alias("_pieces"))
+        parts = F.transform("_pieces", lambda s: s["_piece"])
+        return made.where(F.col("_n") == width).select(by, "window_id", (F.flatten(parts) if joint is None else F.split(F.array_join(parts, joint), re.escape(joint))).alias("ids"))
+
+    inside = (F.col("window_id") * width >= F.col("_from")) & ((F.col("window_id") + 1) * width <= F.col("_until"))
+    # the windows in which a span begins and ends, if they aren't wholly in it
+    at_ends = (F.floor(F.col("before") / width) * width < F.col("_from")) | (F.floor((F.col("before") + F.col("_n") - 1) / width + 1) * width > F.col("_until"))
+    return together(cut(rows).where(inside), by, "_span", "window_id").unionByName(together(cut(rows.where(at_ends)).where(~inside), by, "window_id"))
 
 
 def route(windows: DataFrame, every: int = 100) -> DataFrame:
